@@ -17,23 +17,40 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``make`` applied to each Arrow batch of ``df`` where it lies: no shuffle, one batch in memory."""
+def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``make`` applied to pieces of at most ``rows`` rows of ``df`` where they lie: no shuffle, one batch in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := make(batch)) is not None and out.num_rows:
-                yield out
+            for start in range(0, batch.num_rows, rows):
+                out = make(batch.slice(start, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def spread(column: str, seed: int = 0):
-    """A uniform number in [0, 1) that depends on the value and the seed alone."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-
 def bucket_of(column: str, n: int):
     """The remainder of crc32 of the value as text."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+#: Classes that a sample is balanced over, at most; the most frequent ones are taken.
+MAX_CLASSES = 500
+
+
+def bounded_sample(df: DataFrame, by: str, per_class: int, id_col: str) -> DataFrame:
+    """About ``per_class`` rows of each value of ``by``, and never more than that times the values.
+
+    Rows are taken by the hash of their id, so the sample does not depend on how rows are dealt
+    out, and a frequent class costs no sort: the share to keep follows from a count.
+    """
+    counts = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(MAX_CLASSES).collect()
+    if not counts:
+        return df.limit(0)
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
+    keep = F.lit(False)
+    for r in counts:
+        keep = keep | ((F.col(by) == F.lit(r[0])) & (draw < int((1 << 30) * min(1.0, per_class / r[1]))))
+    return df.where(keep).orderBy(draw, id_col).limit(per_class * len(counts))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelscope.llm import minhash
+from labelscope.llm import language, licenses, minhash, mixing, pieces, quality, substring
 from labelscope.sources.shared import read_table
 
 
@@ -34,9 +35,90 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 """
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1
+), w AS (
+  SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s
+), r AS (
+  SELECT *, cap / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS mass FROM w
+), t AS (
+  SELECT *, (mass - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), f AS (
+  SELECT source, source_size, least(cap, (SELECT max(level) FROM t WHERE level <= ratio) * weight) AS target FROM t
+), m AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+    CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
+)
+SELECT doc_id, size, source_size, target, CAST(floor(rate) * size + least(floor((rate - floor(rate)) * size + u), size) AS BIGINT) AS taken FROM m
+"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def _op4_sql() -> str:
+    """Base places by lists of words; a template as a regular expression over words parted by single spaces."""
+    places = " || ".join(f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: {' AND '.join(f'ws[i + {k}] = {w!r}' for k, w in enumerate(p.split()))}), lambda i: {{'at': i - 1, 'label': {label!r}}})" for p, label in licenses.PHRASES.items())
+
+    def pattern(template: str) -> str:
+        out = ""
+        for m in licenses._TOKEN.finditer(template):
+            out += "(?:" if m[0] == "[" else ")?" if m[0] == "]" else f"(?: [^ ]+){m[0]}" if m[1] else f" {m[0]}"
+        return out + " "
+
+    labels = " || ".join(f"CASE WHEN regexp_matches(line, '{pattern(t)}') THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END" for label, t in licenses.TEMPLATES.items())
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+), f AS (
+  SELECT doc_id, ws, {places} AS places, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w
+), g AS (
+  SELECT *, list_transform(places, lambda p: p.label) AS base, {labels} AS more FROM f
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+  list_min(list_transform(places, lambda p: p.at)) AS first_word, list_max(list_transform(places, lambda p: p.at)) AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || more)), ',') AS labels,
+  CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM g
+"""
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, n_sentences, n_removed, removed_words): every document with its repeated spans cut out."""
+    return substring.drop_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "removed_words")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of every document with the number and a hash of their pieces in place of the pieces."""
+    found = pieces.encode(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = (op1_minhash_near_dedup, op3_mixing, op4_license_scan, op6_substring_dedup, op7_language_id, op8_sentencepiece, op10_quality)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_license_scan": _op4_sql()}
