@@ -1,23 +1,61 @@
-"""Document pipeline: stages applied one after another, each written as Parquet and read again."""
+"""Document pipeline: stages applied one after another, each written as Parquet and read again.
+
+A stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import minhash
+from labelscope.llm import minhash, mixing, pieces, quality, substring
+from labelscope.llm.common import bucket_of
 from labelscope.sources.shared import read_table, shared_table
 
 
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; null and empty texts are scored like any other."""
+    labels = read_table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(bucket_of("doc_id", 3) != 1))
+    return quality.score(docs, model).where("quality_score >= 0.5").select(*docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept or doc_id is null").select("doc_id")
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The document with the smallest id of each near-duplicate group stays, by five-word shingles.
+
+    Documents without words or without an id are in no group and stay.
+    """
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences of repeated passages go, but for their first place; a document left without text goes too."""
+    cut = substring.drop_repeats(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: whole copies of documents and, for fractions, runs of their words."""
+    mixed = mixing.repetitions(mixing.mix(docs))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, sample, ids, log_prob, perturbed, log_inclusion): sampled segmentations of every row."""
+    return pieces.encode(docs)
 
 
-STAGES = [("minhash_near_dedup", drop_near_duplicates)]
+STAGES = [
+    ("quality", keep_good_quality),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("sentencepiece", segment),
+]
 
-#: The stages train models and hash texts in ways that SQL cannot express.
+#: The stages train a model, hash texts and draw samples in ways that SQL cannot express.
 ORACLE_SQL = None
 
 

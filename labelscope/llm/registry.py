@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import language, licenses, minhash, mixing, pieces, quality, substring
+from labelscope.llm import language, licenses, minhash, mixing, neighbours, pages, pieces, quality, substring, vectors
 from labelscope.sources.shared import read_table
 
 
@@ -35,6 +35,10 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 """
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
@@ -94,6 +98,11 @@ FROM g
 """
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = read_table(spark, sf_dir, "embeddings")
+    return neighbours.search(every, every.where("vec_id % 20 = 0"), k=20)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, removed_words): every document with its repeated spans cut out."""
     return substring.drop_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "removed_words")
@@ -109,11 +118,30 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_minhash_near_dedup, op3_mixing, op4_license_scan, op6_substring_dedup, op7_language_id, op8_sentencepiece, op10_quality)
+QUERIES = (op1_minhash_near_dedup, op2_html_extraction, op3_mixing, op4_license_scan, op5_ann, op6_substring_dedup, op7_language_id, op8_sentencepiece, op9_embedding_near_dedup, op10_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -121,4 +149,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_license_scan": _op4_sql()}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_embedding_near_dedup": OP9_SQL}
