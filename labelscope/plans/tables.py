@@ -184,10 +184,10 @@ def _daily(spark, d):
     return read_table(spark, d, "events").groupBy(F.col("ts").cast("date").cast("string").alias("day"), F.col("event_type").alias("key")).agg(F.count("*").alias("requests"), F.sum("user_id").alias("prompt"))
 
 
-@query(f"""WITH {_DAILY}, p AS (SELECT * FROM (VALUES ('small', 0.5, 1.5), ('large', 5.0, 15.0)) p(model, prompt_price, completion_price))
+@query(f"""WITH {_DAILY}, p AS (SELECT * FROM (VALUES ('small', 1.0, 3.0), ('large', 5.0, 15.0)) p(model, prompt_price, completion_price))
 SELECT day, key, requests, prompt, model, prompt_price::DOUBLE AS prompt_price, completion_price::DOUBLE AS completion_price, {_r('(prompt * prompt_price + requests * 10 * completion_price)::DOUBLE / 1e6')} AS usd FROM s CROSS JOIN p""", posts=False)
 def e27_c12_what_if_price(spark, d):
-    prices = spark.createDataFrame([("small", 0.5, 1.5), ("large", 5.0, 15.0)], "model string, prompt_price double, completion_price double")
+    prices = spark.createDataFrame([("small", 1.0, 3.0), ("large", 5.0, 15.0)], "model string, prompt_price double, completion_price double")
     return T.what_if_price(_daily(spark, d), prices, "prompt", "requests")
 
 
