@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.plans import tables  # noqa: F401  registers its queries
+from labelscope.plans import agreements, ranks, tables  # noqa: F401  they register their queries
 from labelscope.plans.binding import ORACLES, QUERIES
 
 
