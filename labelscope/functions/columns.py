@@ -104,3 +104,21 @@ def shortened(text: str | Column, chars: int = 700, mark: str = "…") -> Column
     """At most ``chars`` characters, with a mark where the text went on; null is empty."""
     t = F.coalesce(col(text), F.lit(""))
     return F.when(F.length(t) > chars, F.concat(F.substring(t, 1, chars), F.lit(mark))).otherwise(t)
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of the value, computed once; a lambda over an expression would compute it again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def windows(text: Column, length: int, starts) -> Column:
+    """The windows of ``length`` characters at the places that ``starts`` gives for the last one's; shorter texts have none.
+
+    The text is split into characters once, so that a window costs its own length wherever it lies.
+    """
+
+    def cut(chars: Column) -> Column:
+        last = F.size(chars) - (length - 1)
+        return F.when(last >= 1, F.transform(starts(F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(length)), ""))).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.filter(F.split(text, ""), lambda c: c != ""), cut)
