@@ -66,6 +66,7 @@ def _covered(text: str, starts: list[int], span: int) -> tuple[str, int, int, in
 def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, starts): for each document, the spans that are not the first of their hash, in order.
 
+    The joins are merges at every size, so that the plan does not change as the corpus grows.
     A hash's first place comes from an aggregate with map-side combine; joining it back to the
     spans needs no gathering of a hash's places, however many share it.
     """
@@ -82,7 +83,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     spans = shared_table(map_batches(picked, make, "hash long, id long, start int"), "spans")
     first = spans.groupBy("hash").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("hash", "first")
-    later = spans.join(first, "hash").where(F.struct("id", "start") != F.col("first"))
+    later = spans.join(first.hint("merge"), "hash").where(F.struct("id", "start") != F.col("first"))
     return later.groupBy("id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
@@ -98,7 +99,7 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS,
     """
     repeats = shared_table(repeated_spans(docs, span, min_words, id_col, text_col), "repeats").withColumnsRenamed({"id": "_repeat_id", "starts": "_starts"})
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed_words")]
-    met = docs.select(*names).join(repeats, F.col(id_col).cast("long") == F.col("_repeat_id"), "left").drop("_repeat_id")
+    met = docs.select(*names).join(repeats.hint("merge"), F.col(id_col).cast("long") == F.col("_repeat_id"), "left").drop("_repeat_id")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, found = batch.column(names.index(text_col)).to_pylist(), batch.column(len(names)).to_pylist()
