@@ -14,13 +14,13 @@ from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 from labelscope.functions.columns import col, count_if, windows
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normal form, which Spark has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """Character references decoded."""
     return text.map(lambda t: None if t is None else html.unescape(t))
