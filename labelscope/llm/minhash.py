@@ -36,6 +36,9 @@ LIMIT = CHUNKS * (ERRORS + 1) - 1
 #: Rows of one block of the complete comparison, and rows that one of its groups gathers.
 BLOCK, BIN_ROWS = 256, 8192
 HUB_ROUNDS = 2
+#: Bits of a set's bitmap. A bit that only one of two sets has stands for an element that the
+#: other lacks, which bounds their intersection from above; pairs under the bound are no links.
+BITMAP = 1024
 
 
 @lru_cache(1)
@@ -73,20 +76,28 @@ def signature(hashes: np.ndarray) -> bytes:
     return (low >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """One bit for each element, chosen by the element's hash."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[hashes & (BITMAP - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def signatures(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, digest, signature) of each row; digest and signature are null for empty sets."""
+    """(id, n_shingles, digest, signature, bits) of each row; the last three are null for empty sets."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, digests, sigs = [], [], []
+        sizes, digests, sigs, bits = [], [], [], []
         for text in batch.column(1).to_pylist():
             h = shingle_hashes(text, n)
             sizes.append(len(h))
             digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             sigs.append(signature(h) if len(h) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "digest", "signature"])
+            bits.append(bitmap(h) if len(h) else None)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary())], names=["id", "n_shingles", "digest", "signature", "bits"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, make, "id long, n_shingles long, digest binary, signature binary")
+    return map_batches(picked, make, "id long, n_shingles long, digest binary, signature binary, bits binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -133,6 +144,7 @@ def _compare_blocks(groups: Iterator[pd.DataFrame], percent: int) -> Iterator[pd
     for frame in groups:
         frame = frame.sort_values(["key", "i", "j", "id"], kind="stable")
         sig = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(-1, SYMBOLS)
+        bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(-1, BITMAP // 64)
         ids, comp, size, block = (frame[c].to_numpy() for c in ("id", "comp", "n_shingles", "block"))
         key, i, j = (frame[c].to_numpy() for c in ("key", "i", "j"))
         edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -147,6 +159,9 @@ def _compare_blocks(groups: Iterator[pd.DataFrame], percent: int) -> Iterator[pd
                 errors = differ.reshape(len(other), CHUNKS, WIDTH).sum(2)
                 first = (errors[:, :chunk] > ERRORS).all(1) & ((errors[:, chunk] > 0) | (missing == 0))
                 other = other[first & (errors.sum(1) <= LIMIT)]
+                lacking = size[x] - np.bitwise_count(bits[x] & ~bits[other]).sum(1, dtype=np.int64)
+                both = np.minimum(lacking, size[other] - np.bitwise_count(bits[other] & ~bits[x]).sum(1, dtype=np.int64))
+                other = other[both * 100 >= percent * (size[other] + size[x] - both)]
                 if len(other):
                     yield pd.DataFrame({"a": ids[x], "b": ids[other]})
 
@@ -154,10 +169,10 @@ def _compare_blocks(groups: Iterator[pd.DataFrame], percent: int) -> Iterator[pd
 def _remaining_pairs(members: DataFrame, classes: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """Pairs within the limit of members of one key that lie in different components."""
     blocks = members.join(counts.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
-    blocks = blocks.join(classes.select("id", "signature", "n_shingles"), "id")
+    blocks = blocks.join(classes.select("id", "signature", "n_shingles", "bits"), "id")
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    blocks = blocks.select("key", "id", "comp", "signature", "n_shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    blocks = blocks.select("key", "id", "comp", "signature", "n_shingles", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = counts.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
     blocks = blocks.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, rows // BIN_ROWS))))
 
@@ -173,7 +188,7 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, n: int = 5, percent
     Classes that belong to one component are connected by the links, though not every pair
     of them is listed.
     """
-    classes = shared_table(signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles")), "classes")
+    classes = shared_table(signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits")), "classes")
     keys = _keys(classes)
     several = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     members = shared_table(keys.join(several, "key"), "members")
