@@ -76,8 +76,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     by = F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
     met = sized.join(by, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    met = met.withColumn("_rate", rate).withColumn("whole", F.floor("_rate").cast("long"))
-    part = F.floor((F.col("_rate") - F.col("whole")) * F.col("size") + uniform(id_col, seed)).cast("long")
+    met = met.withColumn("_rate", rate).withColumn("whole", F.when(F.col("size") > 0, F.floor("_rate").cast("long")).otherwise(F.lit(0).cast("long")))
+    part = F.floor((F.col("_rate") - F.floor("_rate")) * F.col("size") + uniform(id_col, seed)).cast("long")
     return met.withColumn("part", F.least(part, F.col("size"))).drop("_rate")
 
 

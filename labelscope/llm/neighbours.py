@@ -66,11 +66,16 @@ class Index:
         return lists, np.stack([_nearest(residual[:, c], book).astype(np.uint8) for c, book in zip(self.cuts, self.books, strict=True)], 1)
 
     def search(self, query: np.ndarray, lists: np.ndarray, codes: np.ndarray, probed: int, keep: int) -> np.ndarray:
-        """Positions of the ``keep`` best index rows of the probed lists; equal scores in index order."""
+        """Positions of the ``keep`` best index rows of the probed lists; equal scores in index order.
+
+        More lists are opened where the probed ones hold fewer rows than that.
+        """
         query = query.astype(np.float32)
         coarse = self.centres @ query
         open_ = np.zeros(len(coarse), bool)
-        open_[np.argsort(-coarse, kind="stable")[:probed]] = True
+        order = np.argsort(-coarse, kind="stable")
+        held = np.cumsum(np.bincount(lists, minlength=len(coarse))[order])
+        open_[order[: max(probed, int(np.searchsorted(held, keep)) + 1)]] = True
         rows = np.flatnonzero(open_[lists])
         score = coarse[lists[rows]]
         for m, (c, book) in enumerate(zip(self.cuts, self.books, strict=True)):
