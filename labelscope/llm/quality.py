@@ -3,7 +3,7 @@
 Every token has a sparse random index vector that follows from its hash. The context vector of
 a vocabulary token is the sum of its neighbours' index vectors over the sample; tokens outside
 the vocabulary use the index vector itself. A document is the mean and the spread of its
-tokens' vectors, which also tells repeated from varied text. A two-layer network scores it and
+tokens' vectors and how often tokens repeat, which tells repeated from varied text. A two-layer network scores it and
 a temperature, fitted on documents kept from training, calibrates the probability.
 """
 
@@ -78,15 +78,16 @@ class QualityModel:
         return np.fromiter((ids[t] if t in ids else self._row(t) for t in found), np.int64, len(found))
 
     def pooled(self, text: str | None) -> np.ndarray:
-        """Mean and spread of the token vectors and the log of their number; zeros for no tokens."""
+        """Mean and spread of the token vectors, the shares of distinct tokens and of tokens that repeat the one or two before, and the log of their number; zeros for no tokens."""
         rows = self.rows(text)
         if not len(rows):
-            return np.zeros(2 * DIM + 1)
+            return np.zeros(2 * DIM + 4)
         each, times = np.unique(rows, return_counts=True)
         share = times / len(rows)
         v = self.vectors[each].astype(np.float64)
         mean = share @ v
-        return np.r_[mean, np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0)), np.log1p(len(rows)) / 10]
+        again = [(rows[k:] == rows[:-k]).mean() if len(rows) > k else 0.0 for k in (1, 2)]
+        return np.r_[mean, np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0)), len(each) / len(rows), again, np.log1p(len(rows)) / 10]
 
     def learn_vectors(self, texts: list[str]) -> None:
         """Context vectors of the most frequent tokens of the texts."""
