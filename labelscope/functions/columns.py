@@ -122,3 +122,13 @@ def windows(text: Column, length: int, starts) -> Column:
         return F.when(last >= 1, F.transform(starts(F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(length)), ""))).otherwise(F.array().cast("array<string>"))
 
     return bound(F.filter(F.split(text, ""), lambda c: c != ""), cut)
+
+
+def has_repo(kind: str | Column, url: str | Column, host: str = "github.com") -> Column:
+    """Whether an attachment is a repository by its kind or its URL; null is false."""
+    return F.coalesce(col(kind) == "repo", F.lit(False)) | F.coalesce(col(url).contains(host), F.lit(False))
+
+
+def looked_up(value: str | Column, table: dict[str, str]) -> Column:
+    """The table's entry for the value; null where it has none. For small fixed dimensions."""
+    return F.create_map(*(F.lit(x) for two in table.items() for x in two))[col(value)]

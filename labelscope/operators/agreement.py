@@ -152,3 +152,15 @@ def call_stats(calls: DataFrame, ok: Column, latency: str, kind: Column) -> Data
         F.count("*").alias("calls"), count_if(ok).alias("ok"), count_if(~ok).alias("failed"), ratio(count_if(~ok), F.count("*")).alias("error_rate"),
         *(F.percentile(good, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)), F.count_distinct(F.when(~ok, kind)).alias("kinds"),
     )
+
+
+def top_confusions(confusion: DataFrame, by: Sequence[str], k: int = 4) -> DataFrame:
+    """(by, a, b, n, rank): the k most frequent unequal pairs of each key; ranks run over the counted table."""
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), "a", "b")
+    return confusion.where("a <> b").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "a", "b", "n", "rank")
+
+
+def reread_profile(first: DataFrame, second: DataFrame, id_col: str, code: str) -> DataFrame:
+    """(code, n, same, moved, unread): items by their first code, and what a second reading made of them."""
+    met = first.select(id_col, F.col(code).alias("code")).join(second.select(id_col, F.col(code).alias("_second")), id_col, "left")
+    return met.groupBy("code").agg(F.count("*").alias("n"), count_if(F.col("_second") == F.col("code")).alias("same"), count_if(F.col("_second") != F.col("code")).alias("moved"), count_if(F.col("_second").isNull()).alias("unread"))
