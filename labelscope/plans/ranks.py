@@ -77,3 +77,9 @@ SELECT rank, l_orderkey, l_linenumber FROM r WHERE (rank - 1) % 1000 = 0""", pos
 def f_global_rank_lineitem(spark, d):
     ranked = R.global_rank(read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")])
     return ranked.where("(rank - 1) % 1000 = 0").select("rank", "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT p::DOUBLE AS p, round(CASE p WHEN 0.25 THEN quantile_cont(l_extendedprice, 0.25) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.99) END, 6) AS linear,
+ round(CASE p WHEN 0.25 THEN quantile_disc(l_extendedprice, 0.25) WHEN 0.5 THEN quantile_disc(l_extendedprice, 0.5) ELSE quantile_disc(l_extendedprice, 0.99) END, 6) AS nearest FROM lineitem, (SELECT unnest([0.25, 0.5, 0.99]) AS p) GROUP BY p""", posts=False)
+def f11_f12_percentiles_lineitem(spark, d):
+    return R.percentiles(read_table(spark, d, "lineitem"), "l_extendedprice", [0.25, 0.5, 0.99])
