@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
@@ -44,6 +46,19 @@ def shingles(text: Column, length: int, step: int) -> Column:
     return F.array_distinct(windows(text, length, lambda last: F.concat(F.sequence(F.lit(1), last, F.lit(step)), F.array(last))))
 
 
+def window_hashes(text: str | None, length: int) -> np.ndarray:
+    """A 64-bit hash of each window of ``length`` characters, computed for all windows at once."""
+    chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(chars) - length + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    h = np.full(n, 0xCBF29CE484222325, np.uint64)
+    for k in range(length):
+        h = (h ^ chars[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def build_index(corpus: DataFrame, id_col: str, text: str, length: int = 40, step: int = 8, common: int = 3, compatibility: bool = True) -> DataFrame:
     """(shingle, owner): shingles of the corpus that fewer than ``common`` owners share, one row per owner."""
     each = corpus.select(F.col(id_col).alias("owner"), F.explode(shingles(normalised(text, compatibility), length, step)).alias("shingle")).distinct()
@@ -54,13 +69,27 @@ def build_index(corpus: DataFrame, id_col: str, text: str, length: int = 40, ste
 def scan(hay: DataFrame, hay_id: str, text: str, index: DataFrame, length: int = 40, compatibility: bool = True) -> DataFrame:
     """(hay, owner): haystacks that hold a shingle of an owner; every window is looked up.
 
-    Windows are exchanged as 64-bit hashes; the few that meet the index are verified in the text.
+    Windows are hashed and exchanged as 64-bit numbers; the few that meet the index are verified
+    in the text.
     """
     plain = hay.select(F.col(hay_id).alias("hay"), normalised(text, compatibility).alias("_t"))
-    hashes = F.array_distinct(F.transform(shingles(F.col("_t"), length, 1), lambda w: F.xxhash64(w)))
-    keyed = index.select("owner", "shingle", F.xxhash64("shingle").alias("_h"))
-    met = plain.select("hay", F.explode(hashes).alias("_h")).join(keyed, "_h").select("hay", "owner", "shingle").distinct()
-    return met.join(plain, "hay").where(F.col("_t").contains(F.col("shingle"))).select("hay", "owner").distinct()
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.unique(window_hashes(t, length)) for t in batch.column(1).to_pylist()]
+            if each:
+                rows = pa.array(np.repeat(np.arange(len(each)), [len(h) for h in each]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.concatenate(each))], names=["hay", "_h"])
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [int(window_hashes(t, length)[0]) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=["owner", "shingle", "_h"])
+
+    met = plain.mapInArrow(windows_of, f"hay {plain.schema['hay'].dataType.simpleString()}, _h long")
+    keyed = index.select("owner", "shingle").mapInArrow(keys_of, f"owner {index.schema['owner'].dataType.simpleString()}, shingle string, _h long")
+    found = met.join(keyed, "_h").select("hay", "owner", "shingle").distinct()
+    return found.join(plain, "hay").where(F.col("_t").contains(F.col("shingle"))).select("hay", "owner").distinct()
 
 
 def views(raw: str | Column) -> Column:
