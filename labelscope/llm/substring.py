@@ -1,13 +1,18 @@
 """Substring de-duplication over sliding sentence spans.
 
-Every run of ``SPAN`` consecutive sentences is hashed; the first place of each hash, by
-(document, position), stays, and sentences covered by a span at any later place are removed.
-Passages of several sentences that many documents share are thus kept once.
+Texts are cut into units at stops and clause marks of any script and at line ends; a unit of more
+than ``LONG`` words is cut further at word boundaries that its own words choose, so that a passage
+put into another sentence finds its cuts again. Every run of ``SPAN`` units with ``MIN_WORDS`` words is
+hashed, every longer run that is needed for as many words where the units are short, and every
+unit that has as many by itself; the first place of each hash, by (document, position), stays, and units covered by a span at any later place
+are removed. A passage that two documents share loses at most its first and last unit to the text
+around it, so what stays of it in the later one is far below 50 words.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,53 +23,97 @@ from pyspark.sql import functions as F
 from labelscope.llm.common import map_batches
 from labelscope.sources.shared import shared_table
 
-#: Sentences of a span, and the words it must have in all; shorter spans repeat by chance.
+#: Units of a span at least, and the words it must have in all; shorter spans repeat by chance.
 SPAN, MIN_WORDS = 2, 8
-
-#: A sentence ends after . ! ? (and closing quotes) with white space behind, or at a line end.
-_END = re.compile(r"[.!?]+[\"'»”)\]]*\s+|\n\s*")
+#: A unit of more words is cut before the word of the smallest hash in each window of so many words.
+LONG, WINDOW = 16, 8
+
+#: Scripts without spaces between words: each character counts as a word.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_IS_DENSE = re.compile(f"[{_DENSE}]")
+_WORD = re.compile(f"[{_DENSE}]|[^\\s{_DENSE}]+")
+_MARK = "!-/:-@\\[-`{-~\u00a1-\u00bf\u060c\u061b\u061f\u06d4\u2010-\u205e\u3001-\u3003\u3008-\u3020\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+#: Stops that end a unit with no white space behind.
+_STOP = "\u0589\u0964\u0965\u0f0d\u104a\u104b\u1362\u17d4\u2026\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61"
+#: A unit ends after marks with white space behind, after a stop of those above or one of . ! ? with more marks behind, or at a line end.
+_END = re.compile(f"[{_STOP}][{_MARK}{_STOP}]*\\s*|[.!?]+(?![.!?])[{_MARK}]+\\s*|[{_MARK}]+\\s+|\\n\\s*")
+
+
+def _inner_cuts(unit: str) -> list[int]:
+    """Where a long unit is cut: a choice of each window's words alone, whatever stands around them."""
+    found = list(_WORD.finditer(unit))
+    words = [m[0].encode("utf-8", "surrogatepass") for m in found]
+    keys = np.fromiter((zlib.crc32(b, zlib.crc32(a)) for a, b in zip(words, words[1:], strict=False)), np.int64, len(words) - 1)
+    keys = keys % (1 << 31) * (1 << 32) - np.arange(len(keys))
+    width = 1
+    while width < WINDOW:  # the least key of each window, the last one of equal hashes
+        step = min(width, WINDOW - width)
+        keys, width = np.minimum(keys[:-step], keys[step:]), width + step
+    return [found[i + 1].start() for i in sorted(set((-keys % (1 << 32)).tolist()))]
+
+
+def _units(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words in lower case) of each unit; together they cover the text."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    words = str.split if low.isascii() or not _IS_DENSE.search(low) else _WORD.findall
+    out, a = [], 0
+    for b in [*(m.end() for m in _END.finditer(low)), len(low)]:
+        found = words(low[a:b])
+        if len(found) > LONG:
+            cuts = [a + c for c in _inner_cuts(low[a:b])]
+            out += [(c, d, words(low[c:d])) for c, d in zip([a, *cuts], [*cuts, b], strict=True)]
+        elif b > a:
+            out.append((a, b, found))
+        a = b
+    return out
 
 
 def sentences(text: str | None) -> list[str]:
-    """The sentences of a text with the white space that follows each; joined they give the text."""
-    text = text or ""
-    ends = [m.end() for m in _END.finditer(text)]
-    return [s for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if (s := text[a:b])]
+    """The units of a text with the white space that follows each; joined they give the text."""
+    return [text[a:b] for a, b, _ in _units(text)] if text else []
 
 
-def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of each run of ``span`` sentences with words; case and white space do not count.
+def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, units, hash) of each span of units with words; case and white space do not count.
 
-    Sentences without a word belong to no run of their own and are stepped over.
+    Units without a word belong to no span of their own and are stepped over.
     """
-    found = [w for s in sentences((text or "").lower()) if (w := s.split())]
-    if len(found) < span:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    sizes = np.fromiter((len(w) for w in found), np.int64, len(found))
-    own = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in found), np.uint64, len(found))
-    mixed, words = np.full(len(found) - span + 1, span, np.uint64), np.zeros(len(found) - span + 1, np.int64)
-    for k in range(span):
-        part = slice(k, len(found) - span + 1 + k)
-        mixed = (mixed ^ own[part]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-        words += sizes[part]
-    keep = words >= min_words
-    return np.flatnonzero(keep), mixed.view(np.int64)[keep]
-
-
-def _covered(text: str, starts: list[int], span: int) -> tuple[str, int, int, int]:
-    """The text without covered sentences; sentences, removed sentences and removed words."""
-    parts = sentences(text)
-    if not starts:
+    found = [w for *_, w in _units(text or "") if w]
+    n = len(found)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    sums = np.concatenate([[0], np.cumsum(np.fromiter((len(w) for w in found), np.int64, n))])
+    own = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in found), np.uint64, n)
+    at = np.arange(n)
+    enough = sums[np.minimum(at + span, n)] - sums[:-1] >= min_words
+    units = np.maximum(np.searchsorted(sums, sums[:-1] + min_words) - at, span)
+    # a longer run is only taken where none of its runs of ``span`` has the words
+    following = np.minimum.accumulate(np.where(enough, at, n)[::-1])[::-1]
+    runs = (at + units <= n) & (enough | (at + units - span < following))
+    alone = (np.diff(sums) >= min_words) & ((units > 1) | ~runs)
+    starts, units = np.concatenate([at[runs], at[alone]]), np.concatenate([units[runs], np.ones(alone.sum(), np.int64)])
+    mixed = units.astype(np.uint64)
+    for k in range(int(units.max(initial=0))):
+        go = np.flatnonzero(units > k)
+        part = (mixed[go] ^ own[starts[go] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed[go] = part ^ (part >> np.uint64(31))
+    return starts, units, mixed.view(np.int64)
+
+
+def _covered(text: str, spans: list[int]) -> tuple[str, int, int, int]:
+    """The text without the units of spans (position * 256 + units); units, removed units and removed words."""
+    parts = _units(text)
+    if not spans:
         return text, len(parts), 0, 0
-    real = [i for i, s in enumerate(parts) if s.strip()]
-    gone = {real[p + k] for p in starts for k in range(span) if p + k < len(real)}
-    words = sum(len(parts[i].split()) for i in gone)
-    return "".join(s for i, s in enumerate(parts) if i not in gone), len(parts), len(gone), words
+    real = [i for i, (*_, w) in enumerate(parts) if w]
+    gone = {k for p in spans for k in real[p >> 8 : (p >> 8) + (p & 255)]}
+    return "".join(text[a:b] for i, (a, b, _) in enumerate(parts) if i not in gone), len(parts), len(gone), sum(len(parts[i][2]) for i in gone)
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts): for each document, the spans that are not the first of their hash, in order.
+    """(id, starts): for each document, the spans that are not the first of their hash, in order, as position * 256 + units.
 
     The joins are merges at every size, so that the plan does not change as the corpus grows.
     A hash's first place comes from an aggregate with map-side combine; joining it back to the
@@ -74,14 +123,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, counts, starts, hashes = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
         for text in batch.column(1).to_pylist():
-            p, h = span_hashes(text, span, min_words)
+            p, n, h = span_hashes(text, span, min_words)
             counts.append(len(p))
-            starts.append(p)
+            starts.append(p * 256 + n)
             hashes.append(h)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(starts).astype(np.int32))], names=["hash", "id", "start"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(starts))], names=["hash", "id", "start"])
 
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = shared_table(map_batches(picked, make, "hash long, id long, start int"), "spans")
+    spans = shared_table(map_batches(picked, make, "hash long, id long, start long"), "spans")
     first = spans.groupBy("hash").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last").select("hash", "first")
     later = spans.join(first.hint("merge"), "hash").where(F.struct("id", "start") != F.col("first"))
     return later.groupBy("id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
@@ -90,7 +139,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
 def drop_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text rewritten, and n_sentences, n_removed and removed_words.
 
-    Sentences covered by a non-first span are cut out; all else of the text stays as it is.
+    Units covered by a non-first span are cut out; all else of the text stays as it is.
     Null texts stay null and empty ones empty, with zero counts. Rows without an id are not
     compared and stay as they are. Rows that repeat an id are one document: a span that several
     of them have at one position is at one place, and spans found repeated in one are removed in
@@ -103,7 +152,7 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS,
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, found = batch.column(names.index(text_col)).to_pylist(), batch.column(len(names)).to_pylist()
-        rows = [_covered(t, s or [], span) if t is not None else (None, 0, 0, 0) for t, s in zip(texts, found, strict=True)]
+        rows = [_covered(t, s or []) if t is not None else (None, 0, 0, 0) for t, s in zip(texts, found, strict=True)]
         new = {text_col: pa.array([r[0] for r in rows], pa.string())}
         columns = [new.get(c, batch.column(k)) for k, c in enumerate(names)]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))], names=[*names, "n_sentences", "n_removed", "removed_words"])

@@ -295,3 +295,38 @@ def test_pieces_samples_follow_the_weights_and_inclusion_is_unbiased():
         p = np.exp(logp)
         assert abs(first[ids] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 2e-3
         assert abs(estimate[ids] - p) < 0.15 * p + 5e-3
+
+
+def windows_of(text, n=50):
+    w = re.findall("[\u3400-\u9fff]|[^\\s\u3400-\u9fff]+", lower(text))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_substring_finds_passages_in_mid_sentence_without_stops_and_in_dense_scripts(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    dense = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    three = "".join(" ".join(words(18)) + end for end in (". ", "! ", "? "))
+    passages = [
+        " ".join(words(60)), three, ", ".join(" ".join(words(6)) for _ in range(9)), "***".join(" ".join(words(17)) + "." for _ in range(3)),
+        dense(60), "".join(dense(12) + "。" for _ in range(6)), "".join(" ".join("कखगघङ"[rng.randrange(5)] + f"{rng.randrange(9000)}" for _ in range(7)) + "।" for _ in range(8)),
+    ]
+    texts = []
+    for p in passages:
+        for _ in range(3):
+            glue = "" if ord(p[0]) > 0x4000 else " "
+            texts.append((" ".join(words(rng.randrange(3, 30))) if glue else dense(20)) + glue + p + glue + (" ".join(words(rng.randrange(3, 30))) if glue else dense(20)))
+    alone = " ".join(words(12)) + "."
+    texts += [alone, alone, f"{three}\n{alone}"]
+    got = [r.text for r in sorted(substring.drop_repeats(frame(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    seen = set()
+    for k, text in enumerate(got):
+        assert not windows_of(text) & seen, (k, text)
+        seen |= windows_of(text)
+    assert got[-3] == alone and got[-2] == got[-1] == ""
+    assert got[: len(passages) * 3 : 3] == texts[: len(passages) * 3 : 3]
+
+
+def test_units_join_to_the_text_in_any_script():
+    for t in ("a" * 40, "x y " * 60, "İI ß Σ. " * 9, "一二。三，四" * 30, "क ख।ग", "end.*** Next end.###Next 3.5 www.a.b/c?", "\ud800 a\n\n b", ", , ,\n***\n"):
+        assert "".join(substring.sentences(t)) == t
