@@ -2,8 +2,8 @@
 
 A streaming parser cuts a page into lines, one per block of text, each with its characters, the
 tags met in it and the elements around it. The ratio of characters to tags is smoothed with a
-Gaussian over the lines; lines above a threshold form clusters, and the element that holds most
-of the clusters' text is the content region. All of its lines are the main text but those in
+Gaussian over the lines; lines above a threshold form clusters, and the smallest element that
+holds all clusters is the content region. All of its lines are the main text but those in
 elements that never hold any: menus, page headers and footers, sidebars, notices, adverts, forms,
 scripts, styles and comments of readers.
 """
@@ -22,17 +22,32 @@ from labelscope.llm.common import map_batches
 
 #: Deviation of the smoothing, in lines, its reach, and the threshold as a share of the mean ratio.
 SIGMA, REACH, THRESHOLD = 1.5, 4, 0.5
-#: A region must hold this share of the clusters' text; the innermost such element is taken.
+#: An article or main element that holds this share of the clusters' text is the region.
 REGION_SHARE = 0.6
 
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset("aside button canvas datalist dialog footer form head header iframe input label legend menu nav noscript object option script select style svg template textarea title".split())
-#: Words of a class, id or role that mark an element without main text.
+#: Tokens of a class, id or role that mark an element without main text.
 _MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words that may stand before and behind a mark in one name: site-footer, ad-slot-3. Layouts such as with-sidebar or search-results are no marks.
+_BEFORE = frozenset("bottom global main page primary secondary site top".split())
+_BEHIND = frozenset("area articles bar block box buttons container form inner item items links list overlay posts section signup slot stories unit wrap wrapper".split())
+#: Elements that are no content region: paragraphs, headings, items, cells and what stands inside lines.
+_INNER = frozenset("p b i a em strong span font u small h1 h2 h3 h4 h5 h6 li td tr blockquote ul ol dl dt dd pre figure table thead tbody tfoot".split())
 #: An opening tag of the key ends open elements of the named kinds.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
+
+
+def _marked(token: str) -> bool:
+    """Whether a whole token is a mark or a known compound of one."""
+    parts = _PART.findall(token)
+    while parts and parts[0] in _BEFORE:
+        parts = parts[1:]
+    while parts and parts[-1] in _BEHIND:
+        parts = parts[:-1]
+    return bool(parts) and all(p in _MARKS for p in parts)
 
 
 class _Lines(HTMLParser):
@@ -81,7 +96,7 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in _VOID:
             return
-        marked = any(w in _MARKS for key, value in attrs if key in ("class", "id", "role") and value for w in _WORD.findall(value.lower()))
+        marked = any(_marked(w) for key, value in attrs if key in ("class", "id", "role") and value for w in value.lower().split())
         self.count += 1
         self.names[self.count] = tag
         self.open.append((tag, self.count, (bool(self.open) and self.open[-1][2]) or tag in _NEVER or (marked and tag not in ("html", "body", "article", "main"))))
@@ -132,15 +147,14 @@ def main_text(html: str | None) -> str:
         return ""
     limit = THRESHOLD * sum(ratios[i] for i in allowed) / len(allowed)
     clusters = [i for i in allowed if ratios[i] >= limit]
+    # an article or main element with most of the text is the region, or else the smallest element around all clusters; numbers rise inwards
     weight: dict[int, int] = {}
     for i in clusters:
         for n in lines[i][2]:
             weight[n] = weight.get(n, 0) + len(lines[i][0])
     total = sum(len(lines[i][0]) for i in clusters)
-    # inline elements and paragraphs are no regions; numbers rise inwards
-    regions = [n for n, w in weight.items() if w >= REGION_SHARE * total and parsed.names[n] not in ("p", "b", "i", "a", "em", "strong", "span", "font", "u", "small", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "blockquote", "ul", "ol")]
-    outer = [n for n in regions if parsed.names[n] in ("article", "main")]
-    region = min(outer) if outer else max(regions, default=None)
+    outer = [n for n, w in weight.items() if w >= REGION_SHARE * total and parsed.names[n] in ("article", "main")]
+    region = min(outer) if outer else max((n for n, w in weight.items() if w == total and parsed.names[n] not in _INNER), default=None)
     return "\n\n".join(lines[i][0] for i in allowed if region is None or region in lines[i][2])
 
 

@@ -122,6 +122,22 @@ def test_main_text_without_an_article_element():
     assert pages.main_text(html) == "Long enough text of the page, first part.\n\nAnd the second part, long as well."
 
 
+def test_main_text_keeps_a_body_that_is_split():
+    long, rest = "Most of the text of the page stands here. " * 12, "The rest of the text stands in a second element. " * 6
+    for name in ("div", "section", "pre", "table"):
+        inner = f"<tr><td>{long}</td></tr>" if name == "table" else long if name == "pre" else f"<p>{long}</p>"
+        html = f"<body><div id=post><h1>Title</h1><{name}>{inner}</{name}><div><p>{rest}</p></div></div><div class='site-footer'>{rest}</div></body>"
+        assert pages.main_text(html) == f"Title\n\n{long.strip()}\n\n{rest.strip()}", name
+
+
+def test_marks_are_whole_tokens_or_known_compounds():
+    text = "A text of the page that is long enough to count. " * 5
+    for name in ("content with-sidebar", "post no-comments", "layout search-results", "sidebar-left", "skip-none"):
+        assert pages.main_text(f"<body><div class='{name}'><p>{text}</p></div></body>") == text.strip(), name
+    for name in ("x sidebar", "site-footer", "ad-slot-3", "main_menu", "cookie-banner", "comments-area", "related-posts"):
+        assert pages.main_text(f"<body><div><p>{text}</p></div><div class='{name}'><p>{text}</p></div></body>") == text.strip(), name
+
+
 def test_pages_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "plain &amp text"), (5, "u", "<div>" * 2000 + "deep"), (5, "u", ARTICLE), (5, "u", ARTICLE), (6, "u", "<article></article>"), (7, "u", "<p>" + "word " * 20000)]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
