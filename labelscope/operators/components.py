@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelscope.sources.shared import shared_table
@@ -24,8 +24,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table of the shared folder, with their number and a digest counted while they are written."""
+    seen = Observation()
+    out = shared_table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")), "edges")
+    return out, (seen.get["n"], seen.get["digest"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -39,11 +42,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         .select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .distinct()
     )
-    now = shared_table(now, "edges")
-    before = _digest(now)
+    now, before = _written(now)
     while before[0]:
-        now = shared_table(_star(_star(now, large=True), large=False), "edges")
-        after = _digest(now)
+        now, after = _written(_star(_star(now, large=True), large=False))
         if after == before:
             break
         before = after

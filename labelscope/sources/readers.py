@@ -54,18 +54,28 @@ def read_label_csv(spark: SparkSession, path: str, schema: StructType, required:
 
 
 def read_label_batches(spark: SparkSession, paths: str | list[str], schema: StructType, overrides: DataFrame | None = None, id_col: str = "id") -> DataFrame:
-    """Batch files as one table: of an id's rows the one in the last file counts, and an override replaces the whole row."""
-    rows = spark.read.schema(schema).json(paths).select("*", F.col("_metadata.file_path").alias("_f")).where(F.col(id_col).isNotNull()).withColumn("_p", F.lit(0))
+    """Batch files as one table: of an id's rows the last line of the last file counts, and an override replaces the whole row.
+
+    A line's place is the start of its file's block and its number within the task that reads the block.
+    """
+    place = F.struct(F.lit(0).alias("p"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.schema(schema).json(paths).select("*", place.alias("_at")).where(F.col(id_col).isNotNull())
     if overrides is not None:
-        rows = rows.unionByName(overrides.withColumns({"_f": F.lit(""), "_p": F.lit(1)}))
+        over = F.struct(F.lit(1).alias("p"), F.lit("").alias("f"), F.lit(0).cast("long").alias("b"), F.monotonically_increasing_id().alias("n"))
+        rows = rows.unionByName(overrides.withColumn("_at", over))
     others = [f.name for f in schema.fields if f.name != id_col]
-    return rows.groupBy(id_col).agg(F.max_by(F.struct(*others), F.struct("_p", "_f")).alias("_b")).select(id_col, *(F.col(f"_b.{c}").alias(c) for c in others))
+    return rows.groupBy(id_col).agg(F.max_by(F.struct(*others), "_at").alias("_b")).select(id_col, *(F.col(f"_b.{c}").alias(c) for c in others))
+
 
+def write_table(df: DataFrame, path: str, digits: int = 6, format: str = "parquet", order: Sequence[str] = ()) -> None:
+    """A table with doubles rounded; in CSV null is empty.
 
-def write_table(df: DataFrame, path: str, digits: int = 6, format: str = "parquet") -> None:
-    """A table with doubles rounded; in CSV null is empty."""
+    With an order, a CSV is one sorted file, for tables that are published to be read: totals,
+    estimates and the like, of a few rows by class. Without one each task writes its own part.
+    """
     out = df.select(*(F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes))
     if format == "csv":
+        out = out.coalesce(1).sortWithinPartitions(*order) if order else out
         out.write.csv(path, header=True, nullValue="", quote='"', escape='"')
     else:
         out.write.parquet(path)
@@ -82,16 +92,20 @@ def publish(df: DataFrame, root: str, name: str, version: str) -> str:
     A version is written once: to write one that exists is an error, so a retry after a lost
     driver takes a new version.
     """
-    spark = df.sparkSession
     path = f"{root}/{name}/version={version}"
     df.write.mode("error").parquet(path)
-    spark.createDataFrame([(name, version)], "name string, version string").coalesce(1).write.mode("append").parquet(f"{root}/_current")
+    point_to(df.sparkSession, root, name, version)
     return path
 
 
+def point_to(spark: SparkSession, root: str, name: str, version: str) -> None:
+    """Make a written version, new or old, the one that readers get: the latest pointer counts, whatever the version is called."""
+    spark.range(1, numPartitions=1).select(F.lit(name).alias("name"), F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at")).write.mode("append").parquet(f"{root}/_current")
+
+
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest published version of a table."""
-    newest = spark.read.schema("name string, version string").parquet(f"{root}/_current").where(F.col("name") == name).agg(F.max("version")).first()[0]
+    """The version of a table that was pointed to last."""
+    newest = spark.read.schema("name string, version string, at long").parquet(f"{root}/_current").where(F.col("name") == name).agg(F.max_by("version", F.struct("at", "version"))).first()[0]
     if newest is None:
         raise ValueError(f"{name} was never published")
     return spark.read.parquet(f"{root}/{name}/version={newest}")

@@ -182,8 +182,29 @@ def test_readers(spark, tmp_path):
     got = readers.read_label_csv(spark, str(tmp_path / "sheet.csv"), schema, "family", ["ok"]).orderBy("id").collect()
     assert [(r.id, r.family, r.ok) for r in got] == [("1", "a", True), ("3", 'b "q"\nline', False)]
     assert readers.manifest(spark, str(tmp_path / "sheet.csv")).first().bytes == (tmp_path / "sheet.csv").stat().st_size
-    readers.write_table(spark.createDataFrame([(1, 0.123456789, None)], "a int, b double, c string"), str(tmp_path / "t"), format="csv")
-    assert "1,0.123457," in next((tmp_path / "t").glob("part*")).read_text()
+    table = spark.createDataFrame([(2, 0.5, "x"), (1, 0.123456789, None)], "a int, b double, c string").repartition(5)
+    readers.write_table(table, str(tmp_path / "t"), format="csv", order=["a"])
+    (only,) = (tmp_path / "t").glob("part*")
+    assert only.read_text() == "a,b,c\n1,0.123457,\n2,0.5,x\n"
+    readers.write_table(table, str(tmp_path / "parts"), format="csv")
+    lines = [x for f in (tmp_path / "parts").glob("part*") for x in f.read_text().splitlines() if x != "a,b,c"]
+    assert sorted(lines) == ["1,0.123457,", "2,0.5,x"]
+
+
+def test_label_batches_take_the_last_line_of_the_last_file(spark, tmp_path):
+    (tmp_path / "b0.jsonl").write_text('{"id": 1, "family": "a"}\n{"id": 2, "family": "x"}\n')
+    (tmp_path / "b1.jsonl").write_text('{"id": 1, "family": "b"}\n{"id": 1, "family": "c"}\n{"id": 1, "family": "a"}\n{"id": 3, "family": "y"}\n')
+    over = spark.createDataFrame([(3, "z")], LABEL)
+    got = {r.id: r.family for r in readers.read_label_batches(spark, str(tmp_path / "b*.jsonl"), LABEL, over).collect()}
+    assert got == {1: "a", 2: "x", 3: "z"}
+
+
+def test_the_latest_pointer_counts_and_may_go_back(spark, tmp_path):
+    for version in ("9", "10"):
+        readers.publish(spark.createDataFrame([(version,)], "v string"), str(tmp_path), "t", version)
+    assert readers.published(spark, str(tmp_path), "t").first().v == "10"
+    readers.point_to(spark, str(tmp_path), "t", "9")
+    assert readers.published(spark, str(tmp_path), "t").first().v == "9"
 
 
 def test_intake_stream_equals_batch_and_is_idempotent(spark, tmp_path):
