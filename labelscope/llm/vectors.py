@@ -3,16 +3,27 @@
 Unit vectors with a cosine of ``c`` or more have a squared distance of at most 2 - 2c. Rotated
 and split into ``blocks`` of coordinates, at least one block of such a pair has at most the
 block's proportional share of it. Each block is range-joined on a grid over its first
-coordinates: a vector lies in one cell and is looked up in every cell that its range touches.
-The union of the blocks' pairs is verified on the original vectors in double precision.
+coordinates: a vector lies in one cell and is looked up in the cells behind its own that its range
+touches, so two near vectors meet in one cell of a block. Everything is kept apart by label and
+by vector size, as both the shares and the grid follow from the size.
+
+Rotated coordinates are whole numbers, so that their distances are exact wherever they are
+computed. A pair is judged in the first block that is within its share, on the original vectors
+in double precision; all other meetings leave it out. So links are counted where they are
+found and only counts, and for each vector the smallest one that it is connected to there, leave
+a task: rows grow with the vectors and not with their pairs. A cell of many vectors is
+compared in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +32,11 @@ from labelscope.llm.common import map_batches
 from labelscope.operators.components import connected_components
 from labelscope.sources.shared import shared_table
 
-BLOCKS, GRID_DIMS, SEED = 8, 4, 5
-#: Added to squared distances so that rounding loses no pair.
-SLACK = 1e-9
+BLOCKS, GRID_DIMS, SEED = 4, 3, 5
+#: Whole-number steps of a rotated coordinate between 0 and 1.
+STEPS = 16384
+#: Rows of a cell that are compared at once, rows that a task gathers, and hot cells that are broadcast at most.
+CHUNK, BIN_ROWS, BROADCAST_CELLS = 2048, 8192, 100_000
 
 
 def usable(vector: list | None) -> np.ndarray | None:
@@ -34,77 +47,194 @@ def usable(vector: list | None) -> np.ndarray | None:
     return v if np.isfinite(v).all() and v.any() else None
 
 
+def by_size(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, rows, matrix) of the usable vectors of a column of lists, for each size."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    begin = np.cumsum(lengths) - lengths
+    for size in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == size)
+        x = values[begin[rows][:, None] + np.arange(size)]
+        ok = np.isfinite(x).all(1) & x.any(1)
+        if ok.any():
+            yield int(size), rows[ok], x[ok]
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes: four for a number that single precision holds, or else eight."""
+    short = x.astype(np.float32)
+    exact = (short == x).all(1)
+    return [s.tobytes() if e else r.tobytes() for s, r, e in zip(short, x, exact, strict=True)]
+
+
+def unpacked(raw: list[bytes], size: int) -> np.ndarray:
+    if all(len(r) == 4 * size for r in raw):
+        return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), size).astype(np.float64)
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * size else np.float64).astype(np.float64) for r in raw])
+
+
 def rotation(size: int, seed: int = SEED) -> np.ndarray:
     """A seeded orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))
     return q * np.sign(np.diag(r))
 
 
-def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, digest, vector as bytes of doubles) of the rows that can be linked."""
+def shares(size: int, blocks: int, threshold: float) -> list[tuple[slice, float]]:
+    """Each block's coordinates and its share of the squared distance, in squared steps, with room for rounding."""
+    cuts = np.array_split(np.arange(size), min(blocks, size))
+    # rounding moves a block's difference by at most one step in each coordinate
+    return [(slice(c[0], c[-1] + 1), float(np.floor((STEPS * np.sqrt(max(2 - 2 * threshold, 0) * len(c) / size) + np.sqrt(len(c)) + 1) ** 2))) for c in cuts]
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, digests, raw = [], [], []
-        for i, v in enumerate(batch.column(2).to_pylist()):
-            if (v := usable(v)) is not None:
-                keep.append(i)
-                raw.append(v.tobytes())
-                digests.append(xxhash.xxh3_128_digest(raw[-1]))
-        kept = batch.take(pa.array(keep, pa.int64()))
-        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], names=["id", "label", "digest", "raw"])
 
-    picked = vectors.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    return map_batches(picked, make, "id long, label string, digest binary, raw binary")
+def turned(x: np.ndarray) -> np.ndarray:
+    """Unit vectors rotated, in whole steps."""
+    return np.rint(STEPS * (x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)) @ rotation(x.shape[1])).astype(np.int16)
 
 
-def _cells(classes: DataFrame, threshold: float, own: bool, blocks: int, dims: int) -> DataFrame:
-    """(key, id, part): for each block the vector's own cell, or all cells that its range touches."""
+def _digests(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, whole: bool) -> DataFrame:
+    """(id, label, digest) of each row, and the vector's size and bytes if asked; the digest is null for rows that cannot be linked."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out_key, out_id, out_part = [], [], []
-        for i, label, raw in zip(ids, labels, batch.column(2).to_pylist(), strict=True):
-            v = np.frombuffer(raw)
-            turned = rotations.setdefault(len(v), rotation(len(v))) @ (v / np.linalg.norm(v))
-            for b, part in enumerate(np.array_split(turned, min(blocks, len(v)))):
-                radius = np.sqrt((2 - 2 * threshold) * len(part) / len(v)) + SLACK
-                x = part[:dims] / (2 * radius)
-                low, high = np.floor(x).astype(int), np.floor(x).astype(int)
-                if not own:
-                    low, high = np.floor(x - 0.5).astype(int), np.floor(x + 0.5).astype(int)
-                for cell in product(*(range(a, z + 1) for a, z in zip(low, high, strict=True))):
-                    out_key.append(xxhash.xxh3_64_intdigest(f"{label}|{len(v)}|{b}|{cell}") - (1 << 63))
-                    out_id.append(i)
-                    out_part.append(part)
-        return pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_part, pa.list_(pa.float64()))], names=["key", "id", "part"])
-
-    rotations: dict[int, np.ndarray] = {}
-    return map_batches(classes.select("id", "label", "raw"), make, "key long, id long, part array<double>")
+        digests: list = [None] * batch.num_rows
+        raws, sizes = [None] * batch.num_rows, [None] * batch.num_rows
+        labelled = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        for size, rows, x in by_size(batch.column(2)):
+            for i, r, v in zip(rows.tolist(), packed(x), x + 0.0, strict=True):  # -0 is 0
+                if labelled[i]:
+                    digests[i], raws[i], sizes[i] = xxhash.xxh3_128_digest(v.tobytes()), r, size
+        out = [batch.column(0), batch.column(1), pa.array(digests, pa.binary())]
+        if not whole:
+            return pa.RecordBatch.from_arrays(out, names=["id", "label", "digest"])
+        found = pa.RecordBatch.from_arrays([*out, pa.array(sizes, pa.int32()), pa.array(raws, pa.binary())], names=["id", "label", "digest", "size", "raw"])
+        return found.filter(found.column(2).is_valid())
+
+    picked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    return map_batches(picked, make, "id long, label string, digest binary" + (", size int, raw binary" if whole else ""))
+
+
+def _cells(classes: DataFrame, threshold: float, blocks: int, dims: int, whole: bool) -> DataFrame:
+    """(key, own, ...): for each block the vector's own cell, and the cells behind it that its range touches."""
+    names = ["key", "own", *(["cid", "n", "size", "part", "raw", "steps"] if whole else [])]
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        label, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        sizes = batch.column(3).to_numpy(zero_copy_only=False)
+        keys, owns, rows, parts, steps = [], [], [], [], np.empty(batch.num_rows, object)
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            q = turned(unpacked([raw[i] for i in at], size))
+            steps[at] = [v.tobytes() for v in q]
+            seeds = np.array([xxhash.xxh3_64_intdigest(f"{size}|{label[i]}") for i in at], np.uint64)
+            for b, (part, limit) in enumerate(shares(size, blocks, threshold)):
+                radius = np.sqrt(limit)
+                x = q[:, part][:, :dims].astype(np.float64)
+                own = np.floor(x / (2 * radius)).astype(np.int64)
+                low, high = np.floor((x - radius) / (2 * radius)).astype(np.int64), np.floor((x + radius) / (2 * radius)).astype(np.int64)
+                for shift in product((0, 1, 2), repeat=x.shape[1]):  # a range of twice the radius touches three cells at most, two but for ties
+                    cell = low + np.array(shift)
+                    ahead = cell - own
+                    first = np.take_along_axis(ahead, (ahead != 0).argmax(1)[:, None], 1)[:, 0]
+                    go = np.flatnonzero((cell <= high).all(1) & (first >= 0))
+                    h = seeds[go]
+                    for number in (np.uint64(b), *cell[go].T.astype(np.uint64)):
+                        h = (h ^ number) * np.uint64(0x9E3779B97F4A7C15)
+                        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                        h ^= h >> np.uint64(29)
+                    keys.append(h.view(np.int64))
+                    owns.append(first[go] == 0)
+                    rows.append(at[go])
+                    parts.append(np.full(len(go), b, np.int32))
+        if not keys:
+            return None
+        out = [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owns))]
+        if whole:
+            where = pa.array(np.concatenate(rows))
+            out += [batch.column(0).take(where), batch.column(4).take(where), batch.column(3).take(where), pa.array(np.concatenate(parts)), batch.column(2).take(where), pa.array(steps.tolist(), pa.binary()).take(where)]
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = "key long, own boolean" + (", cid long, n long, size int, part int, raw binary, steps binary" if whole else "")
+    return map_batches(classes.select("cid", "label", "raw", "size", "n"), make, schema, rows=256)
+
+
+def _group_links(frame: pd.DataFrame, threshold: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of one cell, or pair of its chunks: the vectors linked to it, and the place of the first row that it is connected to."""
+    size, part = int(frame["size"].iloc[0]), int(frame["part"].iloc[0])
+    x, q = unpacked(frame["raw"].tolist(), size), np.frombuffer(b"".join(frame["steps"]), np.int16).reshape(len(frame), size).astype(np.float64)
+    norm, n, own = np.sqrt((x * x).sum(1)), frame["n"].to_numpy(), frame["own"].to_numpy(bool)
+    cuts = shares(size, blocks, threshold)[: part + 1]
+    square = [(q[:, c] ** 2).sum(1) for c, _ in cuts]
+    others, ends = np.zeros(len(frame), np.int64), []
+
+    def compare(left: np.ndarray, right: np.ndarray, once: bool) -> None:
+        for s in range(0, len(left), 256):
+            a = left[s : s + 256]
+            near = np.ones((len(a), len(right)), bool)
+            for k in (part, *range(part)):
+                c, limit = cuts[k]
+                within = square[k][a][:, None] + square[k][right] - 2 * (q[a][:, c] @ q[right][:, c].T) <= limit
+                near &= within if k == part else ~within
+                if not near.any():
+                    break
+            else:
+                if once:
+                    near &= right > a[:, None]
+                cos = (x[a] @ x[right].T) / (norm[a][:, None] * norm[right])
+                unsure = near & (np.abs(cos - threshold) < 1e-9)
+                near &= cos >= threshold
+                for i, j in zip(*np.nonzero(unsure), strict=True):
+                    u, v = x[a[i]], x[right[j]]
+                    near[i, j] = u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= threshold
+                others[a] += near @ n[right]
+                others[right] += n[a] @ near
+                i, j = np.nonzero(near)
+                ends.append(np.stack([a[i], right[j]]).astype(np.int32))
+
+    side = frame["chunk"].to_numpy() == frame["i"].to_numpy()
+    if (frame["i"] == frame["j"]).all():
+        compare(np.flatnonzero(own), np.flatnonzero(own), True)
+        compare(np.flatnonzero(own), np.flatnonzero(~own), False)
+    else:
+        compare(np.flatnonzero(side & own), np.flatnonzero(~side), False)
+        compare(np.flatnonzero(side & ~own), np.flatnonzero(~side & own), False)
+    first = np.arange(len(frame))
+    if ends:
+        a, b = np.concatenate(ends, 1)
+        while True:
+            before = first.copy()
+            np.minimum.at(first, a, before[b])
+            np.minimum.at(first, b, before[a])
+            first = first[first]
+            if (first == before).all():
+                break
+    return others, first
 
 
 def _links(classes: DataFrame, threshold: float, blocks: int, dims: int) -> DataFrame:
-    """(a, b): pairs of classes with one label and a cosine of the threshold or more, a < b."""
-    # the largest block's share of the squared distance; smaller blocks are range-joined with it too
-    size = classes.select((F.max(F.length("raw")) / 8).cast("int")).first()[0] or 1
-    widest = -(-size // min(blocks, size))
-    budget = (2 - 2 * threshold) * widest / size + SLACK
-    a = _cells(classes, threshold, True, blocks, dims).select("key", F.col("id").alias("a"), *(F.get("part", F.lit(i)).alias(f"x{i}") for i in range(widest)))
-    b = _cells(classes, threshold, False, blocks, dims).select("key", F.col("id").alias("b"), *(F.get("part", F.lit(i)).alias(f"y{i}") for i in range(widest)))
-    square = sum((F.coalesce(F.col(f"x{i}") - F.col(f"y{i}"), F.lit(0.0)) * F.coalesce(F.col(f"x{i}") - F.col(f"y{i}"), F.lit(0.0)) for i in range(widest)), F.lit(0.0))
-    met = a.withColumnRenamed("key", "k").join(b, (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & (square <= budget))
-    pairs = met.select("a", "b").distinct()
+    """(cid, others, root): for each class and cell the vectors linked to it there, and a class it is connected to there."""
+    counts = shared_table(_cells(classes, threshold, blocks, dims, False).groupBy("key").agg(F.count("*").alias("rows")).groupBy(F.ceil(F.col("rows") / CHUNK).alias("chunks"), F.when(F.col("rows") > CHUNK, F.col("key")).alias("key")).agg(F.sum("rows").alias("rows")), "cells")
+    total = counts.agg(F.sum(F.col("rows") * F.col("chunks"))).first()[0] or 0
+    hot = counts.where("key is not null").select("key", "chunks")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_CELLS else hot
+    met = _cells(classes, threshold, blocks, dims, True).join(hot, "key", "left")
+    last = F.coalesce("chunks", F.lit(1).cast("long")) - 1
+    met = met.withColumn("chunk", F.pmod(F.xxhash64("cid"), last + 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    met = met.select("key", "own", "cid", "n", "size", "part", "raw", "steps", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    met = met.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, total // BIN_ROWS))))
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            if len(x) == len(y):
-                x, y = np.frombuffer(x), np.frombuffer(y)
-                keep[i] = x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= threshold
-        return batch.select(["a", "b"]).filter(pa.array(keep))
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "i", "j", "cid"], kind="stable", ignore_index=True)
+        key, i, j = (frame[c].to_numpy() for c in ("key", "i", "j"))
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        out = [pd.DataFrame({"cid": np.empty(0, np.int64), "others": np.empty(0, np.int64), "root": np.empty(0, np.int64)})]
+        for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(key)], strict=True):
+            if hi - lo > 1:
+                cid = frame["cid"].to_numpy()[lo:hi]
+                others, first = _group_links(frame.iloc[lo:hi], threshold, blocks)
+                some = others > 0
+                out.append(pd.DataFrame({"cid": cid[some], "others": others[some], "root": cid[first[some]]}))
+        return pd.concat(out)
 
-    whole = classes.select("id", "raw")
-    met = pairs.join(whole.select(F.col("id").alias("a"), F.col("raw").alias("ra")), "a").join(whole.select(F.col("id").alias("b"), F.col("raw").alias("rb")), "b")
-    return map_batches(met.select("a", "b", "ra", "rb"), make, "a long, b long")
+    return met.groupBy("bin").applyInPandas(compare, "cid long, others long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, blocks: int = BLOCKS, dims: int = GRID_DIMS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -118,21 +248,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, blocks: int = B
     repeat an id with other vectors each follow their own vector. Other columns are not read. An
     empty table gives an empty table.
     """
-    rows = shared_table(_classes(vectors, id_col, vector_col, label_col), "vectors")
-    classes = shared_table(rows.groupBy("label", "digest").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("raw").alias("raw")), "classes")
-    links = shared_table(_links(classes, threshold, blocks, dims), "links")
-    comps = connected_components(links, "a", "b")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(classes.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
-    found = classes.join(linked, classes["id"] == linked["a"], "left").join(comps, classes["id"] == comps["node"], "left")
-    found = found.select("label", "digest", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    by_row = rows.select("id", "label", "digest").distinct().join(found, ["label", "digest"]).groupBy("id", "label", "digest").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests = [xxhash.xxh3_128_digest(v.tobytes()) if v is not None else None for v in map(usable, batch.column(2).to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["vec_id", "label", "digest"])
-
-    every = map_batches(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")), make, "vec_id long, label string, digest binary")
-    met = every.join(by_row.withColumnRenamed("id", "vec_id"), ["vec_id", "label", "digest"], "left")
-    component = F.coalesce("component", "vec_id")
-    return met.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    rows = _digests(vectors, id_col, vector_col, label_col, True)
+    classes = rows.groupBy("label", "digest").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("raw").alias("raw"))
+    classes = shared_table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    links = shared_table(_links(classes, threshold, blocks, dims).groupBy("cid", "root").agg(F.sum("others").alias("others")), "links")
+    comps = connected_components(links, "cid", "root").withColumnsRenamed({"node": "cid"})
+    counted = links.groupBy("cid").agg(F.sum("others").alias("others"))
+    found = classes.select("cid", "label", "digest", "id", "n").join(counted, "cid", "left").join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    found = shared_table(found.select("label", "digest", "id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component"), "found")
+    lowest = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = found.join(lowest, "component").select("label", "digest", "n_links", "component_id")
+    met = _digests(vectors, id_col, vector_col, label_col, False).join(known, ["label", "digest"], "left")
+    component = F.coalesce("component_id", "id")
+    return met.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

@@ -30,8 +30,30 @@ def near_rows(size=16, seed=3):
     return rows
 
 
-def test_embedding_links_against_brute_force(spark):
-    rows = near_rows()
+def pairs_of_sizes():
+    """Near pairs of 15 coordinates, spread unevenly over the blocks, beside longer and shorter vectors."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for size, pairs in ((15, 120), (64, 4), (3, 10), (1, 2), (17, 30)):
+        for _ in range(pairs):
+            x = rng.normal(size=size) * rng.choice([0.05, 1, 4], size)
+            step = np.zeros(size)
+            step[rng.integers(size) if rng.random() < 0.7 else slice(None)] = 1
+            y = x + step * np.linalg.norm(x) * rng.uniform(0, 0.2) / np.linalg.norm(step)
+            rows += [(len(rows), [float(v) for v in np.float32(x)], 1), (len(rows) + 1, [float(v) for v in np.float32(y)], 1)]
+    return rows
+
+
+def crowd(size=8, n=700):
+    """One cell of many vectors, some of them equal, in a chain of near ones."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=size)
+    return [(i, [float(v) for v in np.float32(base + rng.normal(size=size) * 0.13 * (i % 5))], i % 2) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows, chunk", [(near_rows(), 2048), (pairs_of_sizes(), 2048), (crowd(), 64)])
+def test_embedding_links_against_brute_force(spark, monkeypatch, rows, chunk):
+    monkeypatch.setattr(vectors, "CHUNK", chunk)
     good = {i: (np.array(v, np.float64), label) for i, v, label in rows if label is not None and vectors.usable(v) is not None}
     linked = defaultdict(set)
     for a, (x, p) in good.items():
@@ -64,8 +86,8 @@ def test_a_close_pair_is_close_in_some_block():
         y = x + rng.normal(size=64) * 0.02
         y /= np.linalg.norm(y)
         if x @ y >= 0.98:
-            parts = [((a - b) ** 2).sum() for a, b in zip(np.array_split(turn @ x, 8), np.array_split(turn @ y, 8), strict=True)]
-            assert min(parts) <= 0.04 / 8 + 1e-9
+            steps = vectors.turned(np.stack([x, y])).astype(float)
+            assert any(((steps[0, c] - steps[1, c]) ** 2).sum() <= limit for c, limit in vectors.shares(64, 4, 0.98))
 
 
 def exact(rows, queries, k):
