@@ -160,6 +160,55 @@ def test_marks_are_whole_tokens_or_known_compounds():
         assert pages.main_text(f"<body><div><p>{text}</p></div><div class='{name}'><p>{text}</p></div></body>") == text.strip(), name
 
 
+LONG = "A text of the page that is long enough to count, and more of it. " * 6
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<article><p>{LONG}<span class="ad">buy now</span> on</p></article>', [LONG.strip() + " on"]),
+        (f'<article><h1>T</h1><h2 id="search">Search</h2><p>{LONG}</p></article>', ["T", "Search", LONG.strip()]),
+        (f'<div id="social-history"><article><p>{LONG}</p></article></div>', [LONG.strip()]),
+        (f'<div class="banner"><article><p>{LONG}</p></article></div>', [LONG.strip()]),
+        (f'<body><div id="popup"><p>{LONG}</p></div><div class="footer">x</div></body>', [LONG.strip()]),
+        (f"<header>Site</header><article><header><h1>Title</h1></header><p>{LONG}</p></article>", ["Title", LONG.strip()]),
+        (f"<article><p>{LONG}<button>Go</button> end</p></article>", [LONG.strip() + " end"]),
+        (f'<article><p>{LONG}</p></article><section class="comments"><article class="comment"><p>{LONG * 9}</p></article></section>', [LONG.strip()]),
+        (f"<div><p>{LONG}</p></div><div><p>{LONG}</p></div>", [LONG.strip()] * 2),
+    ],
+)
+def test_main_text_of_odd_pages(html, want):
+    assert pages.main_text(html) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<p><b>x", "<li><i class=ad>x", "<table><tr><td>x", "</div>x", "<span>"])
+def test_a_page_of_unclosed_tags_takes_time_in_proportion(unit):
+    import time
+
+    begun = time.time()
+    pages.main_text(unit * ((1 << 20) // len(unit)))
+    assert time.time() - begun < 30
+
+
+def plain_text(html):
+    """What a plain walk over well-formed articles gives: block texts outside barred elements."""
+    import re as r
+    from html import unescape
+
+    body = r.sub(r"(?s)<!--.*?-->|<(script|style|nav|aside|footer|form)\b.*?</\1>|<div class=.ad.>.*?</div>", "", html)
+    body = r.search(r"(?s)<article>(.*?)</article>", body)
+    cut = r.split(r"</?(?:p|h[1-6]|ul|ol|li|blockquote|div|section|pre|table|tr|td|th)\b[^>]*>", body[1] if body else "")
+    found = [" ".join(unescape(r.sub(r"<[^>]*>", "", r.sub(r"<br\s*/?>", " ", c))).split()) for c in cut]
+    return "\n\n".join(t for t in found if t)
+
+
+def test_all_pages_against_a_plain_walk(spark):
+    rows = read_table(spark, "/root/testdata/sf0.1", "pages").collect()
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows)).collect()}
+    wrong = [r.page_id for r in rows if got[r.page_id] != plain_text(r.html)]
+    assert len(rows) == len(got) and not wrong, (len(wrong), wrong[:5])
+
+
 def test_pages_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (4, "u", "plain &amp text"), (5, "u", "<div>" * 2000 + "deep"), (5, "u", ARTICLE), (5, "u", ARTICLE), (6, "u", "<article></article>"), (7, "u", "<p>" + "word " * 20000)]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
