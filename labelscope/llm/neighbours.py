@@ -5,8 +5,9 @@ vector is indexed with its list and its code. A query looks into the lists with
 inner products to their centroids, scores their vectors from a table of its inner products with
 all codewords, and ranks the best again by the exact inner product of the original vectors.
 
-Index and queries are dealt into blocks by the hash of the id, whatever their lists, so a list
-that holds a third of all vectors is spread over all blocks.
+Lists lie in bins of bounded size, near lists together; a list with more vectors than a bin holds
+is dealt over several by the hash of the id. A query is sent to the bins of its lists and to
+no other, and the queries of a bin are taken in blocks.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.common import map_batches
-from labelscope.llm.vectors import usable
+from labelscope.llm.vectors import by_size
 from labelscope.sources.shared import shared_table
 
 #: Bound of the sample that centroids and codebooks are fitted on.
 SAMPLE = 20_000
-LISTS, SUBSPACES, CODEWORDS = 64, 16, 256
-#: Share of the lists that a query looks into, and vectors of a block that are ranked exactly.
-PROBED, RERANK = 0.75, 200
-#: Index rows and query rows of a block.
-INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Lists at most, one for each ``LIST_ROWS`` vectors of the sample, subspaces and codewords of each.
+LISTS, LIST_ROWS, SUBSPACES, CODEWORDS = 256, 16, 16, 256
+#: Share of the lists that a query looks into, and vectors of a bin that are ranked exactly.
+PROBED, RERANK = 0.6, 200
+#: Index rows of a bin and query rows of a block.
+INDEX_BLOCK, QUERY_BLOCK = 16384, 4096
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -58,6 +60,34 @@ class Index:
         residual = sample - self.centres[_nearest(sample, self.centres)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1]))
         self.books = [_kmeans(residual[:, c], codewords, seed + 1 + i, 6) for i, c in enumerate(self.cuts)]
+        self.rows, self.base, self.chunks = (np.zeros(len(self.centres), np.int64) for _ in range(3))
+
+    def deal(self, rows: dict[int, int], block: int) -> None:
+        """Give each list of so many rows its bins: its first one and how many; near lists follow one another."""
+        self.rows[list(rows)] = list(rows.values())
+        spread = self.centres - self.centres.mean(0)
+        order = np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")
+        bin_, held = 0, 0
+        for n in order:
+            if held and held + self.rows[n] > block:
+                bin_, held = bin_ + 1, 0
+            self.base[n], self.chunks[n] = bin_, max(1, -(-int(self.rows[n]) // block))
+            held += int(self.rows[n])
+            if self.chunks[n] > 1:
+                bin_, held = bin_ + int(self.chunks[n]), 0
+
+    def opened(self, query: np.ndarray, probed: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """(inner products with the centroids, lists to look into): a share of the lists, and more where they hold fewer than ``keep`` rows."""
+        coarse = self.centres @ query.astype(np.float32)
+        order = np.argsort(-coarse, kind="stable")
+        open_ = np.zeros(len(coarse), bool)
+        open_[order[: max(math.ceil(probed * len(coarse)), int(np.searchsorted(np.cumsum(self.rows[order]), keep)) + 1)]] = True
+        return coarse, open_
+
+    def bins(self, query: np.ndarray, probed: float, keep: int) -> list[int]:
+        """The bins of the lists that a query looks into."""
+        lists = np.flatnonzero(self.opened(query, probed, keep)[1] & (self.rows > 0))
+        return sorted({int(b) for n in lists for b in range(self.base[n], self.base[n] + self.chunks[n])})
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = x.astype(np.float32)
@@ -65,89 +95,104 @@ class Index:
         residual = x - self.centres[lists]
         return lists, np.stack([_nearest(residual[:, c], book).astype(np.uint8) for c, book in zip(self.cuts, self.books, strict=True)], 1)
 
-    def search(self, query: np.ndarray, lists: np.ndarray, codes: np.ndarray, probed: int, keep: int) -> np.ndarray:
-        """Positions of the ``keep`` best index rows of the probed lists; equal scores in index order.
-
-        More lists are opened where the probed ones hold fewer rows than that.
-        """
-        query = query.astype(np.float32)
-        coarse = self.centres @ query
-        open_ = np.zeros(len(coarse), bool)
-        order = np.argsort(-coarse, kind="stable")
-        held = np.cumsum(np.bincount(lists, minlength=len(coarse))[order])
-        open_[order[: max(probed, int(np.searchsorted(held, keep)) + 1)]] = True
+    def search(self, query: np.ndarray, lists: np.ndarray, codes: np.ndarray, probed: float, keep: int | None) -> np.ndarray:
+        """Places of the ``keep`` best rows of the opened lists, all of them for None; equal scores in index order."""
+        coarse, open_ = self.opened(query, probed, keep or 0)
         rows = np.flatnonzero(open_[lists])
-        score = coarse[lists[rows]]
+        if keep is None or len(rows) <= keep:
+            return rows
+        query, score, code = query.astype(np.float32), coarse[lists[rows]], codes[rows]
         for m, (c, book) in enumerate(zip(self.cuts, self.books, strict=True)):
-            score = score + (book @ query[c])[codes[rows, m]]
-        if len(rows) > keep:
-            best = np.flatnonzero(score >= np.partition(score, len(score) - keep)[len(score) - keep])
-            return rows[best[np.argsort(-score[best], kind="stable")[:keep]]]
-        return rows
+            score = score + (book @ query[c])[code[:, m]]
+        best = np.flatnonzero(score >= np.partition(score, len(score) - keep)[len(score) - keep])
+        return rows[best[np.argsort(-score[best], kind="stable")[:keep]]]
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if usable(v) is not None]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array([v for _, v in kept], pa.list_(pa.float64()))], names=["vec_id", "v"])
+    """(vec_id, size, v) of the rows that take part."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for size, rows, x in by_size(batch.column(1)):
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * size), pa.array(x.reshape(-1)))
+            out.append(pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), size, np.int32)), flat], names=["vec_id", "size", "v"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
     picked = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return map_batches(picked, make, "vec_id long, v array<double>")
+    return map_batches(picked, make, "vec_id long, size int, v array<double>")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int = LISTS, probed: float = PROBED, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest rows of ``vectors`` by inner product, found approximately.
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    A query's own id is no candidate. Equal scores rank the smaller id first. Vectors that are
-    null, empty or zero, that hold null or non-finite components or have another size than most,
-    and rows without an id take no part. Rows that repeat an id count once, with their best
-    score, and a repeated query is searched once. Other columns are not read. No usable vectors
-    give an empty table.
-    """
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    every = shared_table(_valid(vectors, id_col, vector_col), "vectors")
-    asked = _valid(queries, id_col, vector_col)
-    size = every.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if size is None:
-        return spark.createDataFrame([], schema)
-    every = every.where(F.size("v") == size["size"])
-    asked = asked.where(F.size("v") == size["size"]).dropDuplicates(["vec_id"])
-    share = min(1.0, SAMPLE / size["count"])
-    draw = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30))
-    sample = every.where(draw < int((1 << 30) * share)).orderBy(draw, "vec_id").limit(SAMPLE).toPandas() if share < 1 else every.orderBy("vec_id").limit(SAMPLE).toPandas()
-    index = Index(np.stack(sample["v"].to_numpy()), lists, SUBSPACES, CODEWORDS)
-    shared = spark.sparkContext.broadcast(index)  # bounded: lists and codewords
 
-    n_queries = asked.count()
-    index_blocks, query_blocks = max(1, math.ceil(size["count"] / INDEX_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
+def _search_size(every: DataFrame, asked: DataFrame, rows: int, k: int, lists: int, probed: float, rerank: int | None) -> DataFrame:
+    """(query_id, vec_id, score): for each query its best rows of each bin, for vectors of one size."""
+    spark = every.sparkSession
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30))
+    near = every if rows <= SAMPLE else every.where(draw < int((1 << 30) * min(1.0, 1.1 * SAMPLE / rows)))
+    sample = np.stack(near.orderBy(draw, "vec_id").limit(SAMPLE).toPandas()["v"].to_numpy())
+    index = Index(sample, max(1, min(lists, len(sample) // LIST_ROWS)), SUBSPACES, CODEWORDS)
+    first = spark.sparkContext.broadcast(index)  # bounded: lists and codewords
+    keep = None if rerank is None else rerank + 1
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array(batch.column(1).to_pylist())
-        which, codes = shared.value.encode(x)
+        which, codes = first.value.encode(_matrix(batch.column(1)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(which.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "code"])
 
-    coded = shared_table(map_batches(every, encode, "vec_id long, v array<double>, list int, code binary"), "index")
-    coded = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(index_blocks))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = asked.withColumn("turn", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index_blocks - 1).cast("long"))))
+    coded = shared_table(map_batches(every.select("vec_id", "v"), encode, "vec_id long, v array<double>, list int, code binary"), "index")
+    index.deal({r[0]: r[1] for r in coded.groupBy("list").count().collect()}, INDEX_BLOCK)  # a row for each list
+    shared = spark.sparkContext.broadcast(index)
+    plan = spark.createDataFrame([(i, int(b), int(c)) for i, (b, c) in enumerate(zip(index.base, index.chunks, strict=True))], "list int, base long, chunks long")
+
+    def route(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bins = [shared.value.bins(v, probed, keep or 0) for v in _matrix(batch.column(1))]
+        at = pa.array(np.repeat(np.arange(len(bins)), [len(b) for b in bins]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([b for each in bins for b in each], pa.int64())], names=["vec_id", "v", "bin"])
+
+    sent = shared_table(map_batches(asked.select("vec_id", "v"), route, "vec_id long, v array<double>, bin long"), "asked")
+    blocks = sent.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("turns"))
+    index_rows = coded.join(F.broadcast(plan), "list").withColumn("bin", F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).drop("base", "chunks")
+    index_rows = index_rows.join(blocks, "bin").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
+    query_rows = sent.join(blocks, "bin").withColumn("turn", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("turns"))).drop("turns")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(left) and len(right):
-            index, left = shared.value, left.sort_values("vec_id", kind="stable")
+            left = left.sort_values("vec_id", kind="stable")
             ids, which = left["vec_id"].to_numpy(), left["list"].to_numpy()
             x, codes = np.stack(left["v"].to_numpy()), np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
             for q, v in zip(right["vec_id"].to_numpy(), right["v"].to_numpy(), strict=True):
-                rows = index.search(v, which, codes, max(1, math.ceil(probed * len(index.centres))), rerank + 1)
-                rows = rows[ids[rows] != q]
-                score = x[rows] @ v
-                top = np.lexsort((ids[rows], -score))[:k]
+                found = shared.value.search(v, which, codes, probed, keep)
+                found = found[ids[found] != q]
+                score = x[found] @ v
+                top = np.lexsort((ids[found], -score))[:k]
                 out[0].append(np.full(len(top), q))
-                out[1].append(ids[rows[top]])
+                out[1].append(ids[found[top]])
                 out[2].append(score[top])
         return pd.DataFrame({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
-    near = coded.groupBy("block", "turn").cogroup(asked.groupBy("block", "turn")).applyInPandas(best, "query_id long, vec_id long, score double")
+    return index_rows.groupBy("bin", "turn").cogroup(query_rows.groupBy("bin", "turn")).applyInPandas(best, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int = LISTS, probed: float = PROBED, rerank: int | None = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest rows of ``vectors`` by inner product, found approximately.
+
+    A query's own id is no candidate. Equal scores rank the smaller id first. Vectors that are
+    null, empty or zero or that hold null or non-finite components, and rows without an id, take
+    no part; a query is compared with the vectors of its own size, each size with an index of its
+    own. Rows that repeat an id count once, with their best score, and a repeated query is searched
+    once, with one of its vectors. Other columns are not read. No usable vectors give an empty table.
+
+    ``probed`` = 1 with ``rerank`` None is an exact search: all lists, and all their rows ranked exactly.
+    """
+    spark = vectors.sparkSession
+    every = shared_table(_valid(vectors, id_col, vector_col), "vectors")
+    asked = shared_table(_valid(queries, id_col, vector_col).groupBy("vec_id").agg(F.min(F.struct("size", "v")).alias("q")).select("vec_id", "q.size", "q.v"), "queries")
+    near = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    wanted = every.join(F.broadcast(asked.select("size").distinct()), "size", "left_semi").groupBy("size").count().collect()  # vector sizes are few
+    for size, rows in sorted(wanted):
+        near = near.unionByName(_search_size(every.where(F.col("size") == size), asked.where(F.col("size") == size), rows, k, lists, probed, rerank))
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
