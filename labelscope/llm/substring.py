@@ -2,11 +2,12 @@
 
 Texts are cut into units at stops and clause marks of any script and at line ends; a unit of more
 than ``LONG`` words is cut further at word boundaries that its own words choose, so that a passage
-put into another sentence finds its cuts again. Every run of ``SPAN`` units with ``MIN_WORDS`` words is
-hashed, every longer run that is needed for as many words where the units are short, and every
-unit that has as many by itself; the first place of each hash, by (document, position), stays, and units covered by a span at any later place
-are removed. A passage that two documents share loses at most its first and last unit to the text
-around it, so what stays of it in the later one is far below 50 words.
+put into another sentence finds its cuts again. From every unit a run goes on over ``SPAN`` units
+and further until it has ``MIN_WORDS`` words; every run is hashed. The first place of each hash, by
+(document, position), stays, and units covered by a run at any later place are removed. A passage
+that two documents share loses at most its first and last units to the text around it, so
+what stays of it in the later one is far below 50 words. Runs of fewer words repeat by chance and in
+stock phrases; a text that has fewer has no run.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from labelscope.llm.common import map_batches
 from labelscope.sources.shared import shared_table
 
-#: Units of a span at least, and the words it must have in all; shorter spans repeat by chance.
-SPAN, MIN_WORDS = 2, 8
+#: Units and words of a run, at least.
+SPAN, MIN_WORDS = 3, 16
 #: A unit of more words is cut before the word of the smallest hash in each window of so many words.
-LONG, WINDOW = 16, 8
+LONG, WINDOW = 8, 8
 
 #: Scripts without spaces between words: each character counts as a word.
 _DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
@@ -76,9 +77,9 @@ def sentences(text: str | None) -> list[str]:
 
 
 def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, units, hash) of each span of units with words; case and white space do not count.
+    """(position, units, hash) of each run of units with words; case and white space do not count.
 
-    Units without a word belong to no span of their own and are stepped over.
+    Units without a word belong to no run of their own and are stepped over.
     """
     found = [w for *_, w in _units(text or "") if w]
     n = len(found)
@@ -86,14 +87,9 @@ def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS)
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     sums = np.concatenate([[0], np.cumsum(np.fromiter((len(w) for w in found), np.int64, n))])
     own = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in found), np.uint64, n)
-    at = np.arange(n)
-    enough = sums[np.minimum(at + span, n)] - sums[:-1] >= min_words
-    units = np.maximum(np.searchsorted(sums, sums[:-1] + min_words) - at, span)
-    # a longer run is only taken where none of its runs of ``span`` has the words
-    following = np.minimum.accumulate(np.where(enough, at, n)[::-1])[::-1]
-    runs = (at + units <= n) & (enough | (at + units - span < following))
-    alone = (np.diff(sums) >= min_words) & ((units > 1) | ~runs)
-    starts, units = np.concatenate([at[runs], at[alone]]), np.concatenate([units[runs], np.ones(alone.sum(), np.int64)])
+    starts = np.arange(n)
+    ends = np.maximum(starts + span, np.searchsorted(sums, sums[:-1] + min_words))
+    starts, units = starts[ends <= n], (ends - starts)[ends <= n]
     mixed = units.astype(np.uint64)
     for k in range(int(units.max(initial=0))):
         go = np.flatnonzero(units > k)

@@ -97,19 +97,21 @@ def test_bitmap_bounds_the_intersection_from_above():
 
 
 def brute_repeats(docs, span, least):
-    """First places by (id, position); sentences of later spans go."""
+    """First places by (id, position); units of later runs go."""
     spans = defaultdict(list)
     parts = {i: substring.sentences(t) for i, t in docs}
     real = {i: [k for k, s in enumerate(p) if s.split()] for i, p in parts.items()}
     for i, _ in docs:
-        for at in range(len(real[i]) - span + 1):
-            words = [w for k in real[i][at : at + span] for w in parts[i][k].lower().split()]
-            if len(words) >= least:
-                spans[tuple(" ".join(parts[i][k].lower().split()) for k in real[i][at : at + span])].append((i, at))
+        for at in range(len(real[i])):
+            end = at + span
+            while end <= len(real[i]) and sum(len(parts[i][k].split()) for k in real[i][at:end]) < least:
+                end += 1
+            if end <= len(real[i]):
+                spans[tuple(" ".join(parts[i][k].lower().split()) for k in real[i][at:end])].append((i, at, end))
     gone = defaultdict(set)
     for places in spans.values():
-        for i, at in sorted(places)[1:]:
-            gone[i] |= set(real[i][at : at + span])
+        for i, at, end in sorted(places)[1:]:
+            gone[i] |= set(real[i][at:end])
     return {i: "".join(s for k, s in enumerate(parts[i]) if k not in gone[i]) for i, _ in docs}
 
 
@@ -128,12 +130,21 @@ def test_substring_against_brute_force(spark):
 
 
 def test_substring_nulls_and_no_rows(spark):
-    df = frame(spark, [None, "", "a b c d e f g h. i j k l m n o p. "] + ["a b c d e f g h. i j k l m n o p. "], ids=[1, 2, None, 3])
+    text = "a b c d e f g h. i j k l m n o p. q r s. "
+    df = frame(spark, [None, "", text, text, text, text, "few words. again. few words. again."], ids=[1, 2, None, 3, 4, 4, 5])
     got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in substring.drop_repeats(df).collect()}
     assert got[1] == (None, 0, 0) and got[2] == ("", 0, 0) and got[None][2] == 0 and got[3][2] == 0
+    assert got[4] == ("", 3, 3) and got[5][2] == 0
     assert substring.drop_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_leaves_long_texts_without_repeats_alone(spark):
+    rng = random.Random(21)
+    long = " ".join(f"w{rng.randrange(10**6)}{'.' if k % 9 == 0 else ''}" for k in range(60000))
+    got = {r.doc_id: (len(r.text), r.n_removed) for r in substring.drop_repeats(frame(spark, [long, long[:200000]])).collect()}
+    assert got[0] == (len(long), 0) and got[1][0] < 200
+
+
 def test_sentences_join_to_the_text():
     for t in ("A 3.5 cat.  Sat!\n\nOn?", "", "...", "a\n\n\nb.\tc", 'He said "no." Then left'):
         assert "".join(substring.sentences(t)) == t
@@ -316,7 +327,7 @@ def test_substring_finds_passages_in_mid_sentence_without_stops_and_in_dense_scr
         for _ in range(3):
             glue = "" if ord(p[0]) > 0x4000 else " "
             texts.append((" ".join(words(rng.randrange(3, 30))) if glue else dense(20)) + glue + p + glue + (" ".join(words(rng.randrange(3, 30))) if glue else dense(20)))
-    alone = " ".join(words(12)) + "."
+    alone = " ".join(words(20)) + "."
     texts += [alone, alone, f"{three}\n{alone}"]
     got = [r.text for r in sorted(substring.drop_repeats(frame(spark, texts)).collect(), key=lambda r: r.doc_id)]
     seen = set()

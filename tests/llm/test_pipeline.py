@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline as P
-from labelscope.llm import pieces, quality
+from labelscope.llm import pieces, quality, substring
 from labelscope.sources.shared import read_table, shared_table
 from tests.llm.test_documents import WORDS, brute_repeats, components, shingle_set, water_filling
 
@@ -31,7 +31,7 @@ def test_stages(spark):
     assert {r.doc_id for r in single.collect()} == {i for i in low if low[i] == i}
 
     cut = shared_table(stage["substring_dedup"](spark, single, SF))
-    want = brute_repeats(sorted((r.doc_id, r.text) for r in single.collect()), 2, 8)
+    want = brute_repeats(sorted((r.doc_id, r.text) for r in single.collect()), substring.SPAN, substring.MIN_WORDS)
     got = {r.doc_id: r.text for r in cut.collect()}
     assert got == {i: t for i, t in want.items() if t.strip() or t == texts[i]}
     assert all(r.n_chars == len(r.text) for r in cut.collect()) and cut.columns == COLUMNS
