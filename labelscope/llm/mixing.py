@@ -3,8 +3,14 @@
 Each source asks for its weight's share of the mix. A source cannot give more than ``max_epochs``
 times its size; what it cannot give is shared again by weight among the others, until none is
 above its cap. The fixed point is min(cap, level * weight) for one level, found over the
-sources in the order of cap / weight, so the whole of it is a few windows over the small table
-of sources.
+sources in the order of cap / weight, so the whole of it is a few windows over the table of sources,
+one row each.
+
+With the rate target / source size, every document of a source is repeated as often as the rate's
+whole part says, and a seeded choice of documents once more: they stand in the order of a hash of
+seed, id and text, and are taken until they have as many words as the rate's fraction asks. The
+last one gives a run of its words, so a source's words come to its target exactly. Where the choice
+ends is found on sums over buckets of the hash; only the rows of that bucket are ranked.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from labelscope.sources.shared import shared_table
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 WORDS = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORDS)
+#: Hex digits of the hash that make a bucket: 65,536 buckets of a source.
+BUCKET_DIGITS = 4
 #: A table of sources up to this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -31,9 +39,10 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def uniform(id_col: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the md5 of seed and id, the same in every run and engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+def draw_order(id_col: str, text_col: str, seed: str = SEED) -> Column:
+    """The md5 of seed, id and text, the same in every run and engine; null counts as empty."""
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col))
+    return F.md5(F.concat_ws(":", F.lit(seed), *parts))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, source_col: str = "source") -> DataFrame:
@@ -62,30 +71,44 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target, whole and part.
 
-    With the rate target / source_size, each document is taken ``whole`` times, the rate's whole
-    part, and once more in ``part`` words: the fraction of its words, rounded up or down by a
-    seeded draw. ``whole * size + part`` is near rate * size for each document, so each source
-    comes within a few words of its target, and no document passes ``max_epochs``.
+    A document is taken ``whole`` times and once more in ``part`` words: all of them where the
+    seeded choice of its source takes it, none where not, and some for the last one it takes. A
+    source's words come to its target, rounded, and no document passes ``max_epochs``.
     Null and wordless texts have size 0 and are never taken; sources without words have target 0.
-    A null source is a source of its own. Repeated rows count each time; a null id draws as an
-    empty one. Columns called like a new one are replaced. An empty table gives an empty table.
+    A null source is a source of its own. Repeated rows count each time and stand side by side in the
+    order; null ids and texts are hashed as empty ones. Columns called like a new one are replaced.
+    An empty table gives an empty table.
     """
     new = ("size", "source_size", "target", "whole", "part")
-    sized = docs.drop(*(c for c in new if c not in (id_col, text_col, source_col))).withColumn("size", word_count(text_col))
-    by = shared_table(targets(docs.select(F.col(source_col).alias("source"), word_count(text_col).alias("size")), weights, share, max_epochs), "targets").withColumnRenamed("source", "_source")
-    by = F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
-    met = sized.join(by, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
+    sized = docs.drop(*(c for c in new if c not in (id_col, text_col, source_col)))
+    sized = sized.withColumn("size", word_count(text_col)).withColumn("_u", draw_order(id_col, text_col, seed)).withColumn("_bucket", F.conv(F.substring("_u", 1, BUCKET_DIGITS), 16, 10).cast("long"))
+    buckets = shared_table(sized.groupBy(F.col(source_col).alias("source"), F.col("_bucket").alias("bucket")).agg(F.sum("size").alias("size")), "buckets")
+    by = targets(buckets, weights, share, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    met = met.withColumn("_rate", rate).withColumn("whole", F.when(F.col("size") > 0, F.floor("_rate").cast("long")).otherwise(F.lit(0).cast("long")))
-    part = F.floor((F.col("_rate") - F.floor("_rate")) * F.col("size") + uniform(id_col, seed)).cast("long")
-    return met.withColumn("part", F.least(part, F.col("size"))).drop("_rate")
+    by = by.withColumn("rate", rate).withColumn("goal", F.floor((F.col("rate") - F.floor("rate")) * F.col("source_size") + 0.5).cast("long"))
+    # the bucket in which the choice ends, and the words before it
+    met = buckets.join(by.select(F.col("source").alias("_s"), "goal"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    met = met.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")))
+    ends = met.where((F.col("upto") - F.col("size") < F.col("goal")) & (F.col("goal") <= F.col("upto"))).select(F.col("source").alias("_s"), "bucket", (F.col("upto") - F.col("size")).alias("before"))
+    by = by.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    by = shared_table(by.select(F.col("source").alias("_source"), "source_size", "target", F.floor("rate").cast("long").alias("_whole"), "goal", F.coalesce("bucket", F.lit(-1).cast("long")).alias("_end"), F.coalesce("before", F.lit(0).cast("long")).alias("_before")), "targets")
+    by = F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
+    met = sized.join(by, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("whole", F.when(F.col("size") > 0, F.col("_whole")).otherwise(F.lit(0).cast("long")))
+    zero = F.lit(0).cast("long")
+    sure = met.where(F.col("_bucket") != F.col("_end")).withColumn("part", F.when(F.col("_bucket") < F.col("_end"), F.col("size")).otherwise(zero))
+    order = Window.partitionBy("_source").orderBy("_u", F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    last = met.where(F.col("_bucket") == F.col("_end")).withColumn("_rank", F.col("_before") + F.coalesce(F.sum("size").over(order), zero))
+    last = last.withColumn("part", F.greatest(zero, F.least("size", F.col("goal") - F.col("_rank")))).drop("_rank")
+    return sure.unionByName(last).select(*(c for c in docs.columns if c not in new or c in (id_col, text_col, source_col)), *new)
 
 
 def repetitions(mixed: DataFrame, seed: int = 1, text_col: str = "text") -> DataFrame:
     """The rows of the mix: each document's whole copies and, for a part, a run of its words.
 
     The run takes ``part`` consecutive words from a seeded word on, with the white space between
-    them as it is. The columns that ``mix`` added are dropped again.
+    them as it is; all of them give the whole text. The columns that ``mix`` added are dropped again.
+    Rows with a null or wordless text are taken nowhere; repeated rows each give their own copies. An
+    empty table gives an empty table.
     """
     added = ("size", "source_size", "target", "whole", "part")
     names = [c for c in mixed.columns if c not in added]
@@ -96,9 +119,11 @@ def repetitions(mixed: DataFrame, seed: int = 1, text_col: str = "text") -> Data
         for i, text in enumerate(batch.column(names.index(text_col)).to_pylist()):
             rows += [i] * (whole[i] + (part[i] > 0))
             texts += [text] * whole[i]
-            if part[i]:
+            if part[i] == size[i] and part[i]:
+                texts.append(text)
+            elif part[i]:
                 spots = [m.span() for m in _WORD.finditer(text)]
-                start = zlib.crc32(f"{seed}:{text[:64]}:{size[i]}".encode()) % (size[i] - part[i] + 1)
+                start = zlib.crc32(text.encode("utf-8", "surrogatepass"), seed) % (size[i] - part[i] + 1)
                 texts.append(text[spots[start][0] : spots[start + part[i] - 1][1]])
         out = pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))], names=names).take(pa.array(rows, pa.int64()))
         return out.set_column(names.index(text_col), text_col, pa.array(texts, pa.string()))

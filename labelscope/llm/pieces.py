@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +59,10 @@ class Vocabulary:
                         moves.append((states[p[: k - 1]], p[k - 1], len(piece)))
                         piece.append(-1)
                 piece[states[p]] = i
+        # the bytes of all pieces in a row, marks as spaces, for decoding
+        plain = [t.replace(MARK.encode(), b" ") for t in self.text]
+        self.sizes = np.array([len(t) for t in plain], np.int64)
+        self.begin, self.table = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(plain), np.uint8)
         self.piece = np.array(piece, np.int32)
         self.longest = max(map(len, states))
         self.bits = 2 + len(moves).bit_length()
@@ -97,7 +101,7 @@ class Lattices:
     """
 
     def __init__(self, vocabulary: Vocabulary, words: list[str]) -> None:
-        self.byte = vocabulary.byte
+        self.byte, self.bytes_a = vocabulary.byte, np.array(vocabulary.byte, np.int32)
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
@@ -151,10 +155,12 @@ class Lattices:
 
     def pieces(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edges; an edge of bytes gives one id per byte."""
-        ids = self.ids_a[edges]
+        ids = self.ids_a[edges].astype(np.int32)
+        single = np.flatnonzero((ids < 0) & (ids > -128))
+        ids[single] = self.bytes_a[-ids[single]]
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
-            return ids.astype(np.int32)
+            return ids
         out, at = [], 0
         for k in odd:
             out += [ids[at:k], np.array([self.byte[b] for b in chr(-ids[k]).encode("utf-8", "surrogatepass")])]
@@ -164,13 +170,18 @@ class Lattices:
 
 def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1) from row keys and counters (splitmix64)."""
-    x = key.copy()
+    x = key
     for p in parts:
-        x = (x ^ np.asarray(p, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x = x ^ np.asarray(p, np.uint64)
+        x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(30)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(27)
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+    x >>= np.uint64(12)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 1 / float(1 << 52)
+    return out
 
 
 def _draw(lat: Lattices, nodes: np.ndarray, keys: np.ndarray, place: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +208,16 @@ def _draw(lat: Lattices, nodes: np.ndarray, keys: np.ndarray, place: np.ndarray,
     return out, begin
 
 
+#: Kinds of draws; kind and turn are one counter, so that draws never repeat whatever k is.
+_ROOT, _GROUP, _PICK, _TAIL, _AGAIN = (n << 40 for n in range(1, 6))
+
+
 def _gumbel(key: np.ndarray, *parts) -> np.ndarray:
-    return -np.log(-np.log(_uniform(key, *parts)))
+    u = _uniform(key, *parts)
+    for _ in range(2):
+        np.log(u, out=u)
+        np.negative(u, out=u)
+    return u
 
 
 def _below(limit: float, value: np.ndarray) -> np.ndarray:
@@ -212,7 +231,7 @@ def _search(lat: Lattices, key: np.ndarray, drawn: list[tuple[np.ndarray, np.nda
     ``drawn`` holds k independent paths as (edges, begin of each word).
     """
     paths, found = [], []
-    value = float(_gumbel(key, 1, 0)[0])
+    value = float(_gumbel(key, _ROOT, 0)[0])
 
     def emit(edges: np.ndarray, begin: np.ndarray, since: int, value: float) -> None:
         logp = lat.logp_a[edges]
@@ -220,7 +239,7 @@ def _search(lat: Lattices, key: np.ndarray, drawn: list[tuple[np.ndarray, np.nda
         group = np.full(len(edges), -np.inf)
         loc = after[since:] - logp[since:] + lat.rest_a[edges[since:]]
         open_ = np.isfinite(loc)
-        group[since:][open_] = _below(value, loc[open_] + _gumbel(key, 2 + len(paths), 1 + since + np.flatnonzero(open_)))
+        group[since:][open_] = _below(value, loc[open_] + _gumbel(key, _GROUP + len(paths), since + np.flatnonzero(open_)))
         paths.append({"edges": edges, "begin": begin, "before": after - logp, "group": group, "out": {}})
         found.append((edges, float(after[-1]) if len(after) else 0.0, value))
 
@@ -237,18 +256,18 @@ def _search(lat: Lattices, key: np.ndarray, drawn: list[tuple[np.ndarray, np.nda
         taken = p["out"].setdefault(t, [int(p["edges"][t])])
         choice = [e for e in range(int(lat.first_a[node]), int(lat.last_a[node]) + 1) if e not in taken]
         mass = np.cumsum(lat.prob_a[choice])
-        pick = min(int(np.searchsorted(mass, _uniform(key, 900 + turn, t + 1)[0] * mass[-1])), len(choice) - 1)
+        pick = min(int(np.searchsorted(mass, _uniform(key, _PICK + turn, t)[0] * mass[-1])), len(choice) - 1)
         taken.append(choice[pick])
         rest = float(sum(lat.prob_a[e] for e in choice if e not in taken))
         p["group"][t] = -np.inf
         if rest > 0:
             loc = p["before"][t] + math.log(rest)
-            p["group"][t] = float(_below(value, loc + _gumbel(key, 500 + turn, t + 1))[0])
+            p["group"][t] = float(_below(value, loc + _gumbel(key, _AGAIN + turn, t))[0])
         word = int(np.searchsorted(p["begin"], t, "right")) - 1
         head = [*p["edges"][p["begin"][word] : t].tolist(), choice[pick]]
         at, step = int(lat.end_a[choice[pick]]), 0
         while at:
-            u, e = float(_uniform(key, 700 + turn, t + 1, step)[0]), int(lat.first_a[at])
+            u, e = float(_uniform(key, _TAIL + turn, t, step)[0]), int(lat.first_a[at])
             while (u := u - lat.prob_a[e]) > 0 and e < lat.last_a[at]:
                 e += 1
             head.append(e)
@@ -280,15 +299,15 @@ def vocabulary(model: str = MODEL, sharpness: float = SHARPNESS) -> Vocabulary:
 
 def sample_texts(texts: list[str | None], keys: list, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, sharpness: float = SHARPNESS) -> list[list[tuple]]:
     """For each text its k samples (piece ids, log probability, perturbed value, log inclusion)."""
-    place_of: dict[str, int] = defaultdict(lambda: len(place_of))
-    words: list[int] = []
+    words: list[str] = []
     sizes = []
     for text in texts:
         found = _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else ()
         sizes.append(len(found))
-        words += [place_of[w] for w in found]
+        words += found
+    place_of = {w: i for i, w in enumerate(dict.fromkeys(words))}
     lat = Lattices(vocabulary(model, sharpness), list(place_of))
-    nodes_a, sizes_a = lat.start[np.array(words, np.int64)] if words else np.empty(0, np.int64), np.array(sizes, np.int64)
+    nodes_a, sizes_a = lat.start[np.fromiter(map(place_of.__getitem__, words), np.int64, len(words))] if words else np.empty(0, np.int64), np.array(sizes, np.int64)
     own = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{key}") for key in keys], np.uint64)
     offset = np.r_[0, np.cumsum(sizes_a)]
     place = np.arange(len(nodes_a)) - np.repeat(offset[:-1], sizes_a)
@@ -306,14 +325,46 @@ def sample_texts(texts: list[str | None], keys: list, k: int = SAMPLES, seed: in
     return out
 
 
-def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decoded(ids: pa.ListArray, model: str = MODEL) -> pa.Array:
+    """The text of each list of pieces: pieces joined, marks as spaces, without the leading one; null for null lists.
+
+    All pieces of the column are joined as one run of bytes. Lists that do not begin with a mark or do not
+    give UTF-8 are decoded one by one, with replacement characters where bytes are none.
+    """
+    v = vocabulary(model)
+    each = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    sizes = v.sizes[flat]
+    place = np.r_[0, np.cumsum(sizes)]
+    data = v.table[np.repeat(v.begin[flat] - place[:-1], sizes) + np.arange(place[-1])]
+    edges = place[np.r_[0, np.cumsum(each)]]
+    some = np.flatnonzero(np.diff(edges))
+    plain = not len(some) or bool((data[edges[some]] == 32).all())
+    if plain:
+        data = np.delete(data, edges[some])
+        edges -= np.r_[0, np.cumsum(np.diff(edges) > 0)]
+        try:
+            data.tobytes().decode()
+            plain = edges[-1] < 1 << 31 and not ((data[np.minimum(edges[:-1], len(data) - 1)] & 0xC0) == 0x80).any() if len(data) else True
+        except UnicodeDecodeError:
+            plain = False
+    valid = ids.is_valid()
+    if plain:
+        texts = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    else:
+        texts = pa.array([b"".join([v.text[i] for i in x or ()]).decode("utf-8", "replace").replace(MARK, " ")[1:] for x in ids.to_pylist()], pa.string())
+    return pc.if_else(valid, texts, pa.scalar(None, pa.string()))
+
+
+def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False) -> DataFrame:
     """(doc_id, sample, ids, log_prob, perturbed, log_inclusion): up to k distinct segmentations of each whole text.
 
     Samples are numbered from 1 in falling order of the perturbed value. A text with fewer than k
     segmentations gives all of them, with an inclusion of 1. A null or empty text gives one empty
     segmentation. Draws depend on seed and id alone: rows that repeat an id and text give the same
     samples, and all rows with a null id share one key. Other columns are not read. An empty table
-    gives an empty table. ``model`` is read where the tasks run.
+    gives an empty table. ``model`` is read where the tasks run. ``decode_too`` adds text, the
+    sample's pieces decoded again, without a second pass over the ids.
     """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -323,25 +374,23 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MOD
         ids, ns, pieces, *numbers = zip(*flat, strict=True)
         offsets = np.r_[0, np.cumsum([len(p) for p in pieces])].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(pieces)))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), lists, *(pa.array(x, pa.float64()) for x in numbers)], names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
+        out = [pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), lists, *(pa.array(x, pa.float64()) for x in numbers)]
+        return pa.RecordBatch.from_arrays([*out, decoded(lists, model)] if decode_too else out, names=names)
 
+    names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", *(["text"] if decode_too else [])]
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, make, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double", rows=1000)
+    return map_batches(picked, make, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + (", text string" if decode_too else ""))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with text: the pieces joined, marks as spaces, without the leading one; null for null ids."""
-    names = [c for c in encoded.columns if c != "text"]
+    """``encoded`` with text: the pieces joined, marks as spaces, without the leading one; null for null ids.
 
-    def one(ids: list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        piece = vocabulary(model).text
-        return b"".join([piece[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:]
+    A column called text is replaced; all others stay, repeated rows too. An empty table gives an empty table.
+    """
+    names = [c for c in encoded.columns if c != "text"]
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [one(ids) for ids in batch.column(names.index(ids_col)).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
+        return pa.RecordBatch.from_arrays([*batch.columns, decoded(batch.column(names.index(ids_col)), model)], names=[*names, "text"])
 
     fields = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
-    return map_batches(encoded.select(*names), make, f"{fields}, text string", rows=150)
+    return map_batches(encoded.select(*(F.col(f"`{c}`") for c in names)), make, f"{fields}, text string")

@@ -46,7 +46,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS u,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1
 ), w AS (
@@ -60,10 +61,10 @@ WITH d AS (
   SELECT source, source_size, least(cap, (SELECT max(level) FROM t WHERE level <= ratio) * weight) AS target FROM t
 ), m AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+    sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
 )
-SELECT doc_id, size, source_size, target, CAST(floor(rate) * size + least(floor((rate - floor(rate)) * size + u), size) AS BIGINT) AS taken FROM m
+SELECT doc_id, size, source_size, target, CAST(floor(rate) * size + greatest(0, least(size, floor((rate - floor(rate)) * source_size + 0.5) - before)) AS BIGINT) AS taken FROM m
 """
 
 
@@ -113,9 +114,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The samples of every document with the number and a hash of their pieces in place of the pieces."""
-    found = pieces.encode(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion")
+    """The samples of every document: pieces, their text decoded again, probabilities."""
+    return pieces.encode(read_table(spark, sf_dir, "documents"), decode_too=True)
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
