@@ -1,8 +1,9 @@
 """License scans: phrases, and templates whose mandatory wording must match exactly.
 
-A template is a line of words with ``[optional words]`` and ``{low,high}`` for a replaceable
-region of so many words. It compiles to an automaton over tokens; a text is accepted when some
-run of its words takes the automaton from its start to its end.
+A template is a text with ``[optional words]`` and ``{low,high}`` for a replaceable region of so
+many words, a whole licence or a notice. It compiles to an automaton over tokens; a text is accepted
+when some run of its words takes the automaton from its start to its end, so that every mandatory
+word stands where it must.
 """
 
 from __future__ import annotations
@@ -14,20 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.common import map_batches
+from labelscope.llm.license_texts import TEMPLATES
 
 #: Phrases found as consecutive words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Labels and the templates that give them.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license [version] 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-4.0": "licensed under [a] [the] [creative commons] cc by [license] [version] 4 0",
-    "cc-by-nc-4.0": "licensed under [a] [the] [creative commons] cc by nc [license] [version] 4 0",
-    "copyright-notice": "copyright {1,8} all rights reserved",
-    "gpl-3.0": "licensed under the [terms of the] [gnu] general public license [as published by the free software foundation] [either] [version] 3",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this {1,6} and associated documentation",
-}
+#: Templates that a table of them may hold; they are compiled on the driver and go to every task.
+MOST_TEMPLATES = 10_000
 
 _TOKEN = re.compile(r"\{(\d+),(\d+)\}|\[|\]|[^\s\[\]{}]+")
 #: ASCII bytes that are no digit or lower-case letter after lower-casing separate words.
@@ -65,7 +59,8 @@ def compile_template(template: str) -> list[list[tuple[bytes | None, int]]]:
             for state in skips:
                 moves[state].append((b"", len(moves) - 1))
         else:
-            step(m[0].encode())
+            for word in words(m[0]):
+                step(word)
     return moves
 
 
@@ -82,10 +77,10 @@ def _closed(moves: list, states: set[int]) -> set[int]:
 def accepts(moves: list, found: list[bytes]) -> bool:
     """Whether a run of the words leads from the first state to the last."""
     start = _closed(moves, {0})
-    begins = {word for s in start for word, _ in moves[s] if word}
+    begins = {word for s in start for word, _ in moves[s] if word is None or word}
     live: set[int] = set()
     for w in found:
-        if not live and w not in begins:
+        if not live and None not in begins and w not in begins:
             continue
         live = _closed(moves, {to for s in live | start for word, to in moves[s] if word is None or (word and word == w)})
         if len(moves) - 1 in live:
@@ -93,23 +88,35 @@ def accepts(moves: list, found: list[bytes]) -> bool:
     return False
 
 
-def mandatory_pair(template: str) -> bytes:
-    """Two words that stand together in every text that the template accepts."""
-    flat, depth, run, runs = _TOKEN.finditer(template.lower()), 0, [], []
-    for m in flat:
+def mandatory_words(template: str, most: int = 6) -> bytes:
+    """Words that stand together in every text that the template accepts; a space where it has no such words."""
+    depth, run, runs = 0, [], []
+    for m in _TOKEN.finditer(template.lower()):
         if m[0] in "[]" or m[1]:
             depth += {"[": 1, "]": -1}.get(m[0], 0)
             runs.append(run)
             run = []
         elif not depth:
-            run.append(m[0])
-    best = max([*runs, run], key=len)
-    return f" {' '.join(best[:2])} ".encode()
+            run += words(m[0])
+    best = b" ".join(max([*runs, run], key=len)[:most])
+    return b" " + best + b" " if best else b" "
+
+
+def as_templates(templates: dict[str, str] | DataFrame) -> list[tuple[str, str]]:
+    """(label, template) rows of a mapping or of a table with these columns; rows with a null do not count."""
+    if isinstance(templates, dict):
+        return list(templates.items())
+    rows = templates.where("label IS NOT NULL AND template IS NOT NULL").select("label", "template").distinct().limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates: scan with parts of the table and unite the labels")
+    return sorted(map(tuple, rows))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] | DataFrame = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row.
 
+    ``templates`` maps labels to templates, or is a table of (label, template); the default holds
+    notices and whole texts of common licences. A template without mandatory words accepts any text with a word.
     ``n_base`` counts all places of phrases and first_word and last_word are the smallest and
     largest start of one, null without any. ``base_labels`` are the phrases' labels, ``labels``
     also those of accepted templates; both distinct, sorted and comma-joined, empty without any.
@@ -118,7 +125,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     read. An empty table gives an empty table.
     """
     split = [(p.encode().split(), label) for p, label in phrases.items()]
-    compiled = [(label, mandatory_pair(t), compile_template(t)) for label, t in templates.items()]
+    compiled = [(label, mandatory_words(t), compile_template(t)) for label, t in as_templates(templates)]
 
     def one(text: str | None) -> tuple:
         found = words(text)

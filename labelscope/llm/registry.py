@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import language, licenses, minhash, mixing, neighbours, pages, pieces, quality, substring, vectors
+from labelscope.llm.license_texts import TEMPLATES
 from labelscope.sources.shared import read_table
 
 
@@ -79,10 +80,10 @@ def _op4_sql() -> str:
     def pattern(template: str) -> str:
         out = ""
         for m in licenses._TOKEN.finditer(template):
-            out += "(?:" if m[0] == "[" else ")?" if m[0] == "]" else f"(?: [^ ]+){m[0]}" if m[1] else f" {m[0]}"
+            out += "(?:" if m[0] == "[" else ")?" if m[0] == "]" else f"(?: [^ ]+){m[0]}" if m[1] else "".join(f" {w.decode()}" for w in licenses.words(m[0]))
         return out + " "
 
-    labels = " || ".join(f"CASE WHEN regexp_matches(line, '{pattern(t)}') THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END" for label, t in licenses.TEMPLATES.items())
+    labels = " || ".join(f"CASE WHEN regexp_matches(line, '{pattern(t)}') THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END" for label, t in TEMPLATES.items())
     return rf"""
 WITH w AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelscope.llm import language, licenses, minhash, mixing, pieces, quality, substring
+from labelscope.llm.license_texts import TEMPLATES
 from labelscope.sources.shared import read_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept string, size string, digest string"
@@ -231,6 +232,40 @@ def test_license_scan(spark):
     assert licenses.scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def filled(template, optional):
+    """A text of the template: replaceable regions filled, optional ones all there or all left out."""
+    t = re.sub(r"\{(\d+),\d+\}", lambda m: " ".join(["Someone"] * int(m[1])), template)
+    return re.sub(r"\[([^\]]*)\]", r" \1 " if optional else " ", t)
+
+
+@pytest.mark.parametrize("label", sorted(TEMPLATES))
+def test_license_texts_are_accepted_and_one_changed_word_rejects(label):
+    moves, must = licenses.compile_template(TEMPLATES[label]), licenses.mandatory_words(TEMPLATES[label])
+    for optional in (True, False):
+        found = licenses.words(f"Before it. {filled(TEMPLATES[label], optional)} And after.")
+        assert licenses.accepts(moves, found) and must in b" " + b" ".join(found) + b" "
+    mandatory = licenses.words(filled(TEMPLATES[label], False))
+    free = {i for i, w in enumerate(mandatory) if w == b"someone"}
+    for i in range(0, len(mandatory), max(1, len(mandatory) // 40)):
+        if i not in free:
+            assert not licenses.accepts(moves, [*mandatory[:i], b"changed", *mandatory[i + 1 :]]), mandatory[i]
+            assert i == 0 or i == len(mandatory) - 1 or mandatory[i] in (mandatory[i - 1], mandatory[i + 1]) or free & {i - 1, i + 1} or not licenses.accepts(moves, mandatory[:i] + mandatory[i + 1 :]), mandatory[i]
+
+
+def test_license_templates_from_a_table_and_without_words(spark):
+    table = spark.createDataFrame([("a", "x [y] z"), ("b", "[q] {1,3}"), ("c", "{1,2} only here"), (None, "x"), ("d", None)], "label string, template string")
+    texts = ["X, y: z!", "x z", "x q z", "it is only here", "only here", None]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, texts), templates=table).collect()}
+    assert got == {0: ("a,b", 1.0), 1: ("a,b", 1.0), 2: ("b", 1.0), 3: ("b,c", 1.0), 4: ("b", 1.0), 5: ("", 0.0)}
+    assert licenses.scan(frame(spark, texts), templates={"e": "{0,2}"}).where("labels <> ''").count() == 5
+
+
+def test_license_scan_of_repeated_rows_null_ids_and_long_texts(spark):
+    long = "word " * 200_000 + filled(TEMPLATES["mit-text"], True)
+    rows = [(r.doc_id, r.n_words, r.labels) for r in licenses.scan(frame(spark, ["cc by", "cc by", "cc by", long], ids=[7, 7, None, 8])).collect()]
+    assert Counter(rows[:]) == Counter([(7, 2, "cc-by"), (7, 2, "cc-by"), (None, 2, "cc-by"), (8, 200_000 + len(licenses.words(filled(TEMPLATES["mit-text"], True))), "mit,mit-text")])
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
