@@ -106,8 +106,8 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, n_sentences, n_removed, removed_words): every document with its repeated spans cut out."""
-    return substring.drop_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "removed_words")
+    """(doc_id, text, n_removed, removed_words): every document with its repeated spans cut out."""
+    return substring.drop_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed_words")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ def brute_repeats(docs, span, least):
             while end <= len(real[i]) and sum(len(parts[i][k].split()) for k in real[i][at:end]) < least:
                 end += 1
             if end <= len(real[i]):
-                spans[tuple(" ".join(parts[i][k].lower().split()) for k in real[i][at:end])].append((i, at, end))
+                spans[tuple(w for k in real[i][at:end] for w in parts[i][k].lower().split())].append((i, at, end))
     gone = defaultdict(set)
     for places in spans.values():
         for i, at, end in sorted(places)[1:]:
@@ -134,9 +134,9 @@ def test_substring_against_brute_force(spark):
 def test_substring_nulls_and_no_rows(spark):
     text = "a b c d e f g h. i j k l m n o p. q r s. "
     df = frame(spark, [None, "", text, text, text, text, "few words. again. few words. again."], ids=[1, 2, None, 3, 4, 4, 5])
-    got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in substring.drop_repeats(df).collect()}
-    assert got[1] == (None, 0, 0) and got[2] == ("", 0, 0) and got[None][2] == 0 and got[3][2] == 0
-    assert got[4] == ("", 3, 3) and got[5][2] == 0
+    got = {r.doc_id: (r.text, r.n_removed) for r in substring.drop_repeats(df).collect()}
+    assert got[1] == (None, 0) and got[2] == ("", 0) and got[None][1] == 0 and got[3][1] == 0
+    assert got[4] == ("", 3) and got[5][1] == 0
     assert substring.drop_repeats(df.limit(0)).count() == 0
 
 
@@ -147,6 +147,16 @@ def test_substring_leaves_long_texts_without_repeats_alone(spark):
     assert got[0] == (len(long), 0) and got[1][0] < 200
 
 
+def test_run_hashes_follow_the_words_alone():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50)}" for _ in range(400)]
+    text, shifted = " ".join(words), "Other words before it.  " + "\n".join(words).upper()
+    a, b = (dict(zip(h.tolist(), p.tolist(), strict=True)) for p, _, h in map(substring.span_hashes, (text, shifted)))
+    assert len(set(a)) == len(a)
+    plain, _, h = substring.span_hashes("x y z. " + text)
+    assert len(set(h.tolist()) & set(a)) > 0.9 * len(a)
+
+
 def test_sentences_join_to_the_text():
     for t in ("A 3.5 cat.  Sat!\n\nOn?", "", "...", "a\n\n\nb.\tc", 'He said "no." Then left'):
         assert "".join(substring.sentences(t)) == t
@@ -403,7 +413,7 @@ def test_substring_finds_passages_in_mid_sentence_without_stops_and_in_dense_scr
     for k, text in enumerate(got):
         assert not windows_of(text) & seen, (k, text)
         seen |= windows_of(text)
-    assert got[-3] == alone and got[-2] == got[-1] == ""
+    assert got[-3] == alone and got[-2] == "" and len(got[-1].split()) <= substring.LONG
     assert got[: len(passages) * 3 : 3] == texts[: len(passages) * 3 : 3]
 
 
