@@ -86,10 +86,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     by = targets(buckets, weights, share, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     by = by.withColumn("rate", rate).withColumn("goal", F.floor((F.col("rate") - F.floor("rate")) * F.col("source_size") + 0.5).cast("long"))
-    # the bucket in which the choice ends, and the words before it
-    met = buckets.join(by.select(F.col("source").alias("_s"), "goal"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    met = met.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")))
-    ends = met.where((F.col("upto") - F.col("size") < F.col("goal")) & (F.col("goal") <= F.col("upto"))).select(F.col("source").alias("_s"), "bucket", (F.col("upto") - F.col("size")).alias("before"))
+    # the bucket in which the choice ends, and the words before it: first among 256 wide ones of a source, then among 256 in that one
+    goals = by.select(F.col("source").alias("_s"), "goal", F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("wide"))
+    buckets = buckets.withColumn("_wide", F.shiftright("bucket", 8))
+    for column in ("_wide", "bucket"):
+        met = buckets.join(goals, F.col("source").eqNullSafe(F.col("_s")) & (F.col("wide").isNull() | (F.col("_wide") == F.col("wide"))))
+        met = met.groupBy("source", "goal", "before", column).agg(F.sum("size").alias("size"))
+        met = met.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy(column)))
+        met = met.where((F.col("upto") - F.col("size") < F.col("goal")) & (F.col("goal") <= F.col("upto")))
+        goals = met.select(F.col("source").alias("_s"), "goal", (F.col("upto") - F.col("size")).alias("before"), F.col(column).alias("wide"))
+    ends = goals.select("_s", F.col("wide").alias("bucket"), "before")
     by = by.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     by = shared_table(by.select(F.col("source").alias("_source"), "source_size", "target", F.floor("rate").cast("long").alias("_whole"), "goal", F.coalesce("bucket", F.lit(-1).cast("long")).alias("_end"), F.coalesce("before", F.lit(0).cast("long")).alias("_before")), "targets")
     by = F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
