@@ -34,8 +34,10 @@ SYMBOLS = CHUNKS * WIDTH
 #: 0.8 the expected number is 25.2 with a deviation of 4.5.
 LIMIT = CHUNKS * (ERRORS + 1) - 1
 #: Rows of one block of the complete comparison, and rows that one of its groups gathers.
-BLOCK, BIN_ROWS = 256, 8192
+BLOCK, BIN_ROWS = 1024, 8192
 HUB_ROUNDS = 2
+#: Keys that one task makes, about.
+KEYS_OF_A_TASK = 2_000_000
 #: Bits of a set's bitmap. A bit that only one of two sets has stands for an element that the
 #: other lacks, which bounds their intersection from above; pairs under the bound are no links.
 BITMAP = 1024
@@ -84,7 +86,7 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, digest, signature, bits) of each row; the last three are null for empty sets."""
+    """(doc_id, n_shingles, digest, signature, bits) of each row; the last three are null for empty sets."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, sigs, bits = [], [], [], []
@@ -94,10 +96,22 @@ def signatures(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: st
             digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             sigs.append(signature(h) if len(h) else None)
             bits.append(bitmap(h) if len(h) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary())], names=["id", "n_shingles", "digest", "signature", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature", "bits"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, make, "id long, n_shingles long, digest binary, signature binary, bits binary")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(picked, make, "doc_id long, n_shingles long, digest binary, signature binary, bits binary")
+
+
+def set_digests(docs: DataFrame, n: int, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the digest of each row's shingle set, null for empty ones."""
+    names = docs.columns
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = (shingle_hashes(t, n) for t in batch.column(names.index(text_col)).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary())], names=[*names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return map_batches(docs, make, f"{fields}, `{name}` binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -183,16 +197,20 @@ def _remaining_pairs(members: DataFrame, classes: DataFrame, counts: DataFrame,
 
 
 def near_duplicate_links(docs: DataFrame, signed: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, links): one row per distinct shingle set, and confirmed links (a, b) that connect the classes.
+    """(classes, links): one numbered row per distinct shingle set, with its smallest document ``low``, and confirmed links (a, b) that connect the classes.
 
     Classes that belong to one component are connected by the links, though not every pair
     of them is listed.
     """
-    classes = shared_table(signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits")), "classes")
-    keys = _keys(classes)
+    # rows that repeat an id and a text would give a class its set more than once
+    repeated = signed.where("digest is not null").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count() > 0
+    found = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"))
+    classes = shared_table(found.withColumn("id", F.monotonically_increasing_id()), "classes")
+    spread = classes.select("id", "signature").repartition(max(1, -(-classes.count() * SYMBOLS // KEYS_OF_A_TASK)), "id")
+    keys = shared_table(_keys(spread), "keys")
     several = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     members = shared_table(keys.join(several, "key"), "members")
-    wanted = members.select("id").distinct().join(classes.select("id", "digest"), "id")
+    wanted = members.select("id").distinct().join(classes.select("id", "digest", "low"), "id")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, sets = [], []
@@ -203,8 +221,9 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, n: int = 5, percent
                 sets.append(h)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = shared_table(map_batches(texts.join(wanted, "id").select("id", "digest", "text"), make, "id long, shingles array<long>"), "sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("low"), F.col(text_col).cast("string").alias("text"))
+    sets = map_batches(texts.join(wanted, "low").select("id", "digest", "text"), make, "id long, shingles array<long>")
+    sets = shared_table(sets.groupBy("id").agg(F.first("shingles").alias("shingles")) if repeated else sets, "sets")
 
     links = None
     state = members.withColumn("comp", F.col("id"))
@@ -222,6 +241,16 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, n: int = 5, percent
     return classes, links.unionByName(rest)
 
 
+def _grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(signed, groups): signatures of all rows, and for each digest the smallest (document, digest) of its component."""
+    signed = shared_table(signatures(docs, n, id_col, text_col), "signatures")
+    classes, links = near_duplicate_links(docs, signed, n, percent, id_col, text_col)
+    comps = connected_components(links, "a", "b")
+    named = classes.select("id", "low", "digest").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = named.groupBy("component").agg(F.min(F.struct("low", "digest")).alias("first"))
+    return signed, named.join(first, "component").select("digest", F.col("first.low").alias("component_id"), F.col("first.digest").alias("first_digest"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -231,10 +260,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Repeated rows are all returned; rows that repeat an id with another text each follow their
     own text. Other columns of ``docs`` are not read. An empty table gives an empty table.
     """
-    signed = shared_table(signatures(docs, n, id_col, text_col), "signatures")
-    classes, links = near_duplicate_links(docs, signed, n, percent, id_col, text_col)
-    comps = connected_components(links, "a", "b")
-    by_class = classes.join(comps, classes["id"] == comps["node"], "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = signed.join(by_class, "digest", "left")
-    component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    signed, groups = _grouped(docs, n, percent, id_col, text_col)
+    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
+    return signed.join(groups, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the smallest id, and of its texts the one of the smallest digest.
+
+    Rows are told apart by id and digest of their shingle set, so a row that shares its id with a
+    copy of something else stays. Rows of one id and one set are one document, of which one row
+    stays. Rows without an id, null and wordless texts are in no group and all stay. An empty table
+    gives an empty table.
+    """
+    signed, groups = _grouped(docs, n, percent, id_col, text_col)
+    met = signed.where("doc_id is not null").join(groups, "digest")
+    gone = met.where((F.col("doc_id") != F.col("component_id")) | (F.col("digest") != F.col("first_digest"))).select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_of")).distinct()
+    left = set_digests(docs, n, text_col, "_digest").join(gone.hint("merge"), (F.col(id_col).cast("long") == F.col("_gone")) & (F.col("_digest") == F.col("_of")), "left_anti")
+    if met.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
+        named = F.col(id_col).isNotNull() & F.col("_digest").isNotNull()
+        left = left.where(named).dropDuplicates([id_col, "_digest"]).unionByName(left.where(~named | named.isNull()))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
