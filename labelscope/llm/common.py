@@ -58,7 +58,7 @@ BROADCAST_CLASSES = 10_000
 
 
 def bounded_sample(df: DataFrame, by: str, per_class: int, id_col: str, total: int = SAMPLE_TOTAL) -> DataFrame:
-    """About ``per_class`` rows of each value of ``by``, of every value, and never more than ``total`` or one a value.
+    """About ``per_class`` rows of each value of ``by``, fewer if there are very many values; about ``total`` rows and four a value at most.
 
     Rows are taken by the hash of their id, so the sample does not depend on how rows are dealt
     out, and a frequent class costs no sort: the share to keep follows from a count.
@@ -67,8 +67,9 @@ def bounded_sample(df: DataFrame, by: str, per_class: int, id_col: str, total: i
     classes = counts.count()
     if not classes:
         return df.limit(0)
-    each = max(1, min(per_class, total // classes))
+    each = max(1, min(per_class, total // classes)) + 4  # so few that a value gets none by chance is rare
     counts = F.broadcast(counts) if classes <= BROADCAST_CLASSES else counts
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    met = df.join(counts, F.col(by) == F.col("_by")).where(draw < F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(float(each)) / F.col("_n")))
-    return met.select(*df.columns).orderBy(draw, id_col, F.xxhash64(*df.columns)).limit(each * classes)
+    # a row's draw as a part of its value's share, so that a limit takes from all values alike
+    met = df.join(counts, F.col(by) == F.col("_by")).withColumn("_draw", draw / (F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(float(each)) / F.col("_n"))))
+    return met.where("_draw < 1").orderBy("_draw", id_col, F.xxhash64(*df.columns)).limit(each * classes).select(*df.columns)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.common import bounded_sample, bucket_of, map_batches
+from labelscope.sources.shared import shared_table
 
 #: Dimensions of the vectors, non-zero ones of an index vector, hashed rows for unknown tokens.
 DIM, NONZERO, ROWS = 32, 4, 4096
 #: Bounds of the fit: labelled documents of each class, tokens with a context vector, context width.
 SAMPLE_PER_CLASS, VOCABULARY, CONTEXT = 1500, 20_000, 2
+#: Tokens of a sampled document that context vectors are learnt from: a run from a seeded place. Features are those of whole texts.
+LEARN_TOKENS = 1000
 HIDDEN = 24
 #: Tokens that one worker remembers.
 _REMEMBER = 400_000
@@ -42,6 +44,10 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
+def token_hash(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass"))
+
+
 def index_vectors() -> np.ndarray:
     """ROWS sparse vectors with entries of +1 and -1."""
     rng = np.random.default_rng(11)
@@ -52,10 +58,10 @@ def index_vectors() -> np.ndarray:
 
 
 class QualityModel:
-    """Vectors of tokens and the network over pooled documents."""
+    """Vectors of tokens, by their 32-bit hashes, and the network over pooled documents."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.vectors = index_vectors() / np.sqrt(NONZERO)
         self.ids: dict[str, int] = {}
         self.mean = self.scale = self.w1 = self.b1 = self.w2 = None
@@ -65,9 +71,10 @@ class QualityModel:
         return self.__dict__ | {"ids": {}}
 
     def _row(self, token: str) -> int:
-        row = self.known.get(token)
+        h = token_hash(token)
+        row = self.known.get(h)
         if row is None:
-            row = zlib.crc32(token.encode("utf-8", "surrogatepass")) % ROWS
+            row = h % ROWS
         if len(self.ids) < _REMEMBER:
             self.ids[token] = row
         return row
@@ -89,22 +96,22 @@ class QualityModel:
         again = [(rows[k:] == rows[:-k]).mean() if len(rows) > k else 0.0 for k in (1, 2)]
         return np.r_[mean, np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0)), len(each) / len(rows), again, np.log1p(len(rows)) / 10]
 
-    def learn_vectors(self, texts: list[str]) -> None:
-        """Context vectors of the most frequent tokens of the texts."""
-        split = [tokens(t) for t in texts]
-        counts = Counter(t for s in split for t in s)
-        chosen = sorted((t for t, n in counts.items() if n > 1), key=lambda t: (-counts[t], t))[:VOCABULARY]
-        index = index_vectors()
-        place = {t: i for i, t in enumerate(chosen)}
-        context = np.zeros((len(chosen), DIM))
-        for s in split:
-            hashed = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % ROWS for t in s), np.int64, len(s))
-            own = np.fromiter((place.get(t, -1) for t in s), np.int64, len(s))
+    def learn_vectors(self, runs: list[np.ndarray]) -> None:
+        """Context vectors of the most frequent tokens of runs of token hashes."""
+        each, counts = np.unique(np.concatenate(runs), return_counts=True)
+        order = np.lexsort((each, -counts))[:VOCABULARY]
+        chosen = np.sort(each[order[counts[order] > 1]])
+        index, context = index_vectors(), np.zeros((len(chosen), DIM))
+        for run in runs if len(chosen) else ():
+            hashed = run % ROWS
+            own = np.searchsorted(chosen, run)
+            own = np.where(chosen[np.minimum(own, len(chosen) - 1)] == run, own, -1)
             for shift in range(1, CONTEXT + 1):
                 for a, b in ((own[shift:], hashed[:-shift]), (own[:-shift], hashed[shift:])):
                     np.add.at(context, a[a >= 0], index[b[a >= 0]])
         norm = np.linalg.norm(context, axis=1, keepdims=True)
-        self.known = {t: ROWS + i for t, i in place.items()}
+        self.known = {int(h): ROWS + i for i, h in enumerate(chosen)}
+        self.ids = {}
         self.vectors = np.concatenate([self.vectors, context / np.maximum(norm, 1e-9)]).astype(np.float32)
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
@@ -116,10 +123,9 @@ class QualityModel:
             return np.full(len(x), 0.5)
         return 1 / (1 + np.exp(-np.clip((self._hidden(x) @ self.w2 + self.b2) / self.temperature, -30, 30)))
 
-    def fit(self, texts: list[str], labels: np.ndarray, prior: float, epochs: int = 200, rate: float = 5e-3) -> QualityModel:
-        """Adam on the cross-entropy of three documents in four, weighted to the classes' true shares; the rest fit the temperature."""
-        self.learn_vectors(texts)
-        x, y = np.array([self.pooled(t) for t in texts]), labels.astype(np.float64)
+    def fit(self, x: np.ndarray, labels: np.ndarray, prior: float, epochs: int = 200, rate: float = 5e-3) -> QualityModel:
+        """Adam on the cross-entropy of three pooled documents in four, weighted to the classes' true shares; the rest fit the temperature."""
+        y = labels.astype(np.float64)
         held = np.arange(len(x)) % 4 == 0
         train = ~held if len({*y[~held]}) > 1 and held.any() else np.ones(len(x), bool)
         self.mean, self.scale = x[train].mean(0), x[train].std(0) + 1e-6
@@ -155,19 +161,41 @@ class QualityModel:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """A model fitted on at most ``per_class`` labelled documents of each class.
 
-    The few sampled ids are broadcast to the documents, so no text is shuffled for the others.
-    Without rows of both classes the model scores one half everywhere.
+    The few sampled ids are broadcast to the documents, so no text is shuffled for the others, and no
+    text reaches the driver: hashes of at most LEARN_TOKENS tokens of each sampled document do, and then
+    its features. An id that comes with several texts counts once, with the smallest. Without rows
+    of both classes the model scores one half everywhere.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).alias("_label"))
     shares = {r[0]: r[1] for r in usable.groupBy("_label").count().collect()}
     picked = bounded_sample(usable, "_label", per_class, "_id")
-    rows = docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("_id")).where(F.col(text_col).isNotNull()).select("_id", F.col(text_col).cast("string"), "_label").limit(4 * per_class).collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
-    y = np.array([r[2] for r in rows])
+    found = docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("_id")).where(F.col(text_col).isNotNull())
+    sample = shared_table(found.groupBy("_id", "_label").agg(F.min(F.col(text_col).cast("string")).alias("_text")), "sample")
     model = QualityModel()
+
+    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            found = tokens(text)
+            at = zlib.crc32(str(key).encode()) % max(1, len(found) - LEARN_TOKENS + 1)
+            runs.append(np.array([token_hash(t) for t in found[at : at + LEARN_TOKENS]], np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["_id", "run"])
+
+    runs = sorted(map(tuple, map_batches(sample, hashes, "_id long, run binary").collect()))
+    if len(shares) < 2 or not runs:
+        return model
+    model.learn_vectors([np.frombuffer(bytes(r), np.uint32).astype(np.int64) for _, r in runs])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and ROWS
+
+    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array([shared.value.pooled(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["_id", "_label", "x"])
+
+    rows = map_batches(sample, features, "_id long, _label int, x binary").collect()
+    rows = sorted(map(tuple, rows), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    y = np.array([r[1] for r in rows])
     if len({*y.tolist()}) < 2:
         return model
-    return model.fit([r[1] for r in rows], y, shares[1] / sum(shares.values()))
+    return model.fit(np.stack([np.frombuffer(bytes(r[2])) for r in rows]), y, shares[1] / sum(shares.values()))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelscope.llm import language, licenses, minhash, mixing, pieces, quality, substring
+from labelscope.llm.common import bounded_sample
 from labelscope.llm.license_texts import TEMPLATES
 from labelscope.sources.shared import read_table
 
@@ -78,6 +79,16 @@ def test_minhash_with_repeated_rows_null_ids_and_no_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    near = a + "tail "
+    texts, ids = [a, near, b, a, c, c, c, None, None, "", near], [5, 9, 9, 2, 3, 3, None, 1, 1, 1, None]
+    df = frame(spark, texts, ids)
+    got = Counter((r.doc_id, r.text) for r in minhash.keep_one(df).collect())
+    assert got == Counter([(9, b), (2, a), (3, c), (None, c), (1, None), (1, None), (1, ""), (None, near)])
+    assert minhash.keep_one(df).columns == df.columns and minhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_minhash_keys_meet_within_the_limit():
     rng = np.random.default_rng(2)
     for _ in range(30):
@@ -309,6 +320,33 @@ def test_quality_of_nothing(spark):
     assert quality.classify(df.limit(0), none).count() == 0
 
 
+def test_classifiers_with_repeated_rows_null_ids_long_texts_and_clashing_columns(spark):
+    rng = random.Random(9)
+    good = lambda: " ".join(rng.choice(["river", "stone", "meadow", "cloud"]) for _ in range(30))
+    bad = lambda: "BUY " * rng.randrange(20, 40)
+    texts = [good() if i % 2 else bad() for i in range(300)] + [good() * 3000, None, "", good(), good()]
+    ids = [*range(300), 300, 301, 302, None, 5]
+    df = frame(spark, texts, ids).withColumnsRenamed({"component_id": "score", "kept": "held_out", "size": "predicted", "digest": "lang_pred"})
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(300)] + [(5, 0, "y"), (None, 1, "z"), (7, None, "z")], "doc_id long, quality int, text string")
+    got = quality.classify(df, labels).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    of = {r.doc_id: r.predicted for r in got if r.doc_id not in (None, 5)}
+    assert sum(of[i] == i % 2 for i in range(300) if i != 5) >= 295 and of[300] == 1
+    assert [r.held_out for r in got if r.doc_id is None] == [None]
+    key = lambda rows: sorted(((r.doc_id is None, r.doc_id, round(r.score, 9)) for r in rows), key=str)
+    assert key(got) == key(quality.classify(df.repartition(1), labels).collect())
+    langs = df.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "xx").otherwise("yy"))
+    rows = language.identify(langs).collect()
+    assert len(rows) == len(texts) and sum(r.lang_pred == ("xx" if r.doc_id % 2 else "yy") for r in rows if r.doc_id is not None and r.doc_id < 300) >= 290
+    assert {r.held_out for r in rows if r.doc_id is None} == {None}
+
+
+def test_every_class_is_sampled_however_many_there_are(spark):
+    df = spark.range(3000).withColumn("c", F.when(F.col("id") < 2000, F.lit("big")).otherwise(F.col("id").cast("string")))
+    got = {r.c: r["count"] for r in bounded_sample(df, "c", 50, "id", total=4000).groupBy("c").count().collect()}
+    assert len(got) == 1001 and 1 <= got["big"] <= 54
+
+
 TEXTS = ["ab", "the cat\n x①", "Zweiunddreißig Würste.", "  two  spaces ", None, "", "a▁b", "x" * 3000, "word " * 2000]
 
 
