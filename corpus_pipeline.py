@@ -15,36 +15,52 @@ from labelscope.sources.shared import read_table, shared_table
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; null and empty texts are scored like any other."""
+    """Documents that the quality classifier rejects go; null and empty texts are scored like any other.
+
+    Rows that repeat an id are each scored by their own text; columns called like the score are replaced on
+    the way. Without rows of both labels all stay; an empty table gives an empty table.
+    """
     labels = read_table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(bucket_of("doc_id", 3) != 1))
     return quality.score(docs, model).where("quality_score >= 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays, by five-word shingles.
+    """One row of each near-duplicate group stays, that of the smallest id, by five-word shingles and a similarity of 0.8.
 
-    Documents without words or without an id are in no group and stay.
+    Rows are told apart by id and text, so a clean row stays where its id is also a copy's. Rows
+    without words or without an id are in no group and stay. An empty table gives an empty table.
     """
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return minhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences of repeated passages go, but for their first place; a document left without text goes too."""
+    """Units of repeated passages go, but for their first place; a document left without text goes too.
+
+    Null and empty texts stay. Rows that repeat an id are one document; columns called like a new one
+    are no columns of documents. An empty table gives an empty table.
+    """
     cut = substring.drop_repeats(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: whole copies of documents and, for fractions, runs of their words."""
+    """The mix of the sources: whole copies of documents, a seeded choice of them once more, and a part of one of each source.
+
+    Null and wordless texts are never taken; a null source is one of its own; repeated rows count
+    each. An empty table gives an empty table.
+    """
     mixed = mixing.repetitions(mixing.mix(docs))
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, sample, ids, log_prob, perturbed, log_inclusion): sampled segmentations of every row."""
-    return pieces.encode(docs)
+    """(doc_id, sample, ids, log_prob, perturbed, log_inclusion, text): sampled segmentations of every row, decoded again.
+
+    Null and empty texts give one empty segmentation; rows of one id and text give the same ones. An
+    empty table gives an empty table.
+    """
+    return pieces.encode(docs, decode_too=True)
 
 
 STAGES = [
