@@ -96,6 +96,19 @@ def title_pairs(items: DataFrame, threshold: float) -> DataFrame:
     return same.unionByName(across.select(F.least("_x", "_y").alias("src"), F.greatest("_x", "_y").alias("dst")))
 
 
+def all_edges(items: DataFrame) -> DataFrame:
+    """(src, dst, rule): the edges of the three rules together, written once."""
+    return shared_table(url_edges(items).unionByName(chip_edges(items)).unionByName(text_edges(items)), "rules")
+
+
+def dropped(items: DataFrame, edges: DataFrame, views: str = "views", id_col: str = "id") -> DataFrame:
+    """(id): the items of each group but the one that stays."""
+    comps = shared_table(connected_components(edges), "groups")
+    met = items.select(F.col(id_col).alias("id"), F.col(views).alias("_v")).join(comps, F.col("id") == F.col("node"))
+    keep = met.groupBy("component").agg(F.max_by("id", F.struct(F.col("_v"), -F.col("id"))).alias("id"))
+    return met.select("id").join(keep.select("id"), "id", "left_anti")
+
+
 def survivors(items: DataFrame, edges: DataFrame, views: str = "views", likes: str = "likes", author: str = "author", id_col: str = "id") -> DataFrame:
     """(component, keep, merged, rules, authors, kept_views, dropped_views, dropped_likes) of each group; the most viewed stays, ties to the smallest id."""
     comps = connected_components(edges)

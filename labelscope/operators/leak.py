@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import json
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -11,9 +13,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from labelscope.functions.columns import col, count_if, windows
+from labelscope.sources.shared import shared_table
 
 
 @F.pandas_udf(StringType())
@@ -22,12 +25,6 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(StringType())
-def unescaped(text: pd.Series) -> pd.Series:
-    """Character references decoded."""
-    return text.map(lambda t: None if t is None else html.unescape(t))
-
-
 def normalised(text: str | Column, compatibility: bool = True) -> Column:
     """Lower-cased text with plain quotes and dashes, no zero-width characters and single spaces.
 
@@ -66,41 +63,77 @@ def build_index(corpus: DataFrame, id_col: str, text: str, length: int = 40, ste
     return each.join(rare, "shingle")
 
 
+#: Distinct hashes of an index that are sent to every task, 16 MB; windows of a larger index are exchanged.
+SENT_HASHES = 2_000_000
+
+
 def scan(hay: DataFrame, hay_id: str, text: str, index: DataFrame, length: int = 40, compatibility: bool = True) -> DataFrame:
     """(hay, owner): haystacks that hold a shingle of an owner; every window is looked up.
 
-    Windows are hashed and exchanged as 64-bit numbers; the few that meet the index are verified
-    in the text.
+    Windows are hashed where the text lies and looked up in the index's sorted hashes, so only those
+    that meet it are exchanged; the few are verified in the text. The hashes of an index of more
+    than SENT_HASHES are not sent: then all windows are exchanged as 64-bit numbers.
     """
     plain = hay.select(F.col(hay_id).alias("hay"), normalised(text, compatibility).alias("_t"))
 
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [int(window_hashes(t, length)[0]) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=["owner", "shingle", "_h"])
+
+    keyed = shared_table(index.select("owner", "shingle").mapInArrow(keys_of, f"owner {index.schema['owner'].dataType.simpleString()}, shingle string, _h long"), "index")
+    hashes = keyed.select("_h").distinct()
+    known = np.sort(np.array([r[0] for r in hashes.collect()], np.int64)) if hashes.count() <= SENT_HASHES else None
+    sent = hay.sparkSession.sparkContext.broadcast(known)
+
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [np.unique(window_hashes(t, length)) for t in batch.column(1).to_pylist()]
+            if sent.value is not None:
+                each = [h[np.isin(h, sent.value, assume_unique=True, kind="sort")] if len(h) > len(sent.value) else h[_held(h, sent.value)] for h in each]
             if each:
                 rows = pa.array(np.repeat(np.arange(len(each)), [len(h) for h in each]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.concatenate(each))], names=["hay", "_h"])
 
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [int(window_hashes(t, length)[0]) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=["owner", "shingle", "_h"])
-
     met = plain.mapInArrow(windows_of, f"hay {plain.schema['hay'].dataType.simpleString()}, _h long")
-    keyed = index.select("owner", "shingle").mapInArrow(keys_of, f"owner {index.schema['owner'].dataType.simpleString()}, shingle string, _h long")
     found = met.join(keyed, "_h").select("hay", "owner", "shingle").distinct()
     return found.join(plain, "hay").where(F.col("_t").contains(F.col("shingle"))).select("hay", "owner").distinct()
 
 
+def _held(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted known ones."""
+    at = np.searchsorted(known, hashes)
+    return (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes) if len(known) else np.zeros(len(hashes), bool)
+
+
+_TAG, _STRING = re.compile(r"<[^>]*>"), re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+
+
+def _decoded(literal: str) -> str:
+    try:
+        return json.loads(literal, strict=False)
+    except ValueError:
+        return literal[1:-1]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("view", StringType()), StructField("text", StringType())])))
+def _readings(text: pd.Series) -> pd.Series:
+    def each(raw: str | None) -> list[dict]:
+        raw = raw or ""
+        strings = "\n".join(map(_decoded, _STRING.findall(raw)))
+        plain = html.unescape(raw)
+        found = {"raw": raw, "unescaped": plain, "untagged": _TAG.sub(" ", plain), "quotes": raw.replace('""', '"'), "strings": strings, "strings_untagged": _TAG.sub(" ", html.unescape(strings))}
+        return [{"view": k, "text": t.encode("utf-8", "replace").decode()} for k, t in found.items()]
+
+    return text.map(each)
+
+
 def views(raw: str | Column) -> Column:
-    """The readings of a raw text that a leak could hide in: as it is, unescaped, without tags, with doubled quotes single, and decoded JSON strings."""
-    t = F.coalesce(col(raw), F.lit(""))
-    strings = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: F.regexp_replace(F.regexp_replace(s, r"\\n", "\n"), r"\\(.)", "$1")), "\n")
-    return F.array(
-        F.struct(F.lit("raw").alias("view"), t.alias("text")), F.struct(F.lit("unescaped").alias("view"), F.when(t.contains("&"), unescaped(t)).otherwise(t).alias("text")),
-        F.struct(F.lit("untagged").alias("view"), F.regexp_replace(t, r"<[^>]*>", " ").alias("text")), F.struct(F.lit("quotes").alias("view"), F.replace(t, F.lit('""'), F.lit('"')).alias("text")),
-        F.struct(F.lit("strings").alias("view"), strings.alias("text")),
-    )
+    """The readings of a raw text that a leak could hide in: as it is, with references decoded, that without tags, with doubled quotes single, its JSON strings decoded, and those with references decoded and without tags.
+
+    A literal that is no JSON string is read as it stands; null is empty.
+    """
+    return _readings(col(raw))
 
 
 def leak_verdict(hits: DataFrame, titles: DataFrame, allowed: DataFrame, cap: int) -> DataFrame:

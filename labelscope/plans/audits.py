@@ -106,14 +106,14 @@ def i11_i16_i25_i32_stratified_estimate(spark, d):
 
 @query(f"""WITH {STRATA}, three AS (SELECT * FROM m WHERE stratum IN ('rare', 'negative') AND id IN (SELECT id FROM raters WHERE lang = 'en')), ans AS (SELECT three.stratum, coalesce(r1 = 'good', false) AS g, coalesce(r2 = 'good', false) AS p FROM three JOIN raters USING (id))
 SELECT 'good' AS question, round((count_if(stratum = 'rare' AND g) + count_if(stratum = 'negative' AND p))::DOUBLE, 6) AS value, round((count_if(stratum = 'rare' AND g) + count_if(stratum = 'negative' AND p))::DOUBLE, 6) AS lo, round((count_if(stratum = 'rare' AND g) + count_if(stratum = 'negative' AND p))::DOUBLE, 6) AS hi,
- CAST(count_if(stratum = 'rare' AND g) AS BIGINT) AS k, CAST(count_if(stratum = 'rare') AS BIGINT) AS n, CAST(count_if(stratum = 'negative' AND p) AS BIGINT) AS plug, round((count_if(stratum = 'rare' AND g) + count_if(stratum = 'negative' AND p))::DOUBLE / 1000, 6) AS share FROM ans""", raters=True)
+ CAST(count_if(stratum = 'rare' AND g) AS BIGINT) AS k, CAST(count_if(stratum = 'rare') AS BIGINT) AS n, CAST(count_if(stratum = 'negative' AND p) AS BIGINT) AS plug, round((count_if(stratum = 'rare' AND g) + count_if(stratum = 'negative' AND p))::DOUBLE / (SELECT count(*) FROM raters), 6) AS share FROM ans""", raters=True)
 def i12_i13_i15_census_and_plug_in(spark, d):
     r, members = raters(spark, d), _members(spark, d).where("stratum IN ('rare', 'negative')")
     domain = r.where("lang = 'en'")
     census = members.where("stratum = 'rare'")
     parts = S.parts_table(members, census, r, {"good": F.col("r1") == "good"}, ["rare"], domain)
     inside = members.join(domain.select("id"), "id", "left_semi")
-    return S.stratified_estimate(parts, 1000, S.plugged_counts(inside, r, {"good": F.col("r2") == "good"}))
+    return S.stratified_estimate(parts, r.count(), S.plugged_counts(inside, r, {"good": F.col("r2") == "good"}))
 
 
 @query(f"WITH {DRAW}, k AS (SELECT count_if(r1 = 'good') AS k, count(*) AS n FROM dr JOIN raters USING (id) WHERE stratum = 'english'), c AS (SELECT count_if(lang = 'en') AS c FROM raters) SELECT round(k::DOUBLE / n * c, 6) AS value, round({_LOW} * c, 6) AS lo, round({_HIGH} * c, 6) AS hi FROM k, c", raters=True)

@@ -9,6 +9,7 @@ from labelscope.operators import contracts as K
 from labelscope.operators import dedupe as D
 from labelscope.operators import snapshots as S
 from labelscope.plans.binding import EVIDENCE, LANGS, posts, query, raters
+from labelscope.plans.safety import GROUPS
 from labelscope.sources.shared import read_table
 
 
@@ -76,18 +77,11 @@ def b9_c5_j1_missing_ids(spark, d):
     return S.missing_ids(p, read_table(spark, d, "labels").select(F.col("doc_id").alias("id")), p.where("id % 10 = 0"))
 
 
-_MERGED = "merged AS (SELECT id FROM (SELECT id, min(id) OVER (PARTITION BY url) AS m FROM posts) WHERE id <> m)"
-
-
-def _merged(p):
-    return D.url_edges(p).select(F.col("dst").alias("id")).distinct()
-
-
-@query(f"""WITH {_MERGED} SELECT count(*) AS items, CAST(count_if(l) AS BIGINT) AS labelled, CAST(count_if(l AND m) AS BIGINT) AS merged, CAST(count_if(l AND NOT m AND e) AS BIGINT) AS excluded, CAST(count_if(l AND NOT m AND NOT e) AS BIGINT) AS base
+@query(f"""WITH /*recursive*/ {GROUPS}, merged AS (SELECT node AS id FROM comp JOIN k USING (component) WHERE node <> keep) SELECT count(*) AS items, CAST(count_if(l) AS BIGINT) AS labelled, CAST(count_if(l AND m) AS BIGINT) AS merged, CAST(count_if(l AND NOT m AND e) AS BIGINT) AS excluded, CAST(count_if(l AND NOT m AND NOT e) AS BIGINT) AS base
 FROM (SELECT id IN (SELECT doc_id FROM labels) AS l, id IN (SELECT id FROM merged) AS m, evidence = 'error' AS e FROM posts)""")
 def b10_analysis_base(spark, d):
     p, labels = posts(spark, d), read_table(spark, d, "labels").withColumnRenamed("doc_id", "id")
-    return S.base_steps(p, labels, _merged(p), F.col("evidence") == "error")
+    return S.base_steps(p, labels, D.dropped(p, D.all_edges(p)), F.col("evidence") == "error")
 
 
 @query("SELECT id, CASE WHEN id % 50 = 0 THEN 'view' ELSE evidence END AS evidence, evidence AS raw_evidence, id % 50 = 0 AND evidence <> 'view' AS applied FROM posts")
@@ -184,10 +178,12 @@ def n3_interval_sanity(spark, d):
     return K.interval_violations(p, "likes", "zero", "views").drop("zero")
 
 
-@query("SELECT lang AS key, count(*)::DOUBLE AS value, 10.0::DOUBLE AS low, 300.0::DOUBLE AS high, count(*) BETWEEN 10 AND 300 AS ok FROM posts GROUP BY 1")
+@query("WITH n AS (SELECT count(*)::DOUBLE AS n FROM posts) SELECT lang AS key, count(*)::DOUBLE AS value, any_value(n) * 0.1 AS low, any_value(n) * 0.4 AS high, count(*) BETWEEN any_value(n) * 0.1 AND any_value(n) * 0.4 AS ok FROM posts, n GROUP BY 1")
 def n5_claims(spark, d):
+    """A share of each language between a tenth and four tenths of the counted base."""
     values = posts(spark, d).groupBy(F.col("lang").alias("key")).agg(F.count("*").cast("double").alias("value"))
-    return K.claims(values, values.select("key", F.lit(10.0).alias("low"), F.lit(300.0).alias("high")))
+    base = values.agg(F.sum("value").alias("n"))
+    return K.claims(values, values.select("key").crossJoin(F.broadcast(base)).select("key", (F.col("n") * 0.1).alias("low"), (F.col("n") * 0.4).alias("high")))
 
 
 @query("SELECT CAST(count_if(o_orderkey % 9 = 0) AS BIGINT) AS only_a, 0::BIGINT AS only_b, true AS same_schema FROM orders", posts=False)

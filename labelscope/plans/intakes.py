@@ -39,6 +39,49 @@ def a7_a10_publish(spark, d):
     return R.published(spark, root, "orders").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("*").alias("n")).select(F.lit("orders").alias("name"), "total", "n")
 
 
+@query("SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS c_acctbal FROM customer", posts=False)
+def a4_a7_table_csv(spark, d):
+    """Customers written as CSV parts and read back with their schema."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
+    R.write_table(table, path, format="csv")
+    return R.read_table_csv(spark, path, table.schema)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS family, toxic = 1 AS toxic FROM labels WHERE quality IS NOT NULL", posts=False)
+def a5_label_csv(spark, d):
+    """Labels written as a filled sheet, with blanks around values and words for flags, and read back."""
+    path = f"{shared_dir(spark)}/sheet-{uuid.uuid4().hex}"
+    sheet = read_table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("quality") == 1, " good ").when(F.col("quality") == 0, "bad").otherwise(" ").alias("family"), F.when(F.col("toxic") == 1, "YES").otherwise("no").alias("toxic"))
+    R.write_table(sheet, path, format="csv")
+    return R.read_label_csv(spark, path, sheet.schema, "family", ["toxic"])
+
+
+@query("SELECT 'rows' AS part, count(*) AS n FROM events WHERE event_type <> 'error' AND user_id % 5 <> 0 UNION ALL SELECT 'bad', count(*) FROM events WHERE event_type = 'error' OR user_id % 5 = 0", posts=False)
+def a3_labels_tolerant(spark, d):
+    """Events as lines of JSON, errors cut off in the middle and some without an id: rows and bad lines are told apart."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("id"), F.col("event_type").alias("family")))
+    read_table(spark, d, "events").select(F.when(F.col("event_type") == "error", F.lit('{"id": 1, "fam')).otherwise(line).alias("value")).write.text(path)
+    rows, bad = R.read_labels_tolerant(spark, path, StructType([StructField("id", LongType()), StructField("family", StringType())]))
+    return rows.agg(F.count("*").alias("n")).select(F.lit("rows").alias("part"), "n").unionByName(bad.agg(F.count("*").alias("n")).select(F.lit("bad").alias("part"), "n"))
+
+
+@query("SELECT CAST(ts AS DATE)::VARCHAR AS at, event_id AS id, event_type AS family FROM events", posts=False)
+def a1_read_feed(spark, d):
+    """Events written as feed documents, one a line, each with its meta and cards, and read back."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    path = f"{shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    each = read_table(spark, d, "events").select(F.col("ts").cast("date").cast("string").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("family"))
+    each.select(F.to_json(F.struct(F.struct("at").alias("meta"), F.array(F.struct("id", "family", "at")).alias("cards"))).alias("value")).write.text(path)
+    card = StructType([StructField("id", LongType()), StructField("family", StringType()), StructField("at", StringType())])
+    meta, cards = R.read_feed(spark, path, StructType([StructField("at", StringType())]), card, lines=True)
+    return cards.join(meta.distinct(), "at").select("at", "id", "family")
+
+
 @query("SELECT unnest(['x_n', 'x_users']) AS key, unnest([count(*), count(DISTINCT user_id)])::DOUBLE AS value FROM events", posts=False)
 def a8_metrics(spark, d):
     return R.metrics(read_table(spark, d, "events").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")), "x_")

@@ -12,10 +12,10 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from labelscope.functions.columns import as_flag
 
 
-def read_feed(spark: SparkSession, path: str, meta: StructType, card: StructType) -> tuple[DataFrame, DataFrame]:
-    """(meta, posts) of a feed document with an object ``meta`` and a list ``cards``; a document without either is an error."""
+def read_feed(spark: SparkSession, path: str, meta: StructType, card: StructType, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(meta, posts) of feed documents with an object ``meta`` and a list ``cards``, one a file or, with ``lines``, one a line; a document without either is an error."""
     schema = StructType([StructField("meta", meta), StructField("cards", ArrayType(card))])
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines)
     if raw.where("meta IS NULL OR cards IS NULL").limit(1).count():
         raise ValueError(f"{path}: a feed document lacks meta or a list of cards")
     return raw.select("meta.*"), raw.select(F.explode("cards").alias("c")).select("c.*")

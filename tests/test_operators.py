@@ -120,6 +120,31 @@ def test_normalise(spark):
     assert [r[0] for r in df.select(L.normalised("t")).collect()] == ['"a b"- c', ""]
 
 
+def test_views_of_a_raw_text(spark):
+    raw = 'x &lt;b&gt;bold&lt;/b&gt; <i>it</i> ""q"" {"a": "caf\\u00e9 &amp; <p>\\n\\"t\\"", "b": "bad \\q"}'
+    df = spark.createDataFrame([(raw,), (None,)], "t string")
+    got = [{v.view: v.text for v in r[0]} for r in df.select(L.views("t")).collect()]
+    assert got[0]["raw"] == raw and got[0]["unescaped"].startswith("x <b>bold</b> <i>it</i>") and got[0]["untagged"].startswith("x  bold   it ")
+    assert 'café &amp; <p>\n"t"' in got[0]["strings"].split("\n", 3)[-1] or 'café &amp; <p>' in got[0]["strings"]
+    assert "bad \\q" in got[0]["strings"] and "café &  " in got[0]["strings_untagged"]
+    assert set(got[1].values()) == {""}
+
+
+def test_compatibility_form_is_taken(spark):
+    df = spark.createDataFrame([("ﬁn ① Ａ",)], "t string")
+    assert df.select(L.normalised("t")).first()[0] == "fin 1 a"
+
+
+def test_scan_sends_or_exchanges_with_the_same_result(spark, monkeypatch):
+    hay = spark.createDataFrame([(i, "some words before " * (i % 3) + ("the quick brown fox jumps over the lazy dog again and again" if i % 4 == 0 else "nothing of it") + " after") for i in range(40)], "id long, t string")
+    index = L.build_index(spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again")], "o long, t string"), "o", "t")
+    both = []
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(L, "SENT_HASHES", most)
+        both.append(sorted(map(tuple, L.scan(hay, "id", "t", index).collect())))
+    assert both[0] == both[1] == [(i, 1) for i in range(0, 40, 4)]
+
+
 def test_redaction_goes_into_structs_and_arrays(spark):
     df = spark.sql("SELECT 1 AS id, 'secret' AS text, named_struct('text', 'x', 'n', 2, 'gone', 'y') AS a, array(named_struct('text', '', 'n', 3), named_struct('text', 'z', 'n', 4)) AS b")
     got = L.redact(df, {"text": "mark", "gone": "drop"}).first().asDict(True)
