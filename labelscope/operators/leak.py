@@ -75,16 +75,21 @@ def scan(hay: DataFrame, hay_id: str, text: str, index: DataFrame, length: int =
     than SENT_HASHES are not sent: then all windows are exchanged as 64-bit numbers.
     """
     plain = hay.select(F.col(hay_id).alias("hay"), normalised(text, compatibility).alias("_t"))
+    return _holding(plain, index.select("owner", "shingle"), length).select("hay", "owner").distinct()
+
+
+def _holding(plain: DataFrame, index: DataFrame, length: int) -> DataFrame:
+    """(hay, owner, shingle): texts ``_t`` that contain a shingle, found by the hash of its first ``length`` characters."""
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [int(window_hashes(t, length)[0]) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=["owner", "shingle", "_h"])
 
-    keyed = shared_table(index.select("owner", "shingle").mapInArrow(keys_of, f"owner {index.schema['owner'].dataType.simpleString()}, shingle string, _h long"), "index")
+    keyed = shared_table(index.mapInArrow(keys_of, f"owner {index.schema['owner'].dataType.simpleString()}, shingle string, _h long"), "index")
     hashes = keyed.select("_h").distinct()
     known = np.sort(np.array([r[0] for r in hashes.collect()], np.int64)) if hashes.count() <= SENT_HASHES else None
-    sent = hay.sparkSession.sparkContext.broadcast(known)
+    sent = plain.sparkSession.sparkContext.broadcast(known)
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +102,7 @@ def scan(hay: DataFrame, hay_id: str, text: str, index: DataFrame, length: int =
 
     met = plain.mapInArrow(windows_of, f"hay {plain.schema['hay'].dataType.simpleString()}, _h long")
     found = met.join(keyed, "_h").select("hay", "owner", "shingle").distinct()
-    return found.join(plain, "hay").where(F.col("_t").contains(F.col("shingle"))).select("hay", "owner").distinct()
+    return found.join(plain, "hay").where(F.col("_t").contains(F.col("shingle"))).select("hay", "owner", "shingle")
 
 
 def _held(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -187,13 +192,30 @@ def secret_scan(df: DataFrame, id_col: str, text: str, kinds: dict[str, str] = S
     return df.select(F.col(id_col).alias("id"), F.explode(found).alias("f")).where("f.n > 0").select("id", "f.kind", "f.n")
 
 
-#: A table of probes up to this many rows is broadcast whole; more need ``build_index`` and ``scan``.
-MAX_PROBES = 5000
+#: Probes are looked up by the hash of their first characters, as many as the largest of these that they have.
+PROBE_LENGTHS = (32, 16, 8, 4, 2, 1)
 
 
 def probe_search(files: DataFrame, file_id: str, text: str, probes: DataFrame, probe: str, allowed: DataFrame) -> DataFrame:
-    """(file, probe): literal probes found in files that are not allowed to hold them. The probe table must be small."""
-    if probes.limit(MAX_PROBES + 1).count() > MAX_PROBES:
-        raise ValueError("too many probes for a literal search; build an index of shingles")
-    met = files.select(F.col(file_id).alias("file"), F.col(text).alias("_t")).join(F.broadcast(probes.select(F.col(probe).alias("probe"))), F.col("_t").contains(F.col("probe")))
-    return met.select("file", "probe").join(allowed, ["file", "probe"], "left_anti")
+    """(file, probe): literal probes found in files that are not allowed to hold them, at any number of probes.
+
+    ``allowed`` lists files, as (file), or single finds, as (file, probe). Each class of probe
+    lengths is one pass of hashed windows; short probes meet more windows, but every find is verified.
+    Null and empty probes and null texts find nothing; rows that
+    repeat a file or a probe count once; a file without an id is not searched.
+    """
+    plain = files.where(F.col(text).isNotNull()).select(F.col(file_id).alias("hay"), F.col(text).alias("_t"))
+    whole = "probe" not in allowed.columns
+    if whole:
+        plain = plain.join(allowed.select(F.col("file").alias("hay")), "hay", "left_anti")
+    wanted = probes.select(F.col(probe).alias("shingle")).where(F.length("shingle") > 0).distinct()
+    size = F.coalesce(*(F.when(F.length("shingle") >= n, n) for n in PROBE_LENGTHS))
+    wanted = shared_table(wanted.select(size.alias("owner"), "shingle"), "probes")
+    found = [_holding(plain, wanted.where(F.col("owner") == r[0]), r[0]) for r in wanted.select("owner").distinct().collect()]  # as many as PROBE_LENGTHS
+    if not found:
+        return plain.select(F.col("hay").alias("file"), F.lit("").alias("probe")).limit(0)
+    met = found[0]
+    for other in found[1:]:
+        met = met.unionByName(other)
+    met = met.select(F.col("hay").alias("file"), F.col("shingle").alias("probe")).distinct()
+    return met if whole else met.join(allowed, ["file", "probe"], "left_anti")

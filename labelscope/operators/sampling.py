@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.columns import count_if, ratio, wilson
+from labelscope.operators.rank import global_rank
 
 
 def strata(base: DataFrame, id_col: str, predicates: dict[str, Column]) -> DataFrame:
@@ -61,15 +62,15 @@ def membership(members: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def label_batches(census: DataFrame, sampled: DataFrame, size: int = 40) -> DataFrame:
-    """(id, batch): census items first, then the sampled, each by id, in batches. Ranks only the drawn items."""
+    """(id, batch): census items first, then the sampled, each by id, in batches. A census of any size is ranked by ranges."""
     both = census.select("id", F.lit(0).alias("_b")).unionByName(sampled.select("id", F.lit(1).alias("_b"))).groupBy("id").agg(F.min("_b").alias("_b"))
-    return both.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("_b", "id")) - 1) / size)).drop("_b")
+    return global_rank(both, [F.col("_b"), F.col("id")], "_r").select("id", F.floor((F.col("_r") - 1) / size).alias("batch"))
 
 
 def shuffled_blocks(drawn: DataFrame, block: Column, seed: str) -> DataFrame:
-    """(id, position): blocks in order, each shuffled by md5. Ranks only the drawn items."""
-    order = Window.orderBy("_b", draw_order(seed, F.lit("order"), F.col("id")))
-    return drawn.withColumn("_b", block).select("id", F.row_number().over(order).alias("position"))
+    """(id, position): blocks in order, each shuffled by md5, then by id; ranked by ranges."""
+    keyed = drawn.select("id", block.alias("_b"), draw_order(seed, F.lit("order"), F.col("id")).alias("_o"))
+    return global_rank(keyed, [F.col("_b"), F.col("_o"), F.col("id")], "position").select("id", F.col("position").cast("int").alias("position"))
 
 
 def design_check(expected: DataFrame, members: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def inclusion_probability(members: DataFrame, n: dict[str, int], census: Sequenc
     """(id, pi): 1 in a census stratum, else 1 - prod(1 - n_h / N_h) over the sampled strata that hold the item."""
     wanted = F.create_map(*(x for k, v in n.items() for x in (F.lit(k), F.lit(float(v)))))
     sizes = populations(members)
-    each = members.join(F.broadcast(sizes), "stratum")
+    each = members.join(sizes, "stratum")
     rate = F.when(F.col("stratum").isin(*census), F.lit(1.0)).otherwise(F.coalesce(F.least(F.lit(1.0), F.try_divide(wanted[F.col("stratum")], F.col("population").cast("double"))), F.lit(0.0)))
     by = each.groupBy("id").agg(F.collect_list(rate).alias("_f"))
     return by.select("id", (1.0 - F.aggregate(F.sort_array("_f"), F.lit(1.0), lambda m, f: m * (1.0 - f))).alias("pi"))

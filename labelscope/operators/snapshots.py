@@ -65,15 +65,20 @@ def missing_ids(items: DataFrame, labels: DataFrame, refused: DataFrame, id_col:
 
 
 def coverage(items: DataFrame, sets: DataFrame, refused: DataFrame, set_col: str, id_col: str = "id") -> DataFrame:
-    """(set, labelled, refused, missing) of each label set over the items, in one pass over the tagged sets."""
+    """(set, labelled, refused, missing) of each label set over the items, in one pass over the tagged sets.
+
+    Refused are the refused items less those that the set labels all the same; a set without a label of an item counts too.
+    """
     ids = items.select(id_col)
     n = ids.agg(F.count("*").alias("_n"))
     labelled = sets.select(set_col, id_col).distinct().join(ids, id_col, "left_semi")
     known = labelled.groupBy(set_col).agg(F.count("*").alias("labelled"))
     open_ = refused.select(id_col).distinct().join(ids, id_col, "left_semi")
     names = sets.select(set_col).distinct()
-    declined = open_.crossJoin(F.broadcast(names)).join(labelled, [set_col, id_col], "left_anti").groupBy(set_col).agg(F.count("*").alias("refused"))
-    met = known.join(declined, set_col, "left").na.fill(0, ["refused"]).crossJoin(F.broadcast(n))
+    both = labelled.join(open_, id_col, "left_semi").groupBy(set_col).agg(F.count("*").alias("_both"))
+    declined = open_.agg(F.count("*").alias("_open"))
+    met = names.join(known, set_col, "left").join(both, set_col, "left").na.fill(0, ["labelled", "_both"]).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(declined))
+    met = met.withColumn("refused", F.col("_open") - F.col("_both"))
     return met.select(set_col, "labelled", "refused", (F.col("_n") - F.col("labelled") - F.col("refused")).alias("missing"))
 
 

@@ -150,7 +150,7 @@ def grid(df: DataFrame, group: str, band: str) -> DataFrame:
     cells = df.cube(group, band).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
     rows = cells.where("level = 1").select(F.col(group).alias("_g"), F.col("n").alias("_row"))
     columns = cells.where("level = 2").select(F.col(band).alias("_b"), F.col("n").alias("_column"))
-    inner = cells.where("level = 0").join(F.broadcast(rows), F.col(group).eqNullSafe(F.col("_g"))).join(F.broadcast(columns), F.col(band).eqNullSafe(F.col("_b")))
+    inner = cells.where("level = 0").join(rows, F.col(group).eqNullSafe(F.col("_g"))).join(columns, F.col(band).eqNullSafe(F.col("_b")))
     return inner.select(group, band, "n", ratio("n", "_row").alias("row_share"), ratio("n", "_column").alias("column_share"))
 
 
@@ -158,7 +158,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame, model: str, kinds: Sequence[
     """By model: tokens of each kind and their list price per million, and the reported cost, null if none was reported."""
     sums = usage.groupBy(model).agg(F.count("*").alias("calls"), *(F.sum(k).alias(k) for k in kinds), F.sum(F.expr("try_cast(reported as decimal(38,9))")).alias("reported"))
     cost = sum((F.coalesce(F.col(k), F.lit(0)) * F.col(f"{k}_price") for k in kinds[1:]), F.coalesce(F.col(kinds[0]), F.lit(0)) * F.col(f"{kinds[0]}_price"))
-    return sums.join(F.broadcast(prices), model, "left").select(model, "calls", *kinds, (cost / 1e6).alias("list_cost"), F.col("reported").cast("double").alias("reported"))
+    return sums.join(prices, model, "left").select(model, "calls", *kinds, (cost / 1e6).alias("list_cost"), F.col("reported").cast("double").alias("reported"))
 
 
 def what_if_price(series: DataFrame, prices: DataFrame, prompt: str, requests: str, out_tokens: int = 10) -> DataFrame:

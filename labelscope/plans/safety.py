@@ -133,9 +133,8 @@ def g18_secret_scan(spark, d):
     return L.secret_scan(read_table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""WITH p AS (SELECT DISTINCT substring(text, 1, 30) AS probe FROM benchmark WHERE length(text) >= 30) SELECT doc_id AS file, probe FROM documents JOIN p ON contains(text, probe) WHERE doc_id % 10 <> 0""", posts=False)
+@query("""WITH p AS (SELECT DISTINCT text AS probe FROM benchmark WHERE text <> '') SELECT DISTINCT doc_id AS file, probe FROM documents JOIN p ON contains(text, probe) WHERE doc_id % 10 <> 0""", posts=False)
 def g19_probe_search(spark, d):
     docs = read_table(spark, d, "documents")
-    probes = read_table(spark, d, "benchmark").where(F.length("text") >= 30).select(F.substring("text", 1, 30).alias("probe")).distinct()
-    allowed = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("file")).crossJoin(F.broadcast(probes))
-    return L.probe_search(docs, "doc_id", "text", probes, "probe", allowed)
+    allowed = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("file"))
+    return L.probe_search(docs, "doc_id", "text", read_table(spark, d, "benchmark"), "text", allowed)

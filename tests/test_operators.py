@@ -130,6 +130,49 @@ def test_views_of_a_raw_text(spark):
     assert set(got[1].values()) == {""}
 
 
+def test_probes_of_any_number_and_length_are_found(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc é", k=rng.choice([0, 3, 60, 400]))) for _ in range(60)] + [None, "x" * 50_000 + "needle"]
+    probes = [None, "", "é", "ab", "needle", "needle", "zzz"] + [t[a : a + n] for t in texts[:60] if t and len(t) > 50 for a, n in [(7, 5), (3, 33), (10, 16)]]
+    files = spark.createDataFrame([*enumerate(texts), (2, texts[2])], "file long, body string")
+    asked = spark.createDataFrame([(p,) for p in probes], "p string")
+    want = {(i, p) for i, t in enumerate(texts) for p in probes if t and p and p in t}
+    assert len({p for _, p in want}) > 20
+    none = spark.createDataFrame([], "file long, probe string")
+    listed = spark.createDataFrame([(i,) for i in range(0, 70, 3)], "file long")
+    pairs = spark.createDataFrame(sorted(want)[::2], "file long, probe string")
+    for sent in (L.SENT_HASHES, 1):  # the second time all windows are exchanged
+        monkeypatch.setattr(L, "SENT_HASHES", sent)
+        got = L.probe_search(files, "file", "body", asked, "p", none).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {tuple(r) for r in L.probe_search(files, "file", "body", asked, "p", listed).collect()} == {(i, p) for i, p in want if i % 3}
+    assert {tuple(r) for r in L.probe_search(files, "file", "body", asked, "p", pairs).collect()} == set(sorted(want)[1::2])
+    assert L.probe_search(files, "file", "body", asked.where("p = ''"), "p", none).count() == 0
+    assert L.probe_search(files.limit(0), "file", "body", asked, "p", listed).count() == 0
+
+
+def test_coverage_counts_refused_items_by_set(spark):
+    items = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    sets = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3), ("b", 99), ("c", 99)], "set string, id long")
+    refused = spark.createDataFrame([(2,), (2,), (4,), (77,)], "id long")
+    got = {r["set"]: (r.labelled, r.refused, r.missing) for r in SN.coverage(items, sets, refused, "set").collect()}
+    assert got == {"a": (2, 1, 7), "b": (1, 2, 7), "c": (0, 2, 8)}
+    assert SN.coverage(items, sets.limit(0), refused, "set").count() == 0
+
+
+def test_batches_and_blocks_do_not_depend_on_partitions(spark):
+    census = spark.createDataFrame([(i,) for i in range(0, 90, 2)], "id long")
+    drawn = spark.createDataFrame([(i,) for i in range(60, 100)], "id long")
+    order = sorted(range(0, 90, 2)) + [i for i in range(60, 100) if i % 2 or i >= 90]
+    for parts in (1, 7):
+        got = {r.id: r.batch for r in S.label_batches(census.repartition(parts), drawn.repartition(parts), 40).collect()}
+        assert got == {i: k // 40 for k, i in enumerate(order)}
+    blocks = [{r.id: r.position for r in S.shuffled_blocks(drawn.repartition(n), F.col("id") % 3, "s").collect()} for n in (1, 7)]
+    assert blocks[0] == blocks[1] and sorted(blocks[0].values()) == list(range(1, 41))
+    assert [i % 3 for i, _ in sorted(blocks[0].items(), key=lambda x: x[1])] == sorted(i % 3 for i in range(60, 100))
+    assert S.label_batches(census.limit(0), drawn.limit(0)).count() == 0
+
+
 def test_compatibility_form_is_taken(spark):
     df = spark.createDataFrame([("ﬁn ① Ａ",)], "t string")
     assert df.select(L.normalised("t")).first()[0] == "fin 1 a"
