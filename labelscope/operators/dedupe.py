@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from labelscope.functions.columns import col, windows
 from labelscope.operators.components import connected_components
+from labelscope.operators.set_join import joined
 from labelscope.sources.shared import shared_table
 
 
@@ -22,10 +23,14 @@ def title_tokens(title: str | Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
+def plain_text(text: str | Column) -> Column:
+    """The lower-cased text without URLs and with single spaces; null is empty."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"https?://\S+", ""), r"\s+", " "))
+
+
 def text_grams(text: str | Column, n: int = 3) -> Column:
-    """The distinct character n-grams of the lower-cased text without URLs and with single spaces; shorter texts have none."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"https?://\S+", ""), r"\s+", " "))
-    return F.array_distinct(windows(clean, n, lambda last: F.sequence(F.lit(1), last)))
+    """The distinct character n-grams of the plain text; shorter texts have none."""
+    return F.array_distinct(windows(plain_text(text), n, lambda last: F.sequence(F.lit(1), last)))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
@@ -70,30 +75,23 @@ def chip_edges(items: DataFrame, threshold: float = 0.8, chips: str = "chips", i
 
 
 def text_edges(items: DataFrame, titles: float = 0.8, texts: float = 0.6, chips: str = "chips", text: str = "text", id_col: str = "id") -> DataFrame:
-    """(src, dst, rule): items without claims that have near titles and near texts.
+    """(src, dst, rule): links whose closure is that of all items without claims that have near titles and near texts.
 
-    Candidates are all pairs of classes of equal titles and texts with near titles, verified on the
-    trigrams of their texts.
+    Items of equal titles and texts are a star around the smallest id. The others are compared inside
+    and between classes of titles: equal token sets are a class, near ones are found by prefixes, and the
+    texts of two classes are joined on their trigrams (``set_join``). Ids are whole numbers.
     """
-    plain = items.where(F.size(F.coalesce(chips, F.array().cast("array<string>"))) == 0).select(F.col(id_col).alias("id"), "title", F.col(text).alias("text"))
-    classes = shared_table(plain.withColumn("_d", F.md5(F.concat_ws("\u0001", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))).groupBy("_d").agg(F.min("id").alias("id")), "texts")
-    copies = plain.withColumn("_d", F.md5(F.concat_ws("\u0001", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))).join(classes.withColumnRenamed("id", "src"), "_d").where("src < id").select("src", F.col("id").alias("dst"))
-    kept = plain.join(classes.select("id"), "id", "left_semi")
-    near = title_pairs(kept, titles)
-    grams = kept.select("id", text_grams("text").alias("_g"))
-    met = near.join(grams.select(F.col("id").alias("src"), F.col("_g").alias("ga")), "src").join(grams.select(F.col("id").alias("dst"), F.col("_g").alias("gb")), "dst")
-    return met.where(jaccard("ga", "gb") >= texts).select("src", "dst").unionByName(copies).withColumn("rule", F.lit("text"))
-
-
-def title_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst): all pairs of items, of one text each, with near titles; equal titles are found as sets, not token by token."""
-    tokens = items.select("id", F.array_sort(title_tokens("title")).alias("_t"))
-    same = tokens.select(F.col("id").alias("src"), "_t").join(tokens.select(F.col("id").alias("dst"), "_t"), "_t").where("src < dst").select("src", "dst")
-    sets = tokens.groupBy("_t").agg(F.min("id").alias("id"))
-    stars = similar_titles(items.join(sets.select("id"), "id", "left_semi"), threshold)
-    of = tokens.join(sets.select(F.col("id").alias("_s"), "_t"), "_t").select("id", "_s")
-    across = stars.join(of.select(F.col("id").alias("_x"), F.col("_s").alias("src")), "src").join(of.select(F.col("id").alias("_y"), F.col("_s").alias("dst")), "dst")
-    return same.unionByName(across.select(F.least("_x", "_y").alias("src"), F.greatest("_x", "_y").alias("dst")))
+    digest = F.md5(F.concat_ws("\u0001", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+    plain = items.where(F.size(F.coalesce(chips, F.array().cast("array<string>"))) == 0).select(F.col(id_col).cast("long").alias("id"), "title", F.col(text).alias("text")).withColumn("_d", digest)
+    first = shared_table(plain.groupBy("_d").agg(F.min("id").alias("src")), "texts")
+    copies = plain.select("id", "_d").join(first, "_d").where("src < id").select("src", F.col("id").alias("dst"))
+    kept = plain.join(first.select(F.col("src").alias("id")), "id", "left_semi").select("id", F.array_sort(title_tokens("title")).alias("_t"), "title", plain_text("text").alias("text"))
+    classes = shared_table(kept.groupBy("_t").agg(F.min("id").alias("class"), F.count("*").alias("rows")), "classes")
+    heads = kept.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "title")
+    near = similar_titles(heads, titles).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    pairs = near.unionByName(classes.where("rows > 1").select(F.col("class").alias("a"), F.col("class").alias("b")))
+    links = joined(kept.join(classes, "_t").select("id", "class", "text"), shared_table(pairs, "title_pairs"), texts)
+    return links.unionByName(copies).withColumn("rule", F.lit("text"))
 
 
 def all_edges(items: DataFrame) -> DataFrame:

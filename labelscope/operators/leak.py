@@ -1,10 +1,7 @@
-"""Publication safety: shingle leak scans, redaction, secret and probe searches."""
+"""Publication safety: redaction, secret and probe searches, normal forms and readings of texts."""
 
 from __future__ import annotations
 
-import html
-import json
-import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -16,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from labelscope.functions.columns import col, count_if, windows
+from labelscope.operators.leak_scan import INVISIBLE, MARKS, readings
 from labelscope.sources.shared import shared_table
 
 
@@ -33,8 +31,8 @@ def normalised(text: str | Column, compatibility: bool = True) -> Column:
     t = F.coalesce(col(text), F.lit(""))
     if compatibility:
         t = F.when(t.rlike(r"[^\x00-\x7F]"), nfkc(t)).otherwise(t)
-    t = F.translate(t, "‘’“”–—−", "''\"\"---")
-    t = F.regexp_replace(t, "[\u200b-\u200d\ufeff]", "")
+    t = F.translate(t, "".join(MARKS), "".join(MARKS.values()))
+    t = F.regexp_replace(t, INVISIBLE.pattern, "")
     return F.lower(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")))
 
 
@@ -56,28 +54,10 @@ def window_hashes(text: str | None, length: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def build_index(corpus: DataFrame, id_col: str, text: str, length: int = 40, step: int = 8, common: int = 3, compatibility: bool = True) -> DataFrame:
-    """(shingle, owner): shingles of the corpus that fewer than ``common`` owners share, one row per owner."""
-    each = corpus.select(F.col(id_col).alias("owner"), F.explode(shingles(normalised(text, compatibility), length, step)).alias("shingle")).distinct()
-    rare = each.groupBy("shingle").agg(F.count("*").alias("_n")).where(F.col("_n") < common).select("shingle")
-    return each.join(rare, "shingle")
-
-
 #: Distinct hashes of an index that are sent to every task, 16 MB; windows of a larger index are exchanged.
 SENT_HASHES = 2_000_000
 
 
-def scan(hay: DataFrame, hay_id: str, text: str, index: DataFrame, length: int = 40, compatibility: bool = True) -> DataFrame:
-    """(hay, owner): haystacks that hold a shingle of an owner; every window is looked up.
-
-    Windows are hashed where the text lies and looked up in the index's sorted hashes, so only those
-    that meet it are exchanged; the few are verified in the text. The hashes of an index of more
-    than SENT_HASHES are not sent: then all windows are exchanged as 64-bit numbers.
-    """
-    plain = hay.select(F.col(hay_id).alias("hay"), normalised(text, compatibility).alias("_t"))
-    return _holding(plain, index.select("owner", "shingle"), length).select("hay", "owner").distinct()
-
-
 def _holding(plain: DataFrame, index: DataFrame, length: int) -> DataFrame:
     """(hay, owner, shingle): texts ``_t`` that contain a shingle, found by the hash of its first ``length`` characters."""
 
@@ -111,44 +91,16 @@ def _held(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes) if len(known) else np.zeros(len(hashes), bool)
 
 
-_TAG, _STRING = re.compile(r"<[^>]*>"), re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
-
-
-def _decoded(literal: str) -> str:
-    try:
-        return json.loads(literal, strict=False)
-    except ValueError:
-        return literal[1:-1]
-
-
 @F.pandas_udf(ArrayType(StructType([StructField("view", StringType()), StructField("text", StringType())])))
 def _readings(text: pd.Series) -> pd.Series:
-    def each(raw: str | None) -> list[dict]:
-        raw = raw or ""
-        strings = "\n".join(map(_decoded, _STRING.findall(raw)))
-        plain = html.unescape(raw)
-        found = {"raw": raw, "unescaped": plain, "untagged": _TAG.sub(" ", plain), "quotes": raw.replace('""', '"'), "strings": strings, "strings_untagged": _TAG.sub(" ", html.unescape(strings))}
-        return [{"view": k, "text": t.encode("utf-8", "replace").decode()} for k, t in found.items()]
-
-    return text.map(each)
+    return text.map(lambda raw: [{"view": k, "text": t.encode("utf-8", "replace").decode()} for k, t in readings(raw)])
 
 
 def views(raw: str | Column) -> Column:
-    """The readings of a raw text that a leak could hide in: as it is, with references decoded, that without tags, with doubled quotes single, its JSON strings decoded, and those with references decoded and without tags.
-
-    A literal that is no JSON string is read as it stands; null is empty.
-    """
+    """The readings of a raw text that a leak could hide in, as ``leak_scan.readings`` has them; null is empty."""
     return _readings(col(raw))
 
 
-def leak_verdict(hits: DataFrame, titles: DataFrame, allowed: DataFrame, cap: int) -> DataFrame:
-    """(hay, owner, verdict): a hit inside the owner's own title counts as title, allowed pairs pass, and a haystack over the cap fails."""
-    met = hits.join(titles, "owner", "left").join(allowed.withColumn("_ok", F.lit(True)), ["hay", "owner"], "left")
-    counts = met.where("_ok IS NULL").groupBy("hay").agg(F.count("*").alias("_n"))
-    kind = F.when(F.col("_ok"), "allowed").when(F.coalesce(F.col("in_title"), F.lit(False)), "title").when(F.col("_n") > cap, "over cap").otherwise("leak")
-    return met.join(counts, "hay", "left").select("hay", "owner", kind.alias("verdict"))
-
-
 def redact(df: DataFrame, rules: dict[str, str], marker: str = "[removed]") -> DataFrame:
     """``df`` with text fields rewritten by name: empty, mark (non-empty texts only) or drop; numbers and flags stay.
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from labelscope.operators import dedupe as D
 from labelscope.operators import leak as L
+from labelscope.operators import leak_scan as S
 from labelscope.operators.components import connected_components
 from labelscope.plans.binding import posts, query
-from labelscope.sources.shared import read_table, shared_table
+from labelscope.sources.shared import read_table
 
 _TOKENS = r"list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')))"
 _GRAMS = r"""list_distinct(list_transform(range(1, length(c) - 1), lambda i: substring(c, i, 3)))"""
@@ -74,33 +75,54 @@ def g9_loose_sets(spark, d):
     return D.loose_sets(p, connected_components(D.all_edges(p)))
 
 
-_QUOTES = "chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(8212) || chr(8722)"
-_PLAIN = "chr(39) || chr(39) || chr(34) || chr(34) || '---'"
-_NORM = r"lower(trim(regexp_replace(regexp_replace(translate(nfc_normalize({x}), " + _QUOTES + ", " + _PLAIN + r"), '[\x{{200b}}-\x{{200d}}\x{{feff}}]', '', 'g'), '\s+', ' ', 'g')))"
-_WINDOWS = "list_transform(range(1, length(t) - 38{step}), lambda i: substring(t, i, 40))"
-
+_QUOTES = " || ".join(f"chr({n})" for n in (8216, 8217, 8218, 8219, 8220, 8221, 8222, 8223, 8211, 8212, 8722))
+_PLAIN = "repeat(chr(39), 4) || repeat(chr(34), 4) || '---'"
+_NORM = r"lower(trim(regexp_replace(regexp_replace(translate(nfc_normalize({x}), " + _QUOTES + ", " + _PLAIN + r"), '[\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}]', '', 'g'), '\s+', ' ', 'g')))"
 
 @query(rf"SELECT doc_id, md5({_NORM.format(x='text')}) AS digest FROM documents", posts=False)
 def g10_normalise(spark, d):
     return read_table(spark, d, "documents").select("doc_id", F.md5(L.normalised("text")).alias("digest"))
 
 
-_INDEX = rf"""b AS (SELECT item_id AS owner, {_NORM.format(x='text')} AS t FROM benchmark), sh AS (SELECT DISTINCT owner, substring(t, i, 40) AS shingle FROM (SELECT owner, t, unnest(list_append(range(1, length(t) - 38, 8), length(t) - 39)) AS i FROM b WHERE length(t) >= 40)),
-idx AS (SELECT owner, shingle FROM sh WHERE shingle IN (SELECT shingle FROM sh GROUP BY 1 HAVING count(*) < 3))"""
+#: The corpus to protect: benchmark items, their first sentences as titles. An index has text windows of 40 characters every 8 and title windows of 24 every 4.
+_OWNERS = rf"own AS MATERIALIZED (SELECT item_id AS owner, {_NORM.format(x='text')} AS text, {_NORM.format(x="split_part(text, '. ', 1)")} AS title FROM benchmark)"
+_OF = "SELECT DISTINCT '{kind}' AS kind, owner, substring({kind}, i, {length}) AS shingle FROM (SELECT *, unnest(list_append(range(1, length({kind}) - {length} + 2, {step}), length({kind}) - {length} + 1)) AS i FROM own WHERE length({kind}) >= {length})"
+_INDEX = f"""{_OWNERS}, sh AS ({_OF.format(kind='text', length=40, step=8)} UNION ALL {_OF.format(kind='title', length=24, step=4)}),
+idx AS MATERIALIZED (SELECT kind, owner, shingle FROM sh JOIN (SELECT kind, shingle FROM sh GROUP BY 1, 2 HAVING count(*) < 3) USING (kind, shingle))"""
+
+
+def _owners(spark, d):
+    return read_table(spark, d, "benchmark").withColumn("title", F.split_part("text", F.lit(". "), F.lit(1)))
+
 
+def _files(spark, d):
+    """Documents and pages as files, named by their table and key."""
+    docs, pages = read_table(spark, d, "documents"), read_table(spark, d, "pages")
+    named = docs.select(F.concat(F.lit("documents/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("raw"))
+    return named.unionByName(pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("file"), F.col("html").alias("raw")))
 
-@query(f"WITH {_INDEX} SELECT owner, count(*) AS n FROM idx GROUP BY 1", posts=False)
+
+@query(f"WITH {_INDEX} SELECT kind, owner, count(*) AS n FROM idx GROUP BY 1, 2", posts=False)
 def g11_g12_index(spark, d):
-    return L.build_index(read_table(spark, d, "benchmark"), "item_id", "text").groupBy("owner").agg(F.count("*").alias("n"))
+    return S.build_index(_owners(spark, d), "item_id", "text", "title").groupBy("kind", "owner").agg(F.count("*").alias("n"))
 
 
-_HITS = rf"""{_INDEX}, h AS (SELECT doc_id AS hay, {_NORM.format(x='text')} AS t FROM documents), w AS (SELECT hay, unnest(list_distinct({_WINDOWS.format(step='')})) AS x FROM h WHERE length(t) >= 40),
-hits AS (SELECT DISTINCT hay, owner FROM w JOIN idx ON x = shingle)"""
+#: The references that the tables hold, with & as the last; JSON strings of eight characters and more, decoded where they can be.
+_DECODED = "replace(replace(replace({x}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34))"
+_DECODED = f"replace(replace(replace({_DECODED}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_UNTAGGED = "regexp_replace({x}, '<[^>]{{0,1000}}[^>]{{0,1000}}>', ' ', 'g')"
+_READINGS = rf"""f AS MATERIALIZED (SELECT 'documents/' || coalesce(source, '') || '/' || doc_id AS file, text AS raw FROM documents UNION ALL SELECT 'pages/' || page_id, html FROM pages),
+j AS (SELECT file, string_agg(s, chr(10) ORDER BY i) AS strings FROM (SELECT file, i, TRY(json_extract_string(x::JSON, '$')) AS s FROM (SELECT file, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM (SELECT file, regexp_extract_all(raw, '"(?:[^"\\\n]|\\.){{8,}}"') AS xs FROM f))) WHERE s IS NOT NULL GROUP BY 1),
+u AS (SELECT file, raw, {_DECODED.format(x='raw')} AS plain, coalesce(strings, '') AS strings FROM f LEFT JOIN j USING (file)),
+r AS (SELECT file, unnest([raw, plain, {_UNTAGGED.format(x='plain')}, replace(raw, '""', '"'), strings, {_UNTAGGED.format(x=_DECODED.format(x='strings'))}]) AS x, unnest(range(1, 7)) AS reading FROM u),
+v AS MATERIALIZED (SELECT file, t, min(reading) AS reading FROM (SELECT file, {_NORM.format(x='x')} AS t, reading FROM r) GROUP BY 1, 2)"""
+_HITS = f"""{_INDEX}, {_READINGS}, met AS (SELECT file, kind, owner, min({{'r': reading, 'o': strpos(t, shingle) - 1, 's': shingle}}) AS m FROM v JOIN idx ON contains(t, shingle) GROUP BY 1, 2, 3),
+hits AS MATERIALIZED (SELECT file, kind, owner, ['raw', 'unescaped', 'untagged', 'quotes', 'strings', 'strings_untagged'][m.r] AS reading, CAST(m.o AS INTEGER) AS "offset", m.s AS shingle FROM met)"""
 
 
-@query(f"WITH {_HITS} SELECT hay, owner FROM hits", posts=False)
+@query(f'WITH {_HITS} SELECT file, kind, owner, reading, "offset", shingle FROM hits', posts=False)
 def g13_c11_scan(spark, d):
-    return L.scan(read_table(spark, d, "documents"), "doc_id", "text", L.build_index(read_table(spark, d, "benchmark"), "item_id", "text"))
+    return S.scan(_files(spark, d), "file", "raw", S.build_index(_owners(spark, d), "item_id", "text", "title"))
 
 
 @query(posts=False)
@@ -109,12 +131,21 @@ def g14_views(spark, d):
     return read_table(spark, d, "pages").select("page_id", F.explode(L.views("html")).alias("v")).select("page_id", "v.view", F.md5("v.text").alias("digest"))
 
 
-@query(f"""WITH {_HITS}, v AS (SELECT hay, owner, hay % 5 = 0 AS ok, owner % 4 = 0 AS in_title FROM hits), c AS (SELECT hay, count(*) AS n FROM v WHERE NOT ok GROUP BY 1)
-SELECT hay, owner, CASE WHEN ok THEN 'allowed' WHEN in_title THEN 'title' WHEN n > 1 THEN 'over cap' ELSE 'leak' END AS verdict FROM v LEFT JOIN c USING (hay)""", posts=False)
+#: Which files may quote how many owners: texts, then titles; 0 is any number.
+RULES = ((1, "text", "documents/src1/%", 1), (2, "text", "documents/src1%", 0), (3, "title", "documents/src2%", 1), (4, "title", "documents/src_", 0))
+_RULES = ", ".join(map(str, RULES))
+
+
+@query(f"""WITH {_HITS}, o AS (SELECT file, owner, bool_and(kind = 'title' OR contains(title, shingle)) AS quoted FROM hits JOIN own USING (owner) GROUP BY 1, 2),
+n AS (SELECT file, count(*) FILTER (NOT quoted) AS n_text, count(*) FILTER (quoted) AS n_title FROM o GROUP BY 1), rules(position, kind, pattern, cap) AS (VALUES {_RULES}),
+c AS (SELECT file, arg_min(cap, position) FILTER (kind = 'text') AS text_cap, arg_min(cap, position) FILTER (kind = 'title') AS title_cap FROM n JOIN rules ON file LIKE pattern GROUP BY 1)
+SELECT file, n_text, n_title, CASE WHEN n_text > 0 AND (text_cap = 0 OR n_text <= text_cap) THEN 'text allowed' WHEN n_text > 0 THEN 'text' WHEN title_cap IS NULL THEN 'titles'
+  WHEN title_cap = 0 OR n_title <= title_cap THEN 'titles allowed' ELSE 'titles over cap' END AS verdict FROM n LEFT JOIN c USING (file)""", posts=False)
 def g15_leak_verdict(spark, d):
-    hits = shared_table(L.scan(read_table(spark, d, "documents"), "doc_id", "text", L.build_index(read_table(spark, d, "benchmark"), "item_id", "text")), "hits")
-    titles = read_table(spark, d, "benchmark").select(F.col("item_id").alias("owner"), (F.col("item_id") % 4 == 0).alias("in_title"))
-    return L.leak_verdict(hits, titles, hits.where("hay % 5 = 0"), 1)
+    owners = _owners(spark, d)
+    hits = S.scan(_files(spark, d), "file", "raw", S.build_index(owners, "item_id", "text", "title"))
+    rules = spark.createDataFrame(list(RULES), "position int, kind string, pattern string, cap int")
+    return S.verdicts(hits, S.normal_titles(owners, "item_id", "title"), rules)
 
 
 @query("SELECT conv_id, turn, CASE WHEN text <> '' THEN '[removed]' ELSE text END AS text FROM conversations", posts=False)

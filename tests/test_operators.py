@@ -88,18 +88,6 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_title_and_text_rules(spark):
-    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
-    rng = random.Random(3)
-    rows = [(i, " ".join(rng.sample(words, rng.randrange(3, 9))), "body %d" % (i % 4)) for i in range(60)] + [(60, "", "same text"), (61, None, "same text"), (62, "!!", None)]
-    df = spark.createDataFrame(rows, "id long, title string, text string")
-    tokens = {i: set((t or "").replace("!", " ").split()) for i, t, _ in rows}
-    want = {(a, b) for a in tokens for b in tokens if a < b and tokens[a] and tokens[b] and len(tokens[a] & tokens[b]) >= 0.8 * len(tokens[a] | tokens[b])}
-    got = {(r.src, r.dst) for r in D.title_pairs(df, 0.8).collect()}
-    assert {p for p in got if p[0] < 60} == want
-    assert {p for p in got if p[0] >= 60} == {(60, 61), (60, 62), (61, 62)}
-
-
 def test_grams_of_short_texts_and_combining_marks(spark):
     df = spark.createDataFrame([("ab",), (None,), ("ABC",), ("see http://x.y/z  abc",), ("\u00e1b\u0301c",)], "t string")
     got = [r[0] for r in df.select(D.text_grams("t")).collect()]
@@ -126,7 +114,7 @@ def test_views_of_a_raw_text(spark):
     got = [{v.view: v.text for v in r[0]} for r in df.select(L.views("t")).collect()]
     assert got[0]["raw"] == raw and got[0]["unescaped"].startswith("x <b>bold</b> <i>it</i>") and got[0]["untagged"].startswith("x  bold   it ")
     assert 'café &amp; <p>\n"t"' in got[0]["strings"].split("\n", 3)[-1] or 'café &amp; <p>' in got[0]["strings"]
-    assert "bad \\q" in got[0]["strings"] and "café &  " in got[0]["strings_untagged"]
+    assert "bad" not in got[0]["strings"] and "café &  " in got[0]["strings_untagged"]
     assert set(got[1].values()) == {""}
 
 
@@ -178,16 +166,6 @@ def test_compatibility_form_is_taken(spark):
     assert df.select(L.normalised("t")).first()[0] == "fin 1 a"
 
 
-def test_scan_sends_or_exchanges_with_the_same_result(spark, monkeypatch):
-    hay = spark.createDataFrame([(i, "some words before " * (i % 3) + ("the quick brown fox jumps over the lazy dog again and again" if i % 4 == 0 else "nothing of it") + " after") for i in range(40)], "id long, t string")
-    index = L.build_index(spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again")], "o long, t string"), "o", "t")
-    both = []
-    for most in (2_000_000, 0):
-        monkeypatch.setattr(L, "SENT_HASHES", most)
-        both.append(sorted(map(tuple, L.scan(hay, "id", "t", index).collect())))
-    assert both[0] == both[1] == [(i, 1) for i in range(0, 40, 4)]
-
-
 def test_redaction_goes_into_structs_and_arrays(spark):
     df = spark.sql("SELECT 1 AS id, 'secret' AS text, named_struct('text', 'x', 'n', 2, 'gone', 'y') AS a, array(named_struct('text', '', 'n', 3), named_struct('text', 'z', 'n', 4)) AS b")
     got = L.redact(df, {"text": "mark", "gone": "drop"}).first().asDict(True)
