@@ -165,7 +165,7 @@ def _search_size(every: DataFrame, asked: DataFrame, rows: int, k: int, lists: i
             for q, v in zip(right["vec_id"].to_numpy(), right["v"].to_numpy(), strict=True):
                 found = shared.value.search(v, which, codes, probed, keep)
                 found = found[ids[found] != q]
-                score = x[found] @ v
+                score = (x[found] * v).sum(1)  # each row by itself: a matrix product adds rows up in other orders by their place
                 top = np.lexsort((ids[found], -score))[:k]
                 out[0].append(np.full(len(top), q))
                 out[1].append(ids[found[top]])
