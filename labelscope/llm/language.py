@@ -101,10 +101,14 @@ def windows_of(text: str) -> np.ndarray:
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
     """A network fitted on at most ``per_language`` documents of each language; none without labelled text.
 
-    The sample depends on the ids alone. Seeded windows are drawn where the documents lie, so
-    only they reach the driver.
+    The sample depends on the ids alone and is drawn from ids, languages and hashes of the texts, so that no
+    text leaves its place. Seeded windows are drawn where the sampled documents lie, and only they reach
+    the driver. Rows without an id are not learnt from.
     """
-    sample = bounded_sample(labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), lang_col, per_language, id_col)
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = usable.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("_text", F.xxhash64("text"))
+    sampled = bounded_sample(usable.select("id", "lang", "_text"), "lang", per_language, "id").distinct()  # at most SAMPLE_TOTAL rows, four a language more
+    picked = usable.join(sampled, ["id", "lang", "_text"], "left_semi").select("id", "text", "lang")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, langs = [], []
@@ -116,7 +120,6 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col:
                 langs += [lang] * len(picked)
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
 
-    picked = sample.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = sorted(map(tuple, map_batches(picked, make, "lang string, window binary").collect()))
     languages = sorted({r[0] for r in rows})
     if not languages:
