@@ -31,20 +31,6 @@ def sum_if(value: str | Column, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, col(value))), F.lit(0))
 
 
-def median(value: str | Column) -> Column:
-    """Exact median, the mean of the two middle values for an even number."""
-    return F.percentile(col(value), F.lit(0.5))
-
-
-def percentile_linear(value: str | Column, p: float) -> Column:
-    return F.percentile(col(value), F.lit(p))
-
-
-def percentile_nearest(value: str, p: float) -> Column:
-    """The value at the nearest rank, ceil(p * n); one of the values, never between two."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-
-
 def wilson(k: str | Column, n: str | Column, z: float = 1.96, clamp: bool = True) -> dict[str, Column]:
     """Share and Wilson interval as columns p, lo and hi; null for n = 0."""
     k, n = col(k).cast("double"), col(n).cast("double")

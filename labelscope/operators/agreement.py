@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.columns import bin_label, count_if, ratio, wilson
-from labelscope.operators.rank import equal_count_bins
+from labelscope.operators.rank import equal_count_bins, with_percentiles
 
 
 def unpivoted(df: DataFrame, id_col: str, fields: Sequence[str], name: str = "field", value: str = "value") -> DataFrame:
@@ -147,11 +147,12 @@ def recount_by_group(df: DataFrame, groups: dict[str, Column], positive: Column,
 
 def call_stats(calls: DataFrame, ok: Column, latency: str, kind: Column) -> DataFrame:
     """One row: calls, failures, error rate and latency percentiles of those that succeeded."""
-    good = F.when(ok, F.col(latency))
-    return calls.agg(
+    table = calls.agg(
         F.count("*").alias("calls"), count_if(ok).alias("ok"), count_if(~ok).alias("failed"), ratio(count_if(~ok), F.count("*")).alias("error_rate"),
-        *(F.percentile(good, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)), F.count_distinct(F.when(~ok, kind)).alias("kinds"),
+        F.count_distinct(F.when(~ok, kind)).alias("kinds"),
     )
+    good = calls.select(F.when(ok, F.col(latency)).alias("_good"))
+    return with_percentiles(table, good, [], {f"p{int(p * 100)}": ("_good", p) for p in (0.5, 0.95, 0.99)})
 
 
 def top_confusions(confusion: DataFrame, by: Sequence[str], k: int = 4) -> DataFrame:

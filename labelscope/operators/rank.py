@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import ratio
+from labelscope.functions.columns import col, ratio
 from labelscope.sources.shared import shared_table
 
 
@@ -129,3 +129,54 @@ def percentiles(df: DataFrame, value: str, ps: Sequence[float]) -> DataFrame:
     met = hist.join(F.broadcast(places), (F.col("c0") <= F.col("_s.i")) & (F.col("_s.i") < F.col("c1")))  # three rows a percentile
     by = met.groupBy("p").agg(F.max("_w").alias("_w"), *(F.max(F.when(F.col("_s.k") == k, F.col("value"))).alias(k) for k in ("lo", "hi", "near")))
     return by.select("p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_w")).cast("double").alias("linear"), F.col("near").cast("double").alias("nearest"))
+
+
+def grouped_percentiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str | Column, float] | tuple[str | Column, float, str]]) -> DataFrame:
+    """(keys, one column for each name): exact percentiles by group, as (value, p) by the linear rule or as (value, p, "nearest").
+
+    All values share one histogram over (group, value), range-partitioned by both, so that a group of
+    very many values lies in many tasks: places are counted inside each range and moved by the totals of
+    the group's earlier ranges. Unlike the ``percentile`` aggregates, no task holds a group's values.
+    Null values do not count; a group without others is left out. Null keys are a group. Without keys
+    the whole table is one group, a row of nulls if it has no values.
+    """
+    values = {v if isinstance(v, str) else name: v for name, (v, *_) in wanted.items()}
+    number = {k: i for i, k in enumerate(values)}
+    own = [f"_k{i}" for i in range(len(keys))]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), col(v).cast("double").alias("v")) for i, v in enumerate(values.values()))))
+    long = df.select(*(F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)), each.alias("_e")).select(*own, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v")).where("_v is not null")
+    hist = long.groupBy(*own, "_m", "_v").agg(F.count("*").alias("_n"))
+    parts = shared_table(hist.repartitionByRange(*own, "_m", "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    group = [*own, "_m"]
+    totals = parts.groupBy(*group, "_part").agg(F.sum("_n").alias("_sum"))  # a row for each group and each range that it spans
+    before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    moved = totals.select(*(F.col(c).alias(f"{c}_") for c in (*group, "_part")), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(*group)).alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*group, "_part")]
+    met = parts.join(moved, same)
+    to = F.sum("_n").over(Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
+    placed = met.withColumn("_to", to).withColumn("_from", F.col("_to") - F.col("_n"))
+
+    def at(m: int, place: Column) -> Column:
+        return F.max(F.when((F.col("_m") == m) & (F.col("_from") <= place) & (place < F.col("_to")), F.col("_v")))
+
+    picks, found = [], []
+    for i, (name, (v, p, *rule)) in enumerate(wanted.items()):
+        m = number[v if isinstance(v, str) else name]
+        if rule == ["nearest"]:
+            picks.append(at(m, F.greatest(F.ceil(F.col("_all") * F.lit(float(p))) - 1, F.lit(0))).alias(f"_lo{i}"))
+            found.append(F.col(f"_lo{i}").alias(name))
+        else:
+            spot = (F.col("_all") - 1) * F.lit(float(p))
+            part = F.max(F.when(F.col("_m") == m, spot - F.floor(spot)))
+            picks += [at(m, F.floor(spot)).alias(f"_lo{i}"), at(m, F.ceil(spot)).alias(f"_hi{i}"), part.alias(f"_w{i}")]
+            found.append((F.col(f"_lo{i}") * (1 - F.col(f"_w{i}")) + F.col(f"_hi{i}") * F.col(f"_w{i}")).alias(name))
+    return placed.groupBy(*own).agg(*picks).select(*(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), *found)
+
+
+def with_percentiles(table: DataFrame, df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple]) -> DataFrame:
+    """``table``, one row a group of ``df``, with the groups' percentiles; null for groups without values."""
+    found = grouped_percentiles(df, keys, wanted).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    if not keys:
+        found, table = found.withColumn("_of_all", F.lit(1)), table.withColumn("_all_rows", F.lit(1))
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_of_{k}`")) for k in keys] or [F.col("_all_rows") == F.col("_of_all")]
+    return table.join(found, same, "left").drop(*(f"_of_{k}" for k in keys), "_of_all", "_all_rows")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import bin_label, col, count_if, median, percentile_linear, ratio
+from labelscope.functions.columns import bin_label, col, count_if, ratio
+from labelscope.operators.rank import grouped_percentiles, with_percentiles
 
 
 def _totals(df: DataFrame, measures: Sequence[str]) -> DataFrame:
@@ -26,7 +27,8 @@ def with_shares(table: DataFrame, totals: DataFrame, measures: Sequence[str], co
 
 def distribution(df: DataFrame, key: str, measures: Sequence[str], domain: DataFrame | None = None) -> DataFrame:
     """Count, sums, medians and shares by key; keys of the domain without rows get zeros, medians too."""
-    by = df.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(m).alias(f"sum_{m}") for m in measures), *(median(m).alias(f"median_{m}") for m in measures))
+    by = df.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(m).alias(f"sum_{m}") for m in measures))
+    by = with_percentiles(by, df, [key], {f"median_{m}": (m, 0.5) for m in measures})
     if domain is not None:
         by = domain.select(key).distinct().join(by, key, "left").na.fill(0)
     return with_shares(by, _totals(df, measures), measures)
@@ -35,16 +37,20 @@ def distribution(df: DataFrame, key: str, measures: Sequence[str], domain: DataF
 def family_table(df: DataFrame, key: str, views: str, likes: str, flags: Sequence[str]) -> DataFrame:
     """The distribution with the 90th percentile of views, flag counts and the index share of views / share of posts."""
     by = df.groupBy(key).agg(
-        F.count("*").alias("n"), F.sum(views).alias(f"sum_{views}"), F.sum(likes).alias(f"sum_{likes}"),
-        median(views).alias(f"median_{views}"), median(likes).alias(f"median_{likes}"), percentile_linear(views, 0.9).alias(f"p90_{views}"),
-        *(count_if(F.col(f)).alias(f"n_{f}") for f in flags),
+        F.count("*").alias("n"), F.sum(views).alias(f"sum_{views}"), F.sum(likes).alias(f"sum_{likes}"), *(count_if(F.col(f)).alias(f"n_{f}") for f in flags)
     )
+    by = with_percentiles(by, df, [key], {f"median_{views}": (views, 0.5), f"median_{likes}": (likes, 0.5), f"p90_{views}": (views, 0.9)})
     return with_shares(by, _totals(df, [views, likes]), [views, likes]).withColumn("index", ratio(f"share_{views}", "share_n"))
 
 
-def with_total_row(df: DataFrame, key: str, aggregates: Sequence[Column], total: str = "total") -> DataFrame:
-    """Aggregates by key and over all rows in one pass; medians of the total row are its own."""
+def with_total_row(df: DataFrame, key: str, aggregates: Sequence[Column], total: str = "total", medians: Sequence[str] = ()) -> DataFrame:
+    """Aggregates by key and over all rows in one pass, with the medians of some values; those of the total row are its own."""
     grouped = df.rollup(key).agg(*aggregates, F.grouping(key).alias("_total"))
+    if medians:
+        kind = F.col(key).alias("k")
+        both = F.explode(F.array(F.struct(F.lit(0).cast("tinyint").alias("_total"), kind), F.struct(F.lit(1).cast("tinyint").alias("_total"), F.lit(None).cast(df.schema[key].dataType).alias("k"))))
+        each = df.select(*medians, both.alias("_b")).select(*medians, "_b._total", F.col("_b.k").alias(key))
+        grouped = with_percentiles(grouped, each, ["_total", key], {f"median_{m}": (m, 0.5) for m in medians})
     return grouped.withColumn(key, F.when(F.col("_total") == 1, F.lit(total)).otherwise(F.col(key))).drop("_total")
 
 
@@ -60,7 +66,10 @@ def row_share(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def pivot_median(df: DataFrame, row: str, column: str, value: str, columns: Sequence) -> DataFrame:
-    return df.groupBy(row).pivot(column, list(columns)).agg(median(value))
+    """By row: the median in each of the named columns; null without values."""
+    found = grouped_percentiles(df.where(F.col(column).isin(*columns)), [row, column], {"_median": (value, 0.5)}).withColumnRenamed(row, "_row")
+    table = found.groupBy("_row").pivot(column, list(columns)).agg(F.max("_median"))
+    return df.select(row).distinct().join(table, F.col(row).eqNullSafe(F.col("_row")), "left").drop("_row")
 
 
 def slice_stats(df: DataFrame, condition: Column, measures: Sequence[str], outside: Column | None = None) -> DataFrame:
@@ -83,7 +92,8 @@ def slice_by_key(df: DataFrame, key: str, condition: Column) -> DataFrame:
 def group_rows(df: DataFrame, key: str, value: str, id_col: str, within: Column | None = None) -> DataFrame:
     """By key: count, shares of the group and of all, sum, median and the item with the largest value, ties to the smallest id."""
     inside = df if within is None else df.where(within)
-    by = inside.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias(f"sum_{value}"), median(value).alias(f"median_{value}"), F.max_by(F.col(id_col), F.struct(F.col(value), -F.col(id_col))).alias("top_id"))
+    by = inside.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias(f"sum_{value}"), F.max_by(F.col(id_col), F.struct(F.col(value), -F.col(id_col))).alias("top_id"))
+    by = with_percentiles(by, inside, [key], {f"median_{value}": (value, 0.5)})
     sizes = inside.agg(F.count("*").alias("_group")).crossJoin(df.agg(F.count("*").alias("_all")))
     return by.crossJoin(F.broadcast(sizes)).withColumn("share_of_group", ratio("n", "_group")).withColumn("share_of_all", ratio("n", "_all")).drop("_group", "_all")
 
@@ -120,19 +130,22 @@ def claim_long(df: DataFrame, id_col: str, chips: str, pattern: str = r"^([0-9][
     return each.select("id", "claim", F.when(number != "", F.regexp_replace(number, ",", "").cast("double")).alias("value")).where("value is not null")
 
 
+_QUARTILES = {"p25": ("value", 0.25), "median": ("value", 0.5), "p75": ("value", 0.75)}
+
+
 def claim_multiples(long: DataFrame) -> DataFrame:
     """One row: claims, items, quartiles, and the median without values of exactly one."""
-    return long.agg(
-        F.count("*").alias("claims"), F.count_distinct("id").alias("items"), percentile_linear("value", 0.25).alias("p25"), median("value").alias("median"),
-        percentile_linear("value", 0.75).alias("p75"), median(F.when(F.col("value") != 1.0, F.col("value"))).alias("median_without_one"), F.min("value").alias("least"), F.max("value").alias("most"),
-    )
+    whole = long.agg(F.count("*").alias("claims"), F.count_distinct("id").alias("items"), F.min("value").alias("least"), F.max("value").alias("most"))
+    other = F.when(F.col("value") != 1.0, F.col("value"))
+    return with_percentiles(whole, long, [], {**_QUARTILES, "median_without_one": (other, 0.5)})
 
 
 def claim_kinds(long: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """The same by kind; a claim may be of several kinds, each given by a regular expression."""
     tags = F.filter(F.array(*(F.when(F.col("claim").rlike(p), F.lit(k)) for k, p in kinds.items())), lambda t: t.isNotNull())
     each = long.withColumn("kind", F.explode(tags))
-    return each.groupBy("kind").agg(F.count("*").alias("claims"), F.count_distinct("id").alias("items"), percentile_linear("value", 0.25).alias("p25"), median("value").alias("median"), percentile_linear("value", 0.75).alias("p75"), F.min("value").alias("least"), F.max("value").alias("most"))
+    by = each.groupBy("kind").agg(F.count("*").alias("claims"), F.count_distinct("id").alias("items"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return with_percentiles(by, each, ["kind"], _QUARTILES)
 
 
 def log_edges(low: int = 0, high: int = 6) -> list[float]:
@@ -177,12 +190,15 @@ def ratio_summary(pairs: DataFrame, kind: str, own: str, other: str, drop: Colum
     """By kind: median, least and most of other / own."""
     kept = pairs if drop is None else pairs.where(~drop)
     each = kept.withColumn("_r", ratio(other, own)).where("_r is not null")
-    return each.groupBy(kind).agg(F.count("*").alias("n"), median("_r").alias("median"), F.min("_r").alias("least"), F.max("_r").alias("most"))
+    by = each.groupBy(kind).agg(F.count("*").alias("n"), F.min("_r").alias("least"), F.max("_r").alias("most"))
+    return with_percentiles(by, each, [kind], {"median": ("_r", 0.5)})
 
 
 def mean_vs_median(df: DataFrame, grade: str, value: str, top: str, base: str) -> DataFrame:
     """One row: mean and median of two grades and the ratios between the grades."""
-    two = df.where(F.col(grade).isin(top, base)).groupBy(F.lit(1).alias("one")).pivot(grade, [top, base]).agg(F.avg(value).alias("mean"), median(value).alias("median"))
+    two = df.where(F.col(grade).isin(top, base))
+    by = with_percentiles(two.groupBy(grade).agg(F.avg(value).alias("mean")), two, [grade], {"median": (value, 0.5)})
+    two = by.groupBy(F.lit(1).alias("one")).pivot(grade, [top, base]).agg(F.max("mean").alias("mean"), F.max("median").alias("median"))
     return two.select(*(F.col(f"`{g}_{s}`").alias(f"{s}_{n}") for n, g in (("top", top), ("base", base)) for s in ("mean", "median")), ratio(F.col(f"`{top}_mean`"), F.col(f"`{base}_mean`")).alias("mean_ratio"), ratio(F.col(f"`{top}_median`"), F.col(f"`{base}_median`")).alias("median_ratio"))
 
 

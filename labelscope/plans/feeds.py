@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelscope.functions import columns as C
 from labelscope.operators import contracts as K
 from labelscope.operators import dedupe as D
+from labelscope.operators import rank as R
 from labelscope.operators import snapshots as S
 from labelscope.plans.binding import EVIDENCE, LANGS, posts, query, raters
 from labelscope.plans.safety import GROUPS
@@ -169,7 +170,7 @@ def n1_contracts(spark, d):
 @query("WITH a AS (SELECT family, median(views) AS v FROM posts GROUP BY 1), b AS (SELECT family, avg(views) AS v FROM posts GROUP BY 1) SELECT family, a.v::DOUBLE AS a, round(b.v, 6) AS b FROM a JOIN b USING (family) WHERE abs(a.v - b.v) > 500")
 def n2_n4_near(spark, d):
     p = posts(spark, d)
-    return K.near(p.groupBy("family").agg(C.median("views").alias("v")), p.groupBy("family").agg(F.avg("views").alias("v")), ["family"], "v", 500.0)
+    return K.near(R.grouped_percentiles(p, ["family"], {"v": ("views", 0.5)}), p.groupBy("family").agg(F.avg("views").alias("v")), ["family"], "v", 500.0)
 
 
 @query("SELECT id, likes, views FROM posts WHERE likes > views")

@@ -69,7 +69,8 @@ def f9_most_common(spark, d):
 
 @query("SELECT evidence, round(quantile_cont(views, 0.25), 6)::DOUBLE AS p25, round(quantile_cont(views, 0.95), 6)::DOUBLE AS p95, quantile_disc(views, 0.5)::DOUBLE AS near50, quantile_disc(views, 0.95)::DOUBLE AS near95, median(views)::DOUBLE AS median FROM posts GROUP BY 1")
 def f11_f13_percentiles(spark, d):
-    return posts(spark, d).groupBy("evidence").agg(C.percentile_linear("views", 0.25).alias("p25"), C.percentile_linear("views", 0.95).alias("p95"), C.percentile_nearest("views", 0.5).alias("near50"), C.percentile_nearest("views", 0.95).alias("near95"), C.median("views").alias("median"))
+    wanted = {"p25": ("views", 0.25), "p95": ("views", 0.95), "near50": ("views", 0.5, "nearest"), "near95": ("views", 0.95, "nearest"), "median": ("views", 0.5)}
+    return R.grouped_percentiles(posts(spark, d), ["evidence"], wanted)
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem)

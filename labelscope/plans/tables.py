@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelscope.functions import columns as C
+from labelscope.operators import rank as R
 from labelscope.operators import tables as T
 from labelscope.plans.binding import EVIDENCE, LANGS, posts, query
 from labelscope.sources.shared import read_table
@@ -40,7 +41,7 @@ def e2_family_table(spark, d):
 @query("""
 SELECT CASE WHEN grouping(evidence) = 1 THEN 'total' ELSE evidence END AS evidence, count(*) AS n, CAST(sum(views) AS BIGINT) AS sum_views, median(views)::DOUBLE AS median_views FROM posts GROUP BY ROLLUP (evidence)""")
 def e3_total_row(spark, d):
-    return T.with_total_row(posts(spark, d), "evidence", [F.count("*").alias("n"), F.sum("views").alias("sum_views"), C.median("views").alias("median_views")])
+    return T.with_total_row(posts(spark, d), "evidence", [F.count("*").alias("n"), F.sum("views").alias("sum_views")], medians=["views"])
 
 
 @query("SELECT family, " + ", ".join(f"CAST(count_if(evidence = '{e}') AS BIGINT) AS {e}" for e in EVIDENCE) + " FROM posts GROUP BY 1")
@@ -240,7 +241,7 @@ def e35_tally(spark, d):
 @query(f"""SELECT role, median(len)::DOUBLE AS median_length, {_r('sum(len)::DOUBLE / 60')} AS minutes, count(*) AS n FROM (SELECT role, length(text) AS len FROM conversations) GROUP BY 1""", posts=False)
 def e36_time_by_group(spark, d):
     c = read_table(spark, d, "conversations").withColumn("len", F.length("text"))
-    return c.groupBy("role").agg(C.median("len").alias("median_length"), (F.sum("len") / 60.0).alias("minutes"), F.count("*").alias("n"))
+    return R.with_percentiles(c.groupBy("role").agg((F.sum("len") / 60.0).alias("minutes"), F.count("*").alias("n")), c, ["role"], {"median_length": ("len", 0.5)})
 
 
 @query(f"""SELECT {_r("count_if(day <= DATE '2024-01-03')::DOUBLE / count(*)")} AS share_n, {_r("sum(CASE WHEN day <= DATE '2024-01-03' THEN views ELSE 0 END)::DOUBLE / sum(views)")} AS share_views, {_r("sum(CASE WHEN day <= DATE '2024-01-03' THEN likes ELSE 0 END)::DOUBLE / sum(likes)")} AS share_likes FROM posts""")
