@@ -10,6 +10,7 @@ from labelscope.plans.binding import query
 from labelscope.sources import readers as R
 from labelscope.sources.shared import read_table, shared_dir
 from labelscope.streaming import intake as J
+from labelscope.streaming import stateful as ST
 
 _REQUESTS = "req AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 7 <> 0)"
 _SPLIT = f"""{_REQUESTS}, r AS (SELECT event_id AS response_id, user_id AS id, event_type AS value, event_type <> 'error' AS ok FROM events), f AS (SELECT id, min(response_id) AS first FROM r WHERE ok AND id IN (SELECT id FROM req) GROUP BY 1),
@@ -111,7 +112,7 @@ def j2_a9_intake_stream(spark, d):
     root = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
     source = spark.readStream.schema(read_table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     responses = source.select(F.col("event_id").alias("response_id"), F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("value"), F.col("value").alias("usd"))
-    J.intake_stream(responses, _requests(spark, d), root, f"{root}/checkpoint", valid=F.col("value") != "error").awaitTermination()
+    ST.intake(responses, _requests(spark, d), root, f"{root}/checkpoint", valid=F.col("value") != "error").awaitTermination()
     return J.stored(spark, root, "labels").unionByName(J.stored(spark, root, "quarantine")).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -130,6 +131,62 @@ def j3_j6_requeue(spark, d):
     return J.requeue(attempts, e.where("event_type = 'purchase' AND value > 20"), J.refusals(errors))
 
 
+#: A user's first event asks (but for strays), large purchases answer, errors of some users refuse; a day's patience, three rounds.
+_ROUNDS = """WITH e AS (SELECT user_id AS id, ts AS tm, CASE WHEN event_id = min(event_id) OVER (PARTITION BY user_id) THEN CASE WHEN user_id % 7 <> 0 THEN 'request' ELSE 'other' END
+  WHEN event_type = 'purchase' AND value > 20 THEN 'answered' WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'refused' ELSE 'other' END AS kind FROM events),
+r AS (SELECT id, min(tm) AS t0 FROM e WHERE kind = 'request' GROUP BY 1), w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events),
+f AS (SELECT id, kind, tm FROM (SELECT e.*, row_number() OVER (PARTITION BY id ORDER BY tm, kind DESC) AS k FROM e JOIN r USING (id) WHERE kind IN ('answered', 'refused') AND tm >= t0) WHERE k = 1),
+p AS (SELECT id, k, t0 + INTERVAL 1 DAY * k AS due FROM r, unnest([1, 2, 3]) AS u(k)),
+gone AS (SELECT p.id, k, due FROM p LEFT JOIN f USING (id) CROSS JOIN w WHERE coalesce(f.tm >= due, true) AND (coalesce(f.tm >= due, false) OR due < mark)),
+o AS (SELECT id, due AS tm, CASE WHEN k = 3 THEN 'error' ELSE 'retry' END AS outcome, least(k + 1, 3) AS attempt FROM gone
+  UNION ALL SELECT f.id, f.tm, kind, 1 + (SELECT count(*) FROM p WHERE p.id = f.id AND p.due <= f.tm) FROM f JOIN r USING (id) WHERE f.tm < t0 + INTERVAL 3 DAY)"""
+
+
+def _in_order(spark, d, parts, name, columns):
+    """Events as files of one part each, written one after another, so that a stream takes them in that order."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    e = read_table(spark, d, "events")
+    for i, part in enumerate(parts(e)):
+        part.select(*columns).coalesce(1).write.parquet(f"{root}/in/part={i}")
+    return root, spark.readStream.schema(e.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
+
+
+@query(f"{_ROUNDS} SELECT id, CAST(tm AS VARCHAR) AS at, outcome, CAST(attempt AS INTEGER) AS attempt FROM o", posts=False)
+def j3_j6_rounds(spark, d):
+    """Requests over three rounds as a stream: retries and outcomes, each with its time and attempt."""
+    e = read_table(spark, d, "events")
+    asks = e.groupBy("user_id").agg(F.min("event_id").alias("_first"))
+    cuts = e.approxQuantile("event_id", [1 / 3, 2 / 3], 0.01)
+    ranges = lambda x: [x.where(F.col("event_id") <= cuts[0]), x.where((F.col("event_id") > cuts[0]) & (F.col("event_id") <= cuts[1])), x.where(F.col("event_id") > cuts[1])]
+    root, source = _in_order(spark, d, ranges, "rounds", ["event_id", "user_id", "event_type", "value", "ts"])
+    met = source.join(asks, "user_id")
+    ask = F.when(F.col("user_id") % 7 != 0, "request").otherwise("other")
+    kind = F.when(F.col("event_id") == F.col("_first"), ask).when((F.col("event_type") == "purchase") & (F.col("value") > 20), "answered").when((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0), "refused").otherwise("other")
+    out = ST.request_rounds(met.select(F.col("user_id").alias("id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at")), 86400)
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("id long, at timestamp, outcome string, attempt int").parquet(f"{root}/out")
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz").cast("string"))
+
+
+@query("""WITH c AS (SELECT event_id, coalesce(sum(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
+SELECT event_id, before < 0.4 * (SELECT sum(value) FROM events) AS within FROM c""", posts=False)
+def j4_budget_cut(spark, d):
+    e = read_table(spark, d, "events")
+    cap = e.agg(F.sum("value")).first()[0] or 0.0
+    return ST.within_budget(e.select("event_id", "ts", "value"), 0.0, 0.4 * cap, "value", ("ts", "event_id")).select("event_id", "within")
+
+
+@query("""WITH e AS (SELECT *, event_id % 4 AS part, date_trunc('hour', ts) + INTERVAL 1 HOUR AS ends FROM events),
+m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS mark FROM e GROUP BY 1)
+SELECT event_id, coalesce(ends <= mark, false) AS late FROM e JOIN m USING (part)""", posts=False)
+def j7_late_rows(spark, d):
+    """Events that come in four batches out of order: which are in time and which go to quarantine."""
+    root, source = _in_order(spark, d, lambda x: [x.where(F.col("event_id") % 4 == i) for i in range(4)], "late", ["event_id", "ts"])
+    ST.split_late(source, root, f"{root}/checkpoint", "ts").awaitTermination()
+    stored = lambda name: spark.read.schema("event_id long, ts timestamp_ntz, batch long").parquet(f"{root}/{name}")
+    return stored("on_time").select("event_id", F.lit(False).alias("late")).unionByName(stored("late").select("event_id", F.lit(True).alias("late")))
+
+
 @query("SELECT round(sum(value), 6) AS spent, sum(value) >= 1000 AS stop FROM events", posts=False)
 def j4_budget_guard(spark, d):
     return J.budget_guard(read_table(spark, d, "events"), 1000.0, "value")

@@ -1,15 +1,13 @@
 """Label intake: answers are accepted once, strays and missing ones are told apart, spend is guarded.
 
-The three-way split is one plan over (responses, requests); the stream runs it on every micro
-batch and appends to tables by batch number, so a batch that is run again replaces its own
-output and adds nothing twice.
+The split is one plan over (responses, requests). As a stream it is ``stateful.intake``, which keeps what it
+has to know of earlier batches as state.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
 
 def split(responses: DataFrame, requests: DataFrame, valid: Column | None = None, id_col: str = "id", order: str = "at") -> DataFrame:
@@ -70,29 +68,6 @@ def usage_ledger(usage: DataFrame, time: str, model: str, cost: str, latency: st
     ).select(F.col("w.start").alias("start"), "model", "calls", "failed", "cost", "p50", "p95")
 
 
-def intake_stream(responses: DataFrame, requests: DataFrame, root: str, checkpoint: str, cap: float | None = None, cost: str = "usd", valid: Column | None = None) -> StreamingQuery:
-    """Appends accepted answers to ``root``/labels and all others to ``root``/quarantine; stops taking answers at the cap.
-
-    Each micro batch overwrites its own partition, so a batch repeated after a failure is
-    written once. Answers already accepted in earlier batches are duplicates.
-    """
-
-    def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = stored(spark, root, "labels").where(F.col("batch") < number)
-        if cap is not None and budget_guard(done, cap, cost).first()["stop"]:
-            split(batch, requests, valid).withColumns({"status": F.lit("over budget"), "batch": F.lit(number).cast("long")}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/quarantine")
-            return
-        known = done.select("id").withColumn("_done", F.lit(True))
-        out = split(batch, requests, valid).join(known, "id", "left")
-        out = out.withColumn("status", F.when((F.col("status") == "accepted") & F.col("_done").isNotNull(), "duplicate").otherwise(F.col("status"))).drop("_done").withColumn("batch", F.lit(number).cast("long")).persist()
-        for name, part in (("labels", out.where("status = 'accepted'")), ("quarantine", out.where("status <> 'accepted'"))):
-            part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/{name}")
-        out.unpersist()
-
-    return responses.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 #: Columns of the stored answers.
 STORED = "id long, response_id long, at timestamp, value string, usd double, status string, batch long"
 

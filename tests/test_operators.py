@@ -20,7 +20,7 @@ from labelscope.operators import sampling as S
 from labelscope.operators import snapshots as SN
 from labelscope.operators.components import connected_components
 from labelscope.sources import readers
-from labelscope.streaming import intake
+from labelscope.streaming import intake, stateful
 
 
 def test_wilson(spark):
@@ -262,7 +262,7 @@ def test_intake_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     valid = F.col("value").isNotNull()
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     for _ in range(2):
-        intake.intake_stream(source, requests, str(tmp_path / "out"), str(tmp_path / "cp"), valid=valid).awaitTermination()
+        stateful.intake(source, requests, str(tmp_path / "out"), str(tmp_path / "cp"), valid=valid).awaitTermination()
     labels, others = intake.stored(spark, str(tmp_path / "out"), "labels"), intake.stored(spark, str(tmp_path / "out"), "quarantine")
     assert labels.count() + others.count() == 60
     assert sorted(r.id for r in labels.collect()) == [0, 1, 2, 3, 4, 5, 6]
@@ -270,7 +270,7 @@ def test_intake_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     batch = {r.status: r["count"] for r in intake.split(df, requests, valid).groupBy("status").count().collect()}
     stream = {r.status: r["count"] for r in labels.unionByName(others).groupBy("status").count().collect()}
     assert batch == stream
-    capped = intake.intake_stream(source, requests, str(tmp_path / "out2"), str(tmp_path / "cp2"), cap=1.0, valid=valid)
+    capped = stateful.intake(source, requests, str(tmp_path / "out2"), str(tmp_path / "cp2"), cap=1.0, valid=valid)
     capped.awaitTermination()
     assert {r.status for r in intake.stored(spark, str(tmp_path / "out2"), "quarantine").collect()} >= {"over budget"}
 
