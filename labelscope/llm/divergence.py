@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import pieces_of
+from labelscope.llm.common import BROADCAST_CLASSES, pieces_of
 from labelscope.sources.shared import shared_table
 
 MIN_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
@@ -118,11 +118,6 @@ def postings(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *blank).mapInArrow(run, _POSTINGS)
 
 
-def _take(values: pa.Array, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """The runs of ``values`` with these starts and lengths, one after another."""
-    return values.take(pa.array(np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())))
-
-
 def _groups(lang: np.ndarray, term: pa.Array, length: np.ndarray, size: int | None) -> np.ndarray:
     """For sorted rows, the number of each row's group by language and prefix of ``size`` bytes; None for whole terms.
 
@@ -307,7 +302,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, id_col: str
     totals = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("e")).groupBy("lang", F.col("e.sources").alias("source")).agg(F.sum("e.counts").alias("n"))
     groups = shared_table(groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")), "groups")
     langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.count("*").alias("s")).join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang")
-    langs = langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("s") / BLOCK_ENTRIES)).cast("long"))
+    langs = shared_table(langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("s") / BLOCK_ENTRIES)).cast("long")), "langs")
+    langs = F.broadcast(langs) if langs.count() <= BROADCAST_CLASSES else langs  # one language may hold most terms: their join has no shuffle
     terms = kept.join(langs.select("lang", "blocks"), "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks"))).drop("blocks")
     sent = groups.join(langs, "lang").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("lang", "source", "n", "v", "n_lang", "block")
 
