@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
-from labelscope.functions.columns import col, count_if, windows
+from labelscope.functions.columns import col, windows
 from labelscope.operators.leak_scan import INVISIBLE, MARKS, readings
 from labelscope.sources.shared import shared_table
 
@@ -124,10 +124,32 @@ def redact(df: DataFrame, rules: dict[str, str], marker: str = "[removed]") -> D
 
 
 def redaction_report(before: DataFrame, rules: dict[str, str], group: str) -> DataFrame:
-    """(group, field, emptied): non-empty texts that the rules take away."""
-    fields = [f for f in rules if f in before.columns and isinstance(before.schema[f].dataType, StringType)]
-    each = before.unpivot([group], fields, "field", "value")
-    return each.groupBy(group, "field").agg(count_if(F.coalesce(F.col("value"), F.lit("")) != "").alias("emptied"))
+    """(group, field, emptied): non-empty texts that the rules take away, by dotted field, through structs and arrays.
+
+    Follows the schema as ``redact`` does; what a dropped field holds counts under its own fields. Elements of
+    arrays count each. Fields that no rule reaches are left out.
+    """
+
+    def counted(kind: DataType, name: str, path: str, dropped: bool) -> dict[str, Callable[[Column], Column]]:
+        rule = rules.get(name)
+        dropped = dropped or rule == "drop"
+        if isinstance(kind, StructType):
+            found = {}
+            for f in kind.fields:
+                for at, of in counted(f.dataType, f.name, f"{path}.{f.name}" if path else f.name, dropped).items():
+                    found[at] = lambda v, f=f, of=of: F.when(v.isNotNull(), of(v[f.name])).otherwise(F.lit(0))
+            return found
+        if isinstance(kind, ArrayType):
+            inner = counted(kind.elementType, name, path, dropped)
+            return {at: lambda v, of=of: F.when(v.isNotNull(), F.aggregate(v, F.lit(0).cast("long"), lambda n, x: n + of(x))).otherwise(F.lit(0)) for at, of in inner.items()}
+        if isinstance(kind, StringType) and (dropped or rule):
+            return {path: lambda v: F.when(v != "", F.lit(1)).otherwise(F.lit(0)).cast("long")}
+        return {}
+
+    each = [F.struct(F.lit(at).alias("field"), of(F.col(f"`{f.name}`")).cast("long").alias("n")) for f in before.schema.fields if f.name != group for at, of in counted(f.dataType, f.name, f.name, False).items()]
+    if not each:
+        return before.select(group, F.lit("").alias("field"), F.lit(0).cast("long").alias("emptied")).limit(0)
+    return before.select(group, F.explode(F.array(*each)).alias("e")).groupBy(group, F.col("e.field").alias("field")).agg(F.sum("e.n").alias("emptied"))
 
 
 #: Patterns of secrets and personal data by kind.

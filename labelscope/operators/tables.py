@@ -167,6 +167,27 @@ def grid(df: DataFrame, group: str, band: str) -> DataFrame:
     return inner.select(group, band, "n", ratio("n", "_row").alias("row_share"), ratio("n", "_column").alias("column_share"))
 
 
+def grid_cuts(df: DataFrame, group: str, band: str, item: str, cuts: dict[str, Column], top: int = 2) -> DataFrame:
+    """(cut, group, band, n, row_share, column_share, top): the grid under several cuts, with the most frequent items of each cell.
+
+    A row is exploded to the cuts that it belongs to and counted once, by grouping sets over cells, margins and
+    items. ``top`` is an array of (item, n), by number and then by name; it is taken from a cell's counts,
+    one for each of the item's values. Cells without rows are left out; a null condition does not hold.
+    """
+    tags = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in cuts.items())), lambda t: t.isNotNull())
+    each = df.select(F.explode(tags).alias("cut"), F.col(group).alias("_g"), F.col(band).alias("_b"), F.col(item).alias("_i"))
+    cut, g, b, i = (F.col(c) for c in ("cut", "_g", "_b", "_i"))
+    counts = each.groupingSets([(cut, g, b, i), (cut, g, b), (cut, g), (cut, b)], cut, g, b, i).agg(F.count("*").alias("n"), F.grouping_id().alias("_l"))
+    level = lambda bits, n: counts.where(F.col("_l") == bits).withColumnRenamed("n", n)
+    items = level(0, "n").groupBy("cut", "_g", "_b").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("_i").alias("i")))), 1, top), lambda x: F.struct(x["i"].alias("item"), (-x["k"]).alias("n"))).alias("top"))
+    named = lambda part, *keys: part.withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = lambda *keys: [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    rows, columns = named(level(3, "_row").select("cut", "_g", "_row"), "cut", "_g"), named(level(5, "_column").select("cut", "_b", "_column"), "cut", "_b")
+    met = level(1, "n").select("cut", "_g", "_b", "n").join(rows, same("cut", "_g")).drop("cut_", "_g_").join(columns, same("cut", "_b")).drop("cut_", "_b_")
+    met = met.join(named(items, "cut", "_g", "_b"), same("cut", "_g", "_b"))
+    return met.select("cut", g.alias(group), b.alias(band), "n", ratio("n", "_row").alias("row_share"), ratio("n", "_column").alias("column_share"), "top")
+
+
 def usage_cost(usage: DataFrame, prices: DataFrame, model: str, kinds: Sequence[str]) -> DataFrame:
     """By model: tokens of each kind and their list price per million, and the reported cost, null if none was reported."""
     sums = usage.groupBy(model).agg(F.count("*").alias("calls"), *(F.sum(k).alias(k) for k in kinds), F.sum(F.expr("try_cast(reported as decimal(38,9))")).alias("reported"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labelscope.functions import columns as C
@@ -11,7 +13,8 @@ from labelscope.operators import rank as R
 from labelscope.operators import snapshots as S
 from labelscope.plans.binding import EVIDENCE, LANGS, posts, query, raters
 from labelscope.plans.safety import GROUPS
-from labelscope.sources.shared import read_table
+from labelscope.sources.shared import read_table, shared_dir
+from labelscope.sources.snapshot_store import SnapshotStore
 
 
 def _events(spark, d):
@@ -23,6 +26,22 @@ def b1_snapshot_decisions(spark, d):
     return S.snapshot_decisions(_events(spark, d).withColumn("pull", F.col("ts").cast("date").cast("string")), "pull", ["event_id", "value"], 300)
 
 
+@query("""WITH p AS (SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS pull, count(*) AS n FROM events GROUP BY 1)
+SELECT pull, turn, n, CASE WHEN n < 1000 THEN 'refused' WHEN turn = 2 THEN 'same content' ELSE 'new' END AS decision,
+  CASE WHEN n < 1000 THEN NULL WHEN turn = 3 THEN pull || '~2' ELSE pull END AS version, CASE WHEN n >= 1000 THEN n END AS stored FROM p, unnest([1, 2, 3]) AS t(turn)""", posts=False)
+def b1_snapshot_store(spark, d):
+    """Each week's events pulled three times into a store: at first, again in another order, and with other content."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
+    e = _events(spark, d).withColumn("pull", F.date_trunc("week", F.col("ts").cast("timestamp")).cast("date").cast("string"))
+    out = []
+    for week, n in sorted(map(tuple, e.groupBy("pull").count().collect())):
+        own = e.where(F.col("pull") == week).drop("pull")
+        for turn, pull in enumerate((own, own.repartition(3, "user_id"), own.withColumn("value", F.col("value") + 1)), 1):
+            decision, commit = store.keep(pull, week)
+            out.append((week, turn, n, decision, commit and commit.version, commit and store.read(commit.version).count()))
+    return spark.createDataFrame(out, "pull string, turn int, n long, decision string, version string, stored long")
+
+
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1", posts=False)
 def b2_latest_version(spark, d):
     return S.latest_version(_events(spark, d), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")

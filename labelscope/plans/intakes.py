@@ -31,6 +31,19 @@ def a11_table_manifest(spark, d):
     return R.table_manifest(read_table(spark, d, "events"), "event_type", ["props"])
 
 
+@query("""WITH c AS (SELECT event_type, string_agg(event_id || ',' || user_id || chr(10), '' ORDER BY event_id) AS body, count(*) AS rows, CAST(count_if(coalesce(props, '') = '') AS BIGINT) AS empty_props FROM events GROUP BY 1),
+r AS (SELECT *, list_transform(range(0, greatest(strlen(body), 1), 1000), lambda i: sha256(substring(body, i + 1, 1000))) AS parts FROM c)
+SELECT event_type, CAST(strlen(body) AS BIGINT) AS bytes, CAST(len(parts) AS BIGINT) AS ranges, sha256(unhex(array_to_string(parts, ''))) AS sha256, rows, empty_props FROM r""", posts=False)
+def a11_file_hashes(spark, d):
+    """Events written as a text file for each type, the files hashed by ranges of 1,000 bytes, beside the rows and emptied fields."""
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    e = read_table(spark, d, "events")
+    lines = e.select("event_type", "event_id", F.concat_ws(",", "event_id", "user_id").alias("value"))
+    lines.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(root)
+    hashed = R.tree_hashes(spark, f"{root}/*/*.txt", 1000).withColumn("event_type", F.regexp_extract("path", "event_type=([^/]*)", 1)).drop("path")
+    return hashed.join(R.table_manifest(e, "event_type", ["props"]), "event_type")
+
+
 @query("SELECT 'orders' AS name, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total, count(*) AS n FROM orders", posts=False)
 def a7_a10_publish(spark, d):
     root = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"

@@ -158,6 +158,15 @@ def g17_redaction_report(spark, d):
     return L.redaction_report(read_table(spark, d, "conversations"), {"text": "mark"}, "role")
 
 
+@query(r"""SELECT source, unnest(['body.text', 'body.note', 'lines.text', 'gone']) AS field, unnest([CAST(count_if(text <> '') AS BIGINT), CAST(count_if(lang <> '') AS BIGINT), CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: x <> ''))) AS BIGINT), CAST(count(doc_id) AS BIGINT)]) AS emptied FROM documents GROUP BY source""", posts=False)
+def g17_nested_report(spark, d):
+    """Documents as nested rows: texts inside a struct, in an array of structs, and in a field that is dropped."""
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.length(x).alias("n")))
+    body = F.struct("text", F.col("lang").alias("note"), F.col("doc_id").alias("n"))
+    nested = read_table(spark, d, "documents").select("source", body.alias("body"), line.alias("lines"), F.col("doc_id").cast("string").alias("gone"))
+    return L.redaction_report(nested, {"text": "mark", "note": "empty", "gone": "drop"}, "source")
+
+
 @query(r"""WITH k AS (SELECT doc_id AS id, unnest(['email', 'ip', 'key']) AS kind, unnest([len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')), len(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')), len(regexp_extract_all(text, '\b(?:sk|pk|ghp|AKIA)[-_A-Za-z0-9]{12,}\b'))]) AS n FROM documents)
 SELECT id, kind, n FROM k WHERE n > 0""", posts=False)
 def g18_secret_scan(spark, d):

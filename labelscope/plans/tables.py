@@ -207,6 +207,22 @@ def e30_grid(spark, d):
     return T.grid(posts(spark, d), "family", "lang")
 
 
+_BAND = "CASE WHEN views < 500 THEN 'low' WHEN views < 1500 THEN 'middle' WHEN views < 5000 THEN 'high' ELSE 'top' END"
+
+
+@query(f"""WITH p AS (SELECT *, {_BAND} AS band FROM posts), c AS (SELECT 'all' AS cut, * FROM p UNION ALL SELECT 'liked', * FROM p WHERE likes >= 50 UNION ALL SELECT 'en', * FROM p WHERE lang = 'en' UNION ALL SELECT 'claims', * FROM p WHERE chips IS NOT NULL),
+f AS (SELECT cut, evidence, band, family, count(*) AS n FROM c GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY cut, evidence, band ORDER BY n DESC, family) AS k FROM f),
+x AS (SELECT cut, evidence, band, sum(n) AS n, max(CASE WHEN k = 1 THEN family END) AS first, max(CASE WHEN k = 1 THEN n END) AS n_first, max(CASE WHEN k = 2 THEN family END) AS second, max(CASE WHEN k = 2 THEN n END) AS n_second FROM r GROUP BY 1, 2, 3)
+SELECT cut, evidence, band, CAST(n AS BIGINT) AS n, {_r('n::DOUBLE / sum(n) OVER (PARTITION BY cut, evidence)')} AS row_share, {_r('n::DOUBLE / sum(n) OVER (PARTITION BY cut, band)')} AS column_share, first, n_first, second, n_second FROM x""")
+def e30_grid_cuts(spark, d):
+    v = F.col("views")
+    p = posts(spark, d).withColumn("band", F.when(v < 500, "low").when(v < 1500, "middle").when(v < 5000, "high").otherwise("top"))
+    cuts = {"all": F.lit(True), "liked": F.col("likes") >= 50, "en": F.col("lang") == "en", "claims": F.col("chips").isNotNull()}
+    out = T.grid_cuts(p, "evidence", "band", "family", cuts)
+    of = lambda i, name: F.get("top", F.lit(i))[name]
+    return out.select("cut", "evidence", "band", "n", "row_share", "column_share", of(0, "item").alias("first"), of(0, "n").alias("n_first"), of(1, "item").alias("second"), of(1, "n").alias("n_second"))
+
+
 @query(f"""WITH x AS (SELECT evidence, avg(views) AS a, median(views) AS m FROM posts WHERE evidence IN ('view', 'click') GROUP BY 1)
 SELECT {_r('t.a')} AS mean_top, t.m::DOUBLE AS median_top, {_r('b.a')} AS mean_base, b.m::DOUBLE AS median_base, {_r('t.a / b.a')} AS mean_ratio, {_r('t.m / b.m')} AS median_ratio FROM x t, x b WHERE t.evidence = 'view' AND b.evidence = 'click'""")
 def e32_mean_vs_median(spark, d):

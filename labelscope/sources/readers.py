@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +122,36 @@ def manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+#: Bytes of a range that a file's hash is built from.
+RANGE_BYTES = 64 << 20
+
+
+def tree_hashes(spark: SparkSession, paths: str | list[str], size: int = RANGE_BYTES) -> DataFrame:
+    """(path, bytes, ranges, sha256) of files of any size: the hash of the hashes of their ranges of ``size`` bytes, in order.
+
+    Ranges are read by many tasks and each holds one range; only 32 bytes a range are gathered by
+    file. An empty file has one empty range. Read through Arrow's file systems, which have to know the paths.
+    """
+    found = spark.read.format("binaryFile").load(paths)
+    listed = spark.createDataFrame([(re.sub(r"^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()], "path string")  # with the empty ones, which a scan leaves out
+    files = listed.join(found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "length"), "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("bytes"))  # contents are not read
+    number = F.greatest(F.ceil(F.col("bytes") / size), F.lit(1)).cast("long")
+    each = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("at"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, length, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, place = fs.FileSystem.from_uri(quote(path, safe="/:"))
+                with store.open_input_file(place) as f:
+                    found.append(hashlib.sha256(f.read_at(max(0, min(size, length - at * size)), at * size)).digest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["path", "bytes", "at", "digest"])
+
+    hashed = each.repartition("path", "at").mapInArrow(digests, "path string, bytes long, at long, digest binary")
+    parts = F.array_sort(F.collect_list(F.struct("at", F.hex("digest").alias("d"))))
+    return hashed.groupBy("path", "bytes").agg(F.count("*").alias("ranges"), F.sha2(F.unhex(F.array_join(F.transform(parts, lambda p: p["d"]), "")), 256).alias("sha256"))
+
+
 def table_manifest(df: DataFrame, group: str, emptied: Sequence[str]) -> DataFrame:
     """(group, rows, empty_<field>): rows and emptied fields of each part of a table."""
     return df.groupBy(group).agg(F.count("*").alias("rows"), *(F.count(F.when(F.coalesce(F.col(f), F.lit("")) == "", 1)).alias(f"empty_{f}") for f in emptied))
