@@ -72,6 +72,12 @@ def as_flag(value: str | Column, true: Iterable[str] = ("true", "1", "yes", "y")
     return F.when(text != "", text.isin(*true))
 
 
+def label_value(value: str | Column, excluded: Iterable[str] = (), other: str = "other") -> Column:
+    """A label without white space at its ends, empty as null, and an excluded class counted as other."""
+    text = F.trim(col(value))
+    return F.when(text == "", None).when(text.isin(*excluded), F.lit(other)).otherwise(text) if list(excluded) else F.when(text != "", text)
+
+
 def decode_id_time(value: str | Column, shift: int = 22, epoch_ms: int = 1288834974657) -> Column:
     """The time inside a time-ordered id: its upper bits are milliseconds after an epoch (fixed values)."""
     return F.timestamp_millis(F.shiftright(col(value).cast("bigint"), shift) + F.lit(epoch_ms))

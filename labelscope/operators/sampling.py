@@ -163,3 +163,72 @@ def verdict(compared: DataFrame, claim: str = "claim", enough: int = 2) -> DataF
     """(claim, inside, of, verdict): all inside holds, enough inside holds with a correction, else it fails."""
     by = compared.groupBy(claim).agg(count_if(F.col("inside")).alias("inside"), F.count("*").alias("of"))
     return by.withColumn("verdict", F.when(F.col("inside") == F.col("of"), "holds").when(F.col("inside") >= enough, "with correction").otherwise("fails"))
+
+
+def still_in_class(audited: DataFrame, population: DataFrame, label: str, reference: str, value: str, subtype: str) -> DataFrame:
+    """(part, key, n, k, value, lo, hi) of a class that was sampled inside: who stays, where the others went, and the stayers' sub-types.
+
+    ``audited`` are the sampled items that the labels put in the class, with the reference labels; ``population`` has
+    the class' size as one row ``population``. Part ``stays`` is the audited share that stays, scaled to the
+    class; ``moved`` has a row for each other reference label, ``subtype`` one for each sub-type of those that stay, both
+    scaled in the same way, as shares of all audited. Items without a reference label are not audited.
+    """
+    of = audited.where((F.col(label) == value) & F.col(reference).isNotNull())
+    stays = F.col(reference) == value
+    part = F.explode(F.filter(F.array(
+        F.when(stays, F.struct(F.lit("stays").alias("part"), F.lit(value).alias("key"))),
+        F.when(~stays, F.struct(F.lit("moved").alias("part"), F.col(reference).cast("string").alias("key"))),
+        F.when(stays, F.struct(F.lit("subtype").alias("part"), F.coalesce(F.col(subtype).cast("string"), F.lit("none")).alias("key"))),
+    ), lambda x: x.isNotNull()))
+    by = of.select(part.alias("p")).groupBy("p.part", "p.key").agg(F.count("*").alias("k"))
+    every = of.sparkSession.createDataFrame([("stays", value)], "part string, key string").join(by, ["part", "key"], "full").na.fill(0, ["k"])
+    met = every.crossJoin(F.broadcast(of.agg(F.count("*").alias("n")).crossJoin(population)))
+    return met.select("part", "key", "n", "k", *(c.alias(x) for x, c in scaled("k", "n", "population").items()))
+
+
+def region_check(members: DataFrame, drawn: DataFrame, labels: DataFrame, reference: DataFrame, model: Column, audit: Column, regions: dict[str, Column]) -> DataFrame:
+    """(region, region_n, model_n, value, lo, hi, audited_n, model_pos, both_pos, audit_pos, inside) for each region.
+
+    What the labels under test count in a region, against the estimate of the audit alone, with strata and
+    samples cut to the region. ``model`` and ``audit`` are the same question asked of ``labels`` and of
+    ``reference``, each with one row an item; regions are conditions on ``labels`` and may overlap.
+    """
+    tags = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in regions.items())), lambda t: t.isNotNull())
+    inside = labels.select("id", F.coalesce(model, F.lit(False)).alias("_m"), F.explode(tags).alias("region"))
+    asked = reference.select("id", F.coalesce(audit, F.lit(False)).alias("_a"))
+    counts = inside.groupBy("region").agg(F.count("*").alias("region_n"), count_if(F.col("_m")).alias("model_n"))
+    seen = inside.join(drawn.select("id").distinct(), "id", "left_semi").join(asked, "id")
+    audited = seen.groupBy("region").agg(F.count("*").alias("audited_n"), count_if(F.col("_m")).alias("model_pos"), count_if(F.col("_m") & F.col("_a")).alias("both_pos"), count_if(F.col("_a")).alias("audit_pos"))
+    sizes = members.join(inside, "id").groupBy("region", "stratum").agg(F.count("*").alias("population"))
+    sampled = drawn.join(inside, "id").join(asked, "id").groupBy("region", "stratum").agg(F.count("*").alias("n"), count_if(F.col("_a")).alias("k"))
+    parts = sizes.join(sampled, ["region", "stratum"], "left").na.fill(0, ["n", "k"]).withColumnRenamed("region", "question").withColumn("is_census", F.lit(False))
+    found = stratified_estimate(parts, 1).select(F.col("question").alias("region"), "value", "lo", "hi")
+    out = counts.join(found, "region", "left").join(audited, "region", "left").na.fill(0, ["audited_n", "model_pos", "both_pos", "audit_pos"])
+    return out.withColumn("inside", (F.col("model_n") >= F.col("lo") - 1e-9) & (F.col("model_n") <= F.col("hi") + 1e-9))
+
+
+def sanity_tables(audited: DataFrame, claims: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """(claim, label, reference, n, share): for each claim (filter, label, reference) the labels beside the audit's answers.
+
+    All claims are counted in one pass; the share is of the label's audited items. An item without either is left out.
+    """
+    each = F.array(*(F.when(keep, F.struct(F.lit(k).alias("claim"), a.cast("string").alias("label"), b.cast("string").alias("reference"))) for k, (keep, a, b) in claims.items()))
+    rows = audited.select(F.explode(each).alias("c")).where("c.label IS NOT NULL AND c.reference IS NOT NULL")
+    by = rows.groupBy("c.claim", "c.label", "c.reference").agg(F.count("*").alias("n"))
+    whole = by.groupBy("claim", "label").agg(F.sum("n").alias("_n"))
+    return by.join(whole, ["claim", "label"]).select("claim", "label", "reference", "n", ratio("n", "_n").alias("share"))
+
+
+def design_limits(items: DataFrame, drawn: DataFrame, label: str, reference: str, unmeasured: Column, chips: str = "chips") -> DataFrame:
+    """(limit, key, k, n): what a design cannot check.
+
+    ``unsampled``: for each class of the label its n items, k of them audited all the same with that label confirmed.
+    ``numeric_chip``: of the n audited items that the reference calls unmeasured, the k with a digit in a claim.
+    """
+    audited = items.join(drawn.select("id").distinct(), "id", "left_semi")
+    confirmed = audited.where(F.col(label) == F.col(reference)).groupBy(label).agg(F.count("*").alias("k"))
+    classes = items.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).join(confirmed, label, "left")
+    first = classes.select(F.lit("unsampled").alias("limit"), F.col(label).cast("string").alias("key"), F.coalesce("k", F.lit(0)).alias("k"), "n")
+    digit = F.coalesce(F.exists(F.col(chips), lambda c: c.rlike("[0-9]")), F.lit(False))
+    second = audited.where(unmeasured).agg(count_if(digit).alias("k"), F.count("*").alias("n")).select(F.lit("numeric_chip").alias("limit"), F.lit("").alias("key"), "k", "n")
+    return first.unionByName(second)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import count_if
+from labelscope.functions.columns import count_if, shortened
 
 
 def content_digest(df: DataFrame) -> DataFrame:
@@ -113,6 +113,55 @@ def data_quality(items: DataFrame, labels: DataFrame, id_col: str, url: str, tex
     return met.agg(F.count("*").alias("rows"), F.count_distinct(id_col).alias("ids"), (F.count("*") - F.count_distinct(url)).alias("repeated_urls"), count_if(F.length(text) >= cap).alias("capped"), count_if(F.col(views) == 0).alias("unseen"), count_if(F.col("_l").isNull()).alias("unlabelled"))
 
 
+def intake_quality(usage: DataFrame, labels: DataFrame, items: DataFrame, id_col: str, day: str, time: str) -> DataFrame:
+    """One row on a labelling run: its batches, those of a retry round, ids missing and stray in answers, labels twice or of no item, and whether days agree with times.
+
+    ``usage`` has a row a batch with round, missing and stray, null for 1, 0 and 0.
+    """
+    runs = usage.agg(F.count("*").alias("batches"), count_if(F.coalesce("round", F.lit(1)) > 1).alias("retry_batches"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_in_answers"), F.coalesce(F.sum("stray"), F.lit(0)).alias("stray_in_answers"))
+    known = items.select(F.col(id_col).alias("_id")).distinct().withColumn("_known", F.lit(True))
+    by = labels.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).join(known, "_id", "left")
+    twice = by.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated_labels"), count_if(F.col("_known").isNull()).alias("stray_labels"))
+    days = items.agg(F.coalesce(F.bool_and(F.col(day).cast("date").eqNullSafe(F.col(time).cast("date"))), F.lit(True)).alias("days_match"))
+    return runs.crossJoin(F.broadcast(twice)).crossJoin(F.broadcast(days))  # one row each
+
+
+def shown_post(items: DataFrame, full: DataFrame, id_col: str, feed_cap: int = 400, full_cap: int = 6000, thumbs: int = 4) -> DataFrame:
+    """(id, text, text_source, truncated, media_type, media_in, thumbs) of each item (id, text, media).
+
+    The full text (id, ok, text, media, quote_media) counts where it was fetched and is ok, cut at its cap;
+    the feed's own text is called truncated when it comes within five characters of the feed's cap. Media
+    are those of the full post, else of the post it quotes, else the feed's; entries without a kind or a
+    thumbnail do not count. The type is video if any is one, else image, else none; the first four thumbnails stay.
+    """
+    kind = lambda m: F.when(m["kind"].isin("photo", "image"), "image").when(m["kind"].isin("video", "gif"), "video")
+
+    def usable(name: str) -> Column:
+        found = F.transform(F.coalesce(F.col(name), F.array().cast("array<struct<kind:string,thumb:string>>")), lambda m: F.struct(kind(m).alias("kind"), m["thumb"].alias("thumb")))
+        return F.filter(found, lambda m: m["kind"].isNotNull() & (m["thumb"] != ""))
+
+    own = items.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("_feed"), usable("media").alias("_m"))
+    other = full.where("ok").select(F.col(id_col).alias("_id"), F.coalesce("text", F.lit("")).alias("_full"), usable("media").alias("_f"), usable("quote_media").alias("_q"))
+    met = own.join(other, own["id"] == other["_id"], "left")
+    fetched, some = F.col("_id").isNotNull(), lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    media = F.when(some("_f"), F.col("_f")).when(some("_q"), F.col("_q")).otherwise(F.col("_m"))
+    place = F.when(some("_f"), "post").when(some("_q"), "quoted post").when(some("_m"), "post")
+    met = met.select("id", fetched.alias("_ok"), "_feed", "_full", media.alias("_media"), place.alias("media_in"))
+    return met.select(
+        "id", F.when(F.col("_ok"), F.substring("_full", 1, full_cap)).otherwise(F.col("_feed")).alias("text"), F.when(F.col("_ok"), "full").otherwise("feed").alias("text_source"),
+        F.when(F.col("_ok"), F.length("_full") > full_cap).otherwise(F.length("_feed") >= feed_cap - 5).alias("truncated"),
+        F.when(F.exists("_media", lambda m: m["kind"] == "video"), "video").when(F.size("_media") > 0, "image").otherwise("none").alias("media_type"), "media_in",
+        F.transform(F.slice("_media", 1, thumbs), lambda m: m["thumb"]).alias("thumbs"),
+    )
+
+
+def prompt_view(items: DataFrame, id_col: str, title: str, text: str, chips: str, hints: tuple[str, str], chars: int = 700) -> DataFrame:
+    """(id, t, x, chips, hint) of each item as a reader gets it: the text cut with a mark, an array for no claims, two fields in one hint."""
+    hint = F.concat_ws(" / ", *(F.coalesce(F.col(h).cast("string"), F.lit("")) for h in hints))
+    none = F.array().cast("array<string>")
+    return items.select(F.col(id_col).alias("id"), F.col(title).alias("t"), shortened(text, chars).alias("x"), F.coalesce(F.col(chips), none).alias("chips"), hint.alias("hint"))
+
+
 def window_stats(items: DataFrame, time: str, author: str) -> DataFrame:
     """One row: first and last time, authors, the most posts of an author, and whether the last day is partial."""
     by = items.groupBy(author).agg(F.count("*").alias("n"), F.min(time).alias("a"), F.max(time).alias("z"))

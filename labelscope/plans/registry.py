@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.plans import agreements, audits, feeds, intakes, more, ranks, safety, tables  # noqa: F401  they register their queries
+from labelscope.plans import agreements, audit_more, audits, feeds, intakes, more, ranks, safety, tables  # noqa: F401  they register their queries
 from labelscope.plans.binding import ORACLES, QUERIES
 
 
