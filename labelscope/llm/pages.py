@@ -203,26 +203,34 @@ def main_text(html: str | None) -> str:
     clusters = [i for i in clusters if texts[i]] or kept
     if not kept:
         return ""
-    # an article or main element with most of the text is the region, or else the smallest element around all clusters; numbers rise inwards
+    # All outermost article and main elements with clusters are the region, with the clusters outside them, where they
+    # hold most of the text; else it is the smallest element around all clusters. Numbers rise inwards.
     own = [0] * size
     for i in clusters:
         own[lines[i].at] += len(texts[i])
     weight = _subtree_sums(page.parent, own)
     total = weight[0]
-    outer = [n for n in range(1, size) if page.names[n] in _WRITING and weight[n] >= REGION_SHARE * total]
-    region = min(outer) if outer else max((n for n in range(size) if weight[n] == total and page.names[n] not in _INNER), default=0)
-    within = [n == region for n in range(size)]
-    for n in range(region + 1, size):
+    inner = [False] * size
+    for n in range(1, size):
+        inner[n] = inner[page.parent[n]] or page.names[page.parent[n]] in _WRITING
+    outer = {n for n in range(1, size) if page.names[n] in _WRITING and not inner[n] and weight[n]}
+    if sum(weight[n] for n in outer) < REGION_SHARE * total:
+        outer = set()
+    region = 0 if outer else max((n for n in range(size) if weight[n] == total and page.names[n] not in _INNER), default=0)
+    within = [n in outer or (not outer and n == region) for n in range(size)]
+    for n in range(1, size):
         within[n] = within[n] or within[page.parent[n]]
-    if not region:
-        within = [True] * size
-    return "\n\n".join(texts[i] for i in kept if within[lines[i].at])
+    dense = set(clusters) if outer else set()
+    return "\n\n".join(texts[i] for i in kept if within[lines[i].at] or i in dense)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row: the main text of the whole html and its code points.
 
-    Character references are decoded and white space inside a block is one space. Null or empty
+    The article is all outermost article and main elements with the dense text around them, or without one the
+    smallest element around all dense text; an article's own header stays, as it holds its title.
+    Character references are decoded and white space inside a block is one space. A long page is parsed
+    by itself, with work in proportion to its size. Null or empty
     html and pages without a content region give an empty text. Null ids and urls are returned as
     they are; repeated rows are all returned; other columns are not read. An empty table gives an
     empty table.
