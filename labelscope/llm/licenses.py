@@ -20,7 +20,7 @@ from labelscope.llm.license_texts import TEMPLATES
 #: Phrases found as consecutive words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates that a table of them may hold; they are compiled on the driver and go to every task.
+#: Templates that a task holds at once; those of a larger table are matched by so many in one pass of stages.
 MOST_TEMPLATES = 10_000
 
 _TOKEN = re.compile(r"\{(\d+),(\d+)\}|\[|\]|[^\s\[\]{}]+")
@@ -106,10 +106,26 @@ def as_templates(templates: dict[str, str] | DataFrame) -> list[tuple[str, str]]
     """(label, template) rows of a mapping or of a table with these columns; rows with a null do not count."""
     if isinstance(templates, dict):
         return list(templates.items())
-    rows = templates.where("label IS NOT NULL AND template IS NOT NULL").select("label", "template").distinct().limit(MOST_TEMPLATES + 1).collect()
-    if len(rows) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates: scan with parts of the table and unite the labels")
-    return sorted(map(tuple, rows))
+    return sorted(map(tuple, templates.where("label IS NOT NULL AND template IS NOT NULL").select("label", "template").distinct().collect()))
+
+
+class Matcher:
+    """Compiled templates by the longest of their mandatory words, so that a text meets those whose word it has."""
+
+    def __init__(self, templates: list[tuple[str, str]]) -> None:
+        self.by_word: dict[bytes, list[tuple[str, bytes, list]]] = {}
+        self.any: list[tuple[str, bytes, list]] = []
+        for label, template in templates:
+            run = mandatory_words(template)
+            entry = (label, run, compile_template(template))
+            if run.split():
+                self.by_word.setdefault(max(run.split(), key=len), []).append(entry)
+            else:
+                self.any.append(entry)
+
+    def labels(self, found: list[bytes], line: bytes) -> set[str]:
+        near = [e for w in self.by_word.keys() & set(found) for e in self.by_word[w]]
+        return {label for label, run, moves in [*self.any, *near] if run in line and accepts(moves, found)}
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] | DataFrame = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,6 +133,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
 
     ``templates`` maps labels to templates, or is a table of (label, template); the default holds
     notices and whole texts of common licences. A template without mandatory words accepts any text with a word.
+    More than MOST_TEMPLATES are matched part after part, each by a stage of the same pass over the rows.
     ``n_base`` counts all places of phrases and first_word and last_word are the smallest and
     largest start of one, null without any. ``base_labels`` are the phrases' labels, ``labels``
     also those of accepted templates; both distinct, sorted and comma-joined, empty without any.
@@ -125,9 +142,20 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     read. An empty table gives an empty table.
     """
     split = [(p.encode().split(), label) for p, label in phrases.items()]
-    compiled = [(label, mandatory_words(t), compile_template(t)) for label, t in as_templates(templates)]
+    given = as_templates(templates)
+    matchers = [Matcher(given[i : i + MOST_TEMPLATES]) for i in range(0, max(len(given), 1), MOST_TEMPLATES)]
+
+    def part(matcher: Matcher):
+        def more(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = words(text)
+                out.append(sorted({*before, *matcher.labels(found, b" " + b" ".join(found) + b" ")}))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "text", "more"])
+
+        return more
 
-    def one(text: str | None) -> tuple:
+    def one(text: str | None, before: list[str], matcher: Matcher = matchers[-1]) -> tuple:
         found = words(text)
         line = b" " + b" ".join(found) + b" "
         starts, base = [], set()
@@ -138,13 +166,15 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
                 seen = at
                 starts.append(place)
                 base.add(label)
-        more = {label for label, pair, moves in compiled if pair in line and accepts(moves, found)}
+        more = {*before, *matcher.labels(found, line)}
         return len(found), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if more else 0.5 if base else 0.0
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = zip(*map(one, batch.column(1).to_pylist()), strict=True)
+        columns = zip(*map(one, batch.column(1).to_pylist(), batch.column(2).to_pylist()), strict=True)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<string>").alias("more"))
+    for matcher in matchers[:-1]:
+        picked = map_batches(picked, part(matcher), "doc_id long, text string, more array<string>")
     return map_batches(picked, make, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
