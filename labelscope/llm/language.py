@@ -156,6 +156,7 @@ def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "
 
     Null and letterless texts are ``und`` with score 0, as is every text when nothing is labelled.
     A null id belongs to no fold: its row is predicted, not learnt from, and held_out is null.
+    A very long text is a batch of its own and goes through the network in blocks of windows.
     Repeated rows are all returned; other columns are not read. An empty table gives an empty table.
     """
     net = train(docs.where(bucket_of(id_col, folds) != held_out), id_col=id_col, text_col=text_col, lang_col=lang_col)

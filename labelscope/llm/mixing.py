@@ -76,8 +76,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     source's words come to its target, rounded, and no document passes ``max_epochs``.
     Null and wordless texts have size 0 and are never taken; sources without words have target 0.
     A null source is a source of its own. Repeated rows count each time and stand side by side in the
-    order; null ids and texts are hashed as empty ones. Columns called like a new one are replaced.
-    An empty table gives an empty table.
+    order; null ids and texts are hashed as empty ones. A very long text is counted as a whole and may be the one
+    that is taken in part. Columns called like a new one are replaced. An empty table gives an empty table.
     """
     new = ("size", "source_size", "target", "whole", "part")
     sized = docs.drop(*(c for c in new if c not in (id_col, text_col, source_col)))

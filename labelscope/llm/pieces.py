@@ -362,7 +362,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MOD
     Samples are numbered from 1 in falling order of the perturbed value. A text with fewer than k
     segmentations gives all of them, with an inclusion of 1. A null or empty text gives one empty
     segmentation. Draws depend on seed and id alone: rows that repeat an id and text give the same
-    samples, and all rows with a null id share one key. Other columns are not read. An empty table
+    samples, and all rows with a null id share one key. A very long text is drawn word by word. Other columns are not read. An empty table
     gives an empty table. ``model`` is read where the tasks run. ``decode_too`` adds text, the
     sample's pieces decoded again, without a second pass over the ids.
     """

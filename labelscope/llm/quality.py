@@ -218,6 +218,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
     Null and empty texts are scored as documents without tokens. A null id belongs to no fold:
     its row is scored and held_out is null. Labels other than 0 and 1 are ignored; an id labelled
     twice counts once, with its lower label. Without labels of both classes all scores are 0.5.
+    A very long text is pooled as a whole. A score of exactly 0.5 predicts 1.
     Repeated rows are all returned; other columns are not read. An empty table gives an empty table.
     """
     model = train(docs, labels.where(bucket_of(id_col, folds) != held_out), id_col=id_col, text_col=text_col)

@@ -192,8 +192,8 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS,
     Units covered by a non-first span are cut out; all else of the text stays as it is.
     Null texts stay null and empty ones empty, with zero counts. Rows without an id are not
     compared and stay as they are. Rows that repeat an id are one document and are not compared with
-    each other; spans found repeated in one are removed in all. Columns of ``docs`` that are called like a new column are replaced. An empty table gives
-    an empty table.
+    each other; spans found repeated in one are removed in all. Columns of ``docs`` that are called like a new column are replaced. A very long
+    text is cut into units in one go and only its hashes are exchanged. An empty table gives an empty table.
     """
     repeats = shared_table(repeated_spans(docs, span, min_words, id_col, text_col), "repeats").withColumnsRenamed({"id": "_repeat_id", "starts": "_starts"})
     names = [c for c in docs.columns if c not in ("n_removed", "removed_words")]
