@@ -17,8 +17,8 @@ from labelscope.sources.shared import read_table, shared_table
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and empty texts are scored like any other.
 
-    Rows that repeat an id are each scored by their own text; columns called like the score are replaced on
-    the way. Without rows of both labels all stay; an empty table gives an empty table.
+    Rows that repeat an id are each scored by their own text, a very long one as a whole; a score of exactly 0.5
+    stays. Columns called like the score are replaced on the way. Without rows of both labels all stay; an empty table gives an empty table.
     """
     labels = read_table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(bucket_of("doc_id", 3) != 1))
@@ -29,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each near-duplicate group stays, that of the smallest id, by five-word shingles and a similarity of 0.8.
 
     Rows are told apart by id and text, so a clean row stays where its id is also a copy's. Rows
-    without words or without an id are in no group and stay. An empty table gives an empty table.
+    without words or without an id are in no group and stay. A very long text counts by all its shingles. Columns
+    called like the operator's are kept. An empty table gives an empty table.
     """
     return minhash.keep_one(docs)
 
@@ -37,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Units of repeated passages go, but for their first place; a document left without text goes too.
 
-    Null and empty texts stay. Rows that repeat an id are one document; columns called like a new one
+    Null and empty texts stay, and a very long one is cut like any other. Rows that repeat an id are one document; columns called like a new one
     are no columns of documents. An empty table gives an empty table.
     """
     cut = substring.drop_repeats(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
@@ -48,16 +49,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: whole copies of documents, a seeded choice of them once more, and a part of one of each source.
 
     Null and wordless texts are never taken; a null source is one of its own; repeated rows count
-    each. An empty table gives an empty table.
+    each; a very long text may be the one that is taken in part, and ties of the order go by the id. An empty table gives an empty table.
     """
-    mixed = mixing.repetitions(mixing.mix(docs))
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clash = {c: f"_own_{c}" for c in ("size", "source_size", "target", "whole", "part") if c in docs.columns}
+    mixed = mixing.repetitions(mixing.mix(docs.withColumnsRenamed(clash))).withColumn("n_chars", F.length("text").cast("long"))
+    return mixed.withColumnsRenamed({own: c for c, own in clash.items()}).select(*docs.columns)
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, sample, ids, log_prob, perturbed, log_inclusion, text): sampled segmentations of every row, decoded again.
 
-    Null and empty texts give one empty segmentation; rows of one id and text give the same ones. An
+    Null and empty texts give one empty segmentation; rows of one id and text give the same ones; a very long text
+    is drawn word by word. An
     empty table gives an empty table.
     """
     return pieces.encode(docs, decode_too=True)
