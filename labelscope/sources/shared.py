@@ -38,5 +38,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables in the shared folder. For the owner of the session, once results are written: tables that were not yet read are gone."""
+    remove_path(spark, f"{shared_dir(spark)}/tables")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
