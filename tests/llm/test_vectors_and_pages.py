@@ -135,6 +135,49 @@ def test_neighbours_of_few_tied_and_odd_vectors(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def odd_vectors(kind):
+    """Rows on which shares of lists and coded scores alone say little about the nearest."""
+    rng = np.random.default_rng(8)
+    n = 1200
+    if kind == "wide":
+        x = rng.normal(size=(n, 256))
+    elif kind == "tight":
+        x = rng.normal(size=64) + 1e-3 * rng.normal(size=(n, 64))
+    elif kind == "tiny":
+        x = 1e-25 * rng.normal(size=(n, 24))
+    elif kind == "lengths":
+        x = rng.normal(size=(n, 24)) * rng.pareto(1.2, (n, 1))
+    else:  # copies: equal scores beyond the rows that are ranked first, and outliers
+        x = np.repeat(rng.normal(size=(4, 24)), n // 4, 0)
+        x[::7] *= 1e6
+    return [(i, [float(v) for v in r], 0) for i, r in enumerate(np.float32(x))]
+
+
+@pytest.mark.parametrize("kind", ["wide", "tight", "tiny", "lengths", "copies"])
+def test_neighbours_are_the_nearest_on_any_rows(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 500)
+    rows = odd_vectors(kind)
+    df = frame(spark, rows)
+    found = defaultdict(list)
+    for r in neighbours.search(df, df.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    x = np.array([v for _, v, _ in rows])
+    assert set(found) == set(range(0, len(rows), 20))
+    for q, got in found.items():
+        score = (x * x[q]).sum(1)
+        assert got == [int(i) for i in np.lexsort((np.arange(len(x)), -score)) if i != q][:20]
+
+
+def test_neighbours_of_rows_that_repeat_an_id(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in np.float32(rng.normal(size=8))], 0) for i in range(60)]
+    rows += [(7, [float(v) for v in np.float32(50 + rng.normal(size=8))], 0) for _ in range(40)]
+    df = frame(spark, rows)
+    got = [r.vec_id for r in neighbours.search(df, df.where("vec_id = 0"), k=20).orderBy("rank").collect()]
+    best = {i: max(float(np.dot(v, rows[0][1])) for j, v, _ in rows if j == i) for i in range(1, 60)}
+    assert got == sorted(best, key=lambda i: (-best[i], i))[:20]
+
+
 ARTICLE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav><!-- note --><div class="ad">Buy now, a long sentence of advertising text.</div>
 <div id="cookie-banner"><p>We use cookies and so on, please agree to all of it.</p></div>
