@@ -9,7 +9,8 @@ one path at one place are held as a group and split only when the search takes o
 The vocabulary's pieces never cross a space mark, so the lattice is a chain of small lattices,
 one per run of marks and the word behind it, and what is left of a path after a branch is drawn
 word by word. All draws are counters hashed with the row's key: results do not depend on how
-rows are batched.
+rows are batched. Rows are searched side by side, a path of each in turn: what is drawn for their paths is
+drawn at once.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from labelscope.llm.common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, SHARPNESS = 2, 17, 0.5
+#: Rows whose words share lattices, and words of their texts that are searched side by side; small ones stay in a processor's cache.
+ROWS, TURN_WORDS = 250, 1 << 16
 MARK = "▁"
 _CHUNK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -153,19 +156,17 @@ class Lattices:
             self.rest_a = np.where(counts[self.owner_a - 1] == 1, -np.inf, np.log(-np.expm1(self.logp_a)))
         self.last_a = self.first_a[1:] - 1
 
-    def pieces(self, edges: np.ndarray) -> np.ndarray:
-        """Piece ids of edges; an edge of bytes gives one id per byte."""
-        ids = self.ids_a[edges].astype(np.int32)
+    def pieces(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """Piece ids of the edges of each path; an edge of bytes gives one id per byte."""
+        ids = self.ids_a[np.concatenate(paths)]
         single = np.flatnonzero((ids < 0) & (ids > -128))
         ids[single] = self.bytes_a[-ids[single]]
+        ends = np.cumsum([len(p) for p in paths])
+        out = np.split(ids, ends[:-1])
         odd = np.flatnonzero(ids < 0)
-        if not len(odd):
-            return ids
-        out, at = [], 0
-        for k in odd:
-            out += [ids[at:k], np.array([self.byte[b] for b in chr(-ids[k]).encode("utf-8", "surrogatepass")])]
-            at = k + 1
-        return np.concatenate([*out, ids[at:]]).astype(np.int32)
+        for i in np.unique(np.searchsorted(ends, odd, "right")):
+            out[i] = np.concatenate([[n] if n >= 0 else [self.byte[b] for b in chr(-n).encode("utf-8", "surrogatepass")] for n in out[i].tolist()]).astype(np.int32)
+        return out
 
 
 def _uniform(key: np.ndarray, *parts) -> np.ndarray:
@@ -184,6 +185,15 @@ def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     return out
 
 
+def _one(key: int, *parts: int) -> float:
+    """``_uniform`` of a single key."""
+    for p in parts:
+        key = (key ^ p) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        key = (key ^ key >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+        key ^= key >> 27
+    return ((key >> 12) + 0.5) * (1 / float(1 << 52))
+
+
 def _draw(lat: Lattices, nodes: np.ndarray, keys: np.ndarray, place: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """A path from each node to its word's end: edges in order, and where each word's edges begin."""
     live, at, steps = np.flatnonzero(nodes), nodes[nodes > 0], []
@@ -220,63 +230,104 @@ def _gumbel(key: np.ndarray, *parts) -> np.ndarray:
     return u
 
 
-def _below(limit: float, value: np.ndarray) -> np.ndarray:
+def _below(limit: np.ndarray | float, value: np.ndarray) -> np.ndarray:
     """Gumbel values truncated to lie under ``limit``."""
     return -np.logaddexp(-limit, -value)
 
 
-def _search(lat: Lattices, key: np.ndarray, drawn: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[np.ndarray, float, float]], float]:
-    """The k best perturbed paths (edges, log probability, perturbed value) and the next value.
-
-    ``drawn`` holds k independent paths as (edges, begin of each word).
+class _Path:
+    """A drawn path; ``after``, ``before`` and ``group`` begin at edge ``since``, ``base`` is the log probability up to there."""
+
+    __slots__ = ("edges", "begin", "since", "base", "value", "after", "before", "group", "out")
+
+    def __init__(self, edges: np.ndarray, begin: np.ndarray, since: int, base: float, value: float) -> None:
+        self.edges, self.begin, self.since, self.base, self.value, self.out = edges, begin, since, base, value, {}
+
+
+def _emit(lat: Lattices, keys: np.ndarray, paths: list[_Path], turn: int) -> None:
+    """The log probabilities along new paths, one of each key, and the best perturbed values of the branches that leave them."""
+    sizes = np.array([len(p.edges) - p.since for p in paths])
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    flat = np.concatenate([p.edges[p.since :] for p in paths])
+    logp = lat.logp_a[flat]
+    after = logp.copy()
+    some = sizes > 0
+    after[begin[some]] += np.array([p.base for p in paths])[some]
+    for lo, hi in zip(begin.tolist(), ends.tolist(), strict=True):
+        np.add.accumulate(after[lo:hi], out=after[lo:hi])
+    before = after - logp
+    loc = before + lat.rest_a[flat]
+    open_ = np.flatnonzero(np.isfinite(loc))
+    owner = np.repeat(np.arange(len(paths)), sizes)[open_]
+    place = open_ - (begin - np.array([p.since for p in paths]))[owner]
+    group = np.full(len(flat), -np.inf)
+    group[open_] = _below(np.array([p.value for p in paths])[owner], loc[open_] + _gumbel(keys[owner], _GROUP + turn, place))
+    for p, lo, hi in zip(paths, begin.tolist(), ends.tolist(), strict=True):
+        p.after, p.before, p.group = after[lo:hi], before[lo:hi], group[lo:hi]
+
+
+def _branch(lat: Lattices, key: int, p: _Path, turn: int, value: float) -> tuple[int, int, list[int], float]:
+    """The path's best branch is taken: (edge where it leaves, its word, the word's edges, log probability up to its first edge)."""
+    j = int(p.group.argmax())
+    t = j + p.since
+    node = int(lat.owner_a[p.edges[t]])
+    taken = p.out.setdefault(t, [int(p.edges[t])])
+    choice = [e for e in range(int(lat.first_a[node]), int(lat.last_a[node]) + 1) if e not in taken]
+    mass = np.cumsum(lat.prob_a[choice])
+    pick = min(int(np.searchsorted(mass, _one(key, _PICK + turn, t) * mass[-1])), len(choice) - 1)
+    taken.append(choice[pick])
+    rest = float(sum(lat.prob_a[e] for e in choice if e not in taken))
+    p.group[j] = -np.inf
+    if rest > 0:
+        p.group[j] = float(_below(value, p.before[j] + math.log(rest) + _gumbel(np.array([key], np.uint64), _AGAIN + turn, t))[0])
+    word = int(np.searchsorted(p.begin, t, "right")) - 1
+    head = [*p.edges[p.begin[word] : t].tolist(), choice[pick]]
+    at, step = int(lat.end_a[choice[pick]]), 0
+    while at:
+        u, e = _one(key, _TAIL + turn, t, step), int(lat.first_a[at])
+        while (u := u - lat.prob_a[e]) > 0 and e < lat.last_a[at]:
+            e += 1
+        head.append(e)
+        at, step = int(lat.end_a[e]), step + 1
+    return t, word, head, float((p.after[j - 1] if j else p.base) + lat.logp_a[choice[pick]])
+
+
+def _search(lat: Lattices, keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, k: int) -> list[tuple[list[_Path], float]]:
+    """For each text of so many words, the first node of each of them given, its k best perturbed paths and the next value.
+
+    Each turn takes the best branch of every text's paths; behind the branch's word the path is drawn afresh.
     """
-    paths, found = [], []
-    value = float(_gumbel(key, _ROOT, 0)[0])
-
-    def emit(edges: np.ndarray, begin: np.ndarray, since: int, value: float) -> None:
-        logp = lat.logp_a[edges]
-        after = np.cumsum(logp)
-        group = np.full(len(edges), -np.inf)
-        loc = after[since:] - logp[since:] + lat.rest_a[edges[since:]]
-        open_ = np.isfinite(loc)
-        group[since:][open_] = _below(value, loc[open_] + _gumbel(key, _GROUP + len(paths), since + np.flatnonzero(open_)))
-        paths.append({"edges": edges, "begin": begin, "before": after - logp, "group": group, "out": {}})
-        found.append((edges, float(after[-1]) if len(after) else 0.0, value))
-
-    emit(*drawn[0], 0, value)
-    while True:
-        tops = [(float(p["group"].max()) if len(p["group"]) else -np.inf) for p in paths]
-        best = int(np.argmax(tops))
-        value = tops[best]
-        if len(found) == k or not math.isfinite(value):
-            return found, value
-        p, turn = paths[best], len(paths)
-        t = int(p["group"].argmax())
-        node = int(lat.owner_a[p["edges"][t]])
-        taken = p["out"].setdefault(t, [int(p["edges"][t])])
-        choice = [e for e in range(int(lat.first_a[node]), int(lat.last_a[node]) + 1) if e not in taken]
-        mass = np.cumsum(lat.prob_a[choice])
-        pick = min(int(np.searchsorted(mass, _uniform(key, _PICK + turn, t)[0] * mass[-1])), len(choice) - 1)
-        taken.append(choice[pick])
-        rest = float(sum(lat.prob_a[e] for e in choice if e not in taken))
-        p["group"][t] = -np.inf
-        if rest > 0:
-            loc = p["before"][t] + math.log(rest)
-            p["group"][t] = float(_below(value, loc + _gumbel(key, _AGAIN + turn, t))[0])
-        word = int(np.searchsorted(p["begin"], t, "right")) - 1
-        head = [*p["edges"][p["begin"][word] : t].tolist(), choice[pick]]
-        at, step = int(lat.end_a[choice[pick]]), 0
-        while at:
-            u, e = float(_uniform(key, _TAIL + turn, t, step)[0]), int(lat.first_a[at])
-            while (u := u - lat.prob_a[e]) > 0 and e < lat.last_a[at]:
-                e += 1
-            head.append(e)
-            at, step = int(lat.end_a[e]), step + 1
-        fresh, begin = drawn[turn]
-        later = begin[word + 1]
-        edges = np.concatenate([p["edges"][: p["begin"][word]], np.array(head, np.int64), fresh[later:]])
-        start = p["begin"][word] + len(head)
-        emit(edges, np.concatenate([p["begin"][: word + 1], begin[word + 1 :] - later + start]), t + 1, value)
+    offset = np.r_[0, np.cumsum(sizes)]
+    place, spread = np.arange(len(nodes)) - np.repeat(offset[:-1], sizes), np.repeat(keys, sizes)
+    edges, begin = _draw(lat, nodes, spread, place, 0)
+    new = [_Path(edges[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo], 0, 0.0, value) for lo, hi, value in zip(offset[:-1], offset[1:], _gumbel(keys, _ROOT, 0).tolist(), strict=True)]
+    live, turn, paths, limit = list(range(len(sizes))), 0, [[] for _ in sizes], [0.0] * len(sizes)
+    while live:
+        _emit(lat, keys[live], new, turn)
+        for i, p in zip(live, new, strict=True):
+            paths[i].append(p)
+        turn += 1
+        todo = []
+        for i in live:
+            tops = [float(p.group.max()) if len(p.group) else -math.inf for p in paths[i]]
+            limit[i] = max(tops)
+            if turn < k and math.isfinite(limit[i]):
+                p = paths[i][tops.index(limit[i])]
+                todo.append((i, p, *_branch(lat, int(keys[i]), p, turn, limit[i])))
+        live = [i for i, *_ in todo]
+        if not todo:
+            break
+        later = np.concatenate([np.arange(offset[i] + word + 1, offset[i + 1]) for i, _, _, word, *_ in todo])
+        edges, begin = _draw(lat, nodes[later], spread[later], place[later], turn)
+        new, lo = [], 0
+        for i, p, t, word, head, base in todo:
+            hi = lo + int(sizes[i]) - word - 1
+            kept = int(p.begin[word])
+            joined = np.concatenate([p.edges[:kept], np.array(head, np.int64), edges[begin[lo] : begin[hi]]])
+            new.append(_Path(joined, np.concatenate([p.begin[: word + 1], begin[lo : hi + 1] - begin[lo] + kept + len(head)]), t + 1, base, limit[i]))
+            lo = hi
+    return list(zip(paths, limit, strict=True))
 
 
 def _log_inclusion(logp: float, limit: float) -> float:
@@ -297,31 +348,40 @@ def vocabulary(model: str = MODEL, sharpness: float = SHARPNESS) -> Vocabulary:
     return _VOCABULARIES[model, sharpness]
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def sample_texts(texts: list[str | None], keys: list, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, sharpness: float = SHARPNESS) -> list[list[tuple]]:
     """For each text its k samples (piece ids, log probability, perturbed value, log inclusion)."""
     words: list[str] = []
-    sizes = []
+    ends = []
     for text in texts:
-        found = _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else ()
-        sizes.append(len(found))
-        words += found
-    place_of = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    lat = Lattices(vocabulary(model, sharpness), list(place_of))
-    nodes_a, sizes_a = lat.start[np.fromiter(map(place_of.__getitem__, words), np.int64, len(words))] if words else np.empty(0, np.int64), np.array(sizes, np.int64)
+        if text:
+            words += _CHUNK.findall(MARK + text.replace(" ", MARK))
+        ends.append(len(words))
+    out: list[list[tuple]] = [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
+    sizes = np.diff(np.array([0, *ends], np.int64))
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    numbers = _Numbers()
+    which = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    lat = Lattices(vocabulary(model, sharpness), list(numbers))
+    nodes = lat.start[which]
     own = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{key}") for key in keys], np.uint64)
-    offset = np.r_[0, np.cumsum(sizes_a)]
-    place = np.arange(len(nodes_a)) - np.repeat(offset[:-1], sizes_a)
-    spread = np.repeat(own, sizes_a)
-    drawn = [_draw(lat, nodes_a, spread, place, turn) for turn in range(k)]
-    out = []
-    for i in range(len(texts)):
-        lo, hi = offset[i], offset[i + 1]
-        if lo == hi:
-            out.append([(np.empty(0, np.int32), 0.0, 0.0, 0.0)])
-            continue
-        mine = [(edges[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo]) for edges, begin in drawn]
-        found, limit = _search(lat, own[i : i + 1], mine, k)
-        out.append([(lat.pieces(edges), logp, value, _log_inclusion(logp, limit)) for edges, logp, value in found])
+    ends_a = np.array(ends, np.int64)
+    for group in np.split(some, np.flatnonzero(np.diff(ends_a[some] // TURN_WORDS)) + 1):
+        lo, hi = ends_a[group[0]] - sizes[group[0]], ends_a[group[-1]]
+        found = _search(lat, own[group], nodes[lo:hi], sizes[group], k)
+        ids = iter(lat.pieces([p.edges for paths, _ in found for p in paths]))
+        for i, (paths, limit) in zip(group.tolist(), found, strict=True):
+            logps = [float(p.after[-1]) if len(p.after) else p.base for p in paths]
+            out[i] = [(next(ids), logp, p.value, _log_inclusion(logp, limit)) for p, logp in zip(paths, logps, strict=True)]
     return out
 
 
@@ -379,7 +439,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MOD
 
     names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", *(["text"] if decode_too else [])]
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, make, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + (", text string" if decode_too else ""))
+    return map_batches(picked, make, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + (", text string" if decode_too else ""), rows=ROWS)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:

@@ -458,3 +458,14 @@ def test_substring_finds_passages_in_mid_sentence_without_stops_and_in_dense_scr
 def test_units_join_to_the_text_in_any_script():
     for t in ("a" * 40, "x y " * 60, "İI ß Σ. " * 9, "一二。三，四" * 30, "क ख।ग", "end.*** Next end.###Next 3.5 www.a.b/c?", "\ud800 a\n\n b", ", , ,\n***\n"):
         assert "".join(substring.sentences(t)) == t
+
+
+def test_segmentations_of_many_texts_are_drawn_together(monkeypatch):
+    texts = ["the cat sat on the mat\nand so on"] * 300 + [None, "", "é😀 \n x"]
+    calls, uniform = [], pieces._uniform
+    monkeypatch.setattr(pieces, "_uniform", lambda *a: calls.append(1) or uniform(*a))
+    together = pieces.sample_texts(texts, list(range(len(texts))), k=2)
+    assert len(calls) < 3 * len(texts)  # one draw of a branch for each text, the rest side by side
+    monkeypatch.setattr(pieces, "TURN_WORDS", 7)
+    alone = pieces.sample_texts(texts, list(range(len(texts))), k=2)
+    assert [[(s[0].tolist(), *s[1:]) for s in t] for t in together] == [[(s[0].tolist(), *s[1:]) for s in t] for t in alone]
