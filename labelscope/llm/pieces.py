@@ -8,7 +8,7 @@ one path at one place are held as a group and split only when the search takes o
 
 The vocabulary's pieces never cross a space mark, so the lattice is a chain of small lattices,
 one per run of marks and the word behind it, and what is left of a path after a branch is drawn
-word by word. All draws are counters hashed with the row's key: results do not depend on how
+word by word. Words of a batch with equal suffixes share the nodes of those. All draws are counters hashed with the row's key: results do not depend on how
 rows are batched. Rows are searched side by side, a path of each in turn: what is drawn for their paths is
 drawn at once.
 """
@@ -16,7 +16,6 @@ drawn at once.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +28,11 @@ from labelscope.llm.common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, SHARPNESS = 2, 17, 0.5
-#: Rows whose words share lattices, and words of their texts that are searched side by side; small ones stay in a processor's cache.
-ROWS, TURN_WORDS = 250, 1 << 16
+#: Rows whose words share lattices, and words of their texts that are searched side by side, so few that what is drawn for them stays in a processor's cache.
+ROWS, TURN_WORDS = 1000, 1 << 16
+#: Suffixes of a length that so few words reach are not compared with each other.
+FEW = 64
 MARK = "▁"
-_CHUNK = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
 class Vocabulary:
@@ -62,10 +62,8 @@ class Vocabulary:
                         moves.append((states[p[: k - 1]], p[k - 1], len(piece)))
                         piece.append(-1)
                 piece[states[p]] = i
-        # the bytes of all pieces in a row, marks as spaces, for decoding
-        plain = [t.replace(MARK.encode(), b" ") for t in self.text]
-        self.sizes = np.array([len(t) for t in plain], np.int64)
-        self.begin, self.table = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(plain), np.uint8)
+        #: The bytes of each piece, marks as spaces, for decoding.
+        self.plain = pa.array([t.replace(MARK.encode(), b" ") for t in self.text], pa.large_binary())
         self.piece = np.array(piece, np.int32)
         self.longest = max(map(len, states))
         self.bits = 2 + len(moves).bit_length()
@@ -97,64 +95,91 @@ class Vocabulary:
         return out
 
 
+def _suffixes(chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """A node for each different suffix of the words, from 1 and from short to long; 0 is the empty one.
+
+    Of a length that at most ``FEW`` words reach, each word's suffix is a node of its own, equal or not. Words are given by their characters in a row and the length of each. Returns each word's node, the next shorter suffix and
+    first character of each node, and the first node of each length, with one more behind the last.
+    """
+    order = np.argsort(-sizes, kind="stable")  # words that reach a length are the first ones
+    last, most = np.cumsum(sizes)[order], int(sizes.max())
+    reach = len(sizes) - np.cumsum(np.bincount(sizes, minlength=most + 1))
+    node, shorter, heads, bounds = np.zeros(len(sizes), np.int64), [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [1]
+    for length, m in enumerate(reach[:most].tolist(), 1):
+        keys, number = node[:m] << 21 | chars[last[:m] - length], np.arange(m)
+        if m > FEW:
+            met = pa.array(keys).dictionary_encode()
+            keys, number = met.dictionary.to_numpy(), met.indices.to_numpy()
+        node[:m] = number
+        node[:m] += bounds[-1]
+        shorter.append(keys >> 21)
+        heads.append(keys & (1 << 21) - 1)
+        bounds.append(bounds[-1] + len(keys))
+    start = np.empty(len(sizes), np.int64)
+    start[order] = node
+    return start, np.concatenate(shorter), np.concatenate(heads), bounds
+
+
 class Lattices:
-    """The lattices of the distinct words of a batch: a node per character, branches with normalised probabilities.
+    """The lattices of the distinct words of a batch: a node per suffix, branches with normalised probabilities.
 
-    Node 0 is the end of every word; a word's nodes follow one another.
+    What may follow a place in a word depends on the rest of the word alone, so words share the nodes of their equal
+    suffixes. Node 0 is the end of every word.
     """
 
-    def __init__(self, vocabulary: Vocabulary, words: list[str]) -> None:
+    def __init__(self, vocabulary: Vocabulary, chars: np.ndarray, sizes: np.ndarray) -> None:
         self.byte, self.bytes_a = vocabulary.byte, np.array(vocabulary.byte, np.int32)
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes)
         #: First node of each word.
-        self.start = ends - sizes + 1
-        n = len(chars)
-        left = np.repeat(ends, sizes) - np.arange(n)  # characters up to the word's end
-        found, state, where = [], np.zeros(n, np.int32), np.arange(n)
-        for length in range(1, vocabulary.longest + 1):
-            fits = left[where] >= length
-            where = where[fits]
-            state = vocabulary.step(state[fits], chars[where + length - 1])
-            where, state = where[state > 0], state[state > 0]
-            if not len(where):
+        self.start, shorter, heads, bounds = _suffixes(chars, sizes)
+        n = len(heads)
+        found, state, where, at = [], np.zeros(n - 1, np.int32), np.arange(1, n), np.arange(1, n)
+        for _ in range(vocabulary.longest):
+            state = vocabulary.step(state, heads[at])
+            on = np.flatnonzero(state)
+            if not len(on):
                 break
+            state, where, at = state[on], where[on], shorter[at[on]]
             ids = vocabulary.piece[state]
-            found.append((length, where[ids >= 0], ids[ids >= 0]))
+            some = np.flatnonzero(ids >= 0)
+            found.append((where[some], ids[some], at[some]))
+            on = np.flatnonzero(at)
+            state, where, at = state[on], where[on], at[on]
         alone = np.ones(n, bool)
-        for length, at, _ in found[:1]:
-            alone[at] = False
+        alone[0] = False
+        for nodes, *_ in found[:1]:
+            alone[nodes] = False
         raw = np.flatnonzero(alone)
         counts = alone.astype(np.int64)
-        for _, at, _ in found:
-            counts[at] += 1
-        self.first_a = np.r_[0, np.r_[0, np.cumsum(counts)]]
-        fill, total = self.first_a[1:-1].copy(), int(counts.sum())
+        for nodes, *_ in found:
+            counts[nodes] += 1
+        #: First and last edge of each node, long pieces first.
+        self.first_a = np.r_[0, np.cumsum(counts)]
+        self.last_a = self.first_a[1:] - 1
+        fill, total = self.first_a[:-1].copy(), int(self.first_a[-1])
         self.ids_a, self.end_a, score = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
-        width = np.ones(n, np.int64)
-        width[raw] += (chars[raw] > 0x7F).astype(np.int64) + (chars[raw] > 0x7FF) + (chars[raw] > 0xFFFF)
-        for length, at, ids in [*found[::-1], (1, raw, None)]:
-            to = fill[at]
-            self.ids_a[to] = -chars[at] if ids is None else ids
-            self.end_a[to] = np.where(left[at] > length, at + length + 1, 0)
-            score[to] = width[at] * vocabulary.weight[-1] if ids is None else vocabulary.weight[ids]
-            fill[at] += 1
-        beta = np.zeros(n + 1)
-        order = np.argsort(left, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(left[order])) + 1) if n else ():
-            c = counts[group]
-            begin = np.cumsum(c) - c
-            edges = np.arange(c.sum()) + np.repeat(self.first_a[group + 1] - begin, c)
+        width = 1 + (heads[raw] > 0x7F).astype(np.int64) + (heads[raw] > 0x7FF) + (heads[raw] > 0xFFFF)
+        for nodes, ids, ends in [*found[::-1], (raw, None, shorter[raw])]:
+            to = fill[nodes]
+            self.ids_a[to] = -heads[nodes] if ids is None else ids
+            self.end_a[to] = ends
+            score[to] = width * vocabulary.weight[-1] if ids is None else vocabulary.weight[ids]
+            fill[nodes] = to + 1
+        beta = np.zeros(n)
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            c, edges = counts[lo:hi], slice(self.first_a[lo], self.first_a[hi])
+            begin = self.first_a[lo:hi] - edges.start
             s = score[edges] + beta[self.end_a[edges]]
             top = np.maximum.reduceat(s, begin)
-            beta[group + 1] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, c)), begin))
-        self.owner_a = np.repeat(np.arange(1, n + 1, dtype=np.int32), counts)
-        self.logp_a = np.minimum(score + beta[self.end_a] - beta[self.owner_a], 0.0)
+            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, c)), begin))
+        self.logp_a = np.minimum(score + beta[self.end_a] - np.repeat(beta, counts), 0.0)
         self.prob_a = np.exp(self.logp_a)
         with np.errstate(divide="ignore"):
-            self.rest_a = np.where(counts[self.owner_a - 1] == 1, -np.inf, np.log(-np.expm1(self.logp_a)))
-        self.last_a = self.first_a[1:] - 1
+            self.rest_a = np.log(-np.expm1(self.logp_a))
+        self.rest_a[self.first_a[:-1][counts == 1]] = -np.inf
+
+    def owner(self, edge: int) -> int:
+        """The node that an edge leaves."""
+        return int(np.searchsorted(self.first_a, edge, "right")) - 1
 
     def pieces(self, paths: list[np.ndarray]) -> list[np.ndarray]:
         """Piece ids of the edges of each path; an edge of bytes gives one id per byte."""
@@ -267,11 +292,11 @@ def _emit(lat: Lattices, keys: np.ndarray, paths: list[_Path], turn: int) -> Non
         p.after, p.before, p.group = after[lo:hi], before[lo:hi], group[lo:hi]
 
 
-def _branch(lat: Lattices, key: int, p: _Path, turn: int, value: float) -> tuple[int, int, list[int], float]:
-    """The path's best branch is taken: (edge where it leaves, its word, the word's edges, log probability up to its first edge)."""
+def _branch(lat: Lattices, key: int, p: _Path, turn: int) -> tuple[int, int, list[int], float, float]:
+    """The path's best branch is taken: (edge where it leaves, its word, the word's edges, log probability up to its first edge, that of the branches left there)."""
     j = int(p.group.argmax())
     t = j + p.since
-    node = int(lat.owner_a[p.edges[t]])
+    node = lat.owner(int(p.edges[t]))
     taken = p.out.setdefault(t, [int(p.edges[t])])
     choice = [e for e in range(int(lat.first_a[node]), int(lat.last_a[node]) + 1) if e not in taken]
     mass = np.cumsum(lat.prob_a[choice])
@@ -279,8 +304,6 @@ def _branch(lat: Lattices, key: int, p: _Path, turn: int, value: float) -> tuple
     taken.append(choice[pick])
     rest = float(sum(lat.prob_a[e] for e in choice if e not in taken))
     p.group[j] = -np.inf
-    if rest > 0:
-        p.group[j] = float(_below(value, p.before[j] + math.log(rest) + _gumbel(np.array([key], np.uint64), _AGAIN + turn, t))[0])
     word = int(np.searchsorted(p.begin, t, "right")) - 1
     head = [*p.edges[p.begin[word] : t].tolist(), choice[pick]]
     at, step = int(lat.end_a[choice[pick]]), 0
@@ -290,7 +313,8 @@ def _branch(lat: Lattices, key: int, p: _Path, turn: int, value: float) -> tuple
             e += 1
         head.append(e)
         at, step = int(lat.end_a[e]), step + 1
-    return t, word, head, float((p.after[j - 1] if j else p.base) + lat.logp_a[choice[pick]])
+    left = float(p.before[j] + math.log(rest)) if rest > 0 else -math.inf
+    return t, word, head, float((p.after[j - 1] if j else p.base) + lat.logp_a[choice[pick]]), left
 
 
 def _search(lat: Lattices, keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, k: int) -> list[tuple[list[_Path], float]]:
@@ -314,14 +338,20 @@ def _search(lat: Lattices, keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarra
             limit[i] = max(tops)
             if turn < k and math.isfinite(limit[i]):
                 p = paths[i][tops.index(limit[i])]
-                todo.append((i, p, *_branch(lat, int(keys[i]), p, turn, limit[i])))
+                todo.append((i, p, *_branch(lat, int(keys[i]), p, turn)))
         live = [i for i, *_ in todo]
         if not todo:
             break
+        again = [(i, p, t, left) for i, p, t, *_, left in todo if left > -math.inf]
+        if again:
+            own, _, at, left = zip(*again, strict=True)
+            values = _below(np.array([limit[i] for i in own]), np.array(left) + _gumbel(keys[list(own)], _AGAIN + turn, at))
+            for (_, p, t, _), value in zip(again, values.tolist(), strict=True):
+                p.group[t - p.since] = value
         later = np.concatenate([np.arange(offset[i] + word + 1, offset[i + 1]) for i, _, _, word, *_ in todo])
         edges, begin = _draw(lat, nodes[later], spread[later], place[later], turn)
         new, lo = [], 0
-        for i, p, t, word, head, base in todo:
+        for i, p, t, word, head, base, _ in todo:
             hi = lo + int(sizes[i]) - word - 1
             kept = int(p.begin[word])
             joined = np.concatenate([p.edges[:kept], np.array(head, np.int64), edges[begin[lo] : begin[hi]]])
@@ -348,33 +378,41 @@ def vocabulary(model: str = MODEL, sharpness: float = SHARPNESS) -> Vocabulary:
     return _VOCABULARIES[model, sharpness]
 
 
-class _Numbers(dict):
-    """Numbers of words in the order in which they are met."""
+def _words(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, encoded by a dictionary, and where each text's words end.
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    A word is a line end, or a run of marks and what follows up to the next mark or line end. Spaces become marks, and a text
+    that is not empty begins with one.
+    """
+    each = [(MARK + t.replace(" ", MARK)).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    joined = b"".join(each)
+    data, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(t) for t in each], dtype=np.int64)
+    begins = np.zeros(len(data) + 1, bool)
+    mark = MARK.encode()
+    marks = np.flatnonzero(data[: max(0, len(data) - 2)] == mark[0])
+    marks = marks[(data[marks + 1] == mark[1]) & (data[marks + 2] == mark[2])]
+    begins[marks[np.diff(marks, prepend=-len(mark)) != len(mark)]] = True
+    lines = np.flatnonzero(data == 10)
+    begins[lines] = begins[lines + 1] = begins[ends] = begins[0] = True
+    places = np.flatnonzero(begins)
+    words = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(joined)])
+    return words.dictionary_encode(), np.searchsorted(places, ends)
 
 
 def sample_texts(texts: list[str | None], keys: list, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, sharpness: float = SHARPNESS) -> list[list[tuple]]:
     """For each text its k samples (piece ids, log probability, perturbed value, log inclusion)."""
-    words: list[str] = []
-    ends = []
-    for text in texts:
-        if text:
-            words += _CHUNK.findall(MARK + text.replace(" ", MARK))
-        ends.append(len(words))
+    words, ends_a = _words(texts)
     out: list[list[tuple]] = [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
-    sizes = np.diff(np.array([0, *ends], np.int64))
+    sizes = np.diff(ends_a, prepend=0)
     some = np.flatnonzero(sizes)
     if not len(some):
         return out
-    numbers = _Numbers()
-    which = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    lat = Lattices(vocabulary(model, sharpness), list(numbers))
-    nodes = lat.start[which]
+    data, edges = words.dictionary.buffers()[2].to_pybytes(), np.frombuffer(words.dictionary.buffers()[1], np.int64, len(words.dictionary) + 1)
+    chars = np.frombuffer(data[: edges[-1]].decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    heads = (np.frombuffer(data, np.uint8, edges[-1]) & 0xC0) != 0x80  # bytes that begin a character
+    lat = Lattices(vocabulary(model, sharpness), chars, np.add.reduceat(heads, edges[:-1], dtype=np.int64))
+    nodes = lat.start[words.indices.to_numpy()]
     own = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{key}") for key in keys], np.uint64)
-    ends_a = np.array(ends, np.int64)
     for group in np.split(some, np.flatnonzero(np.diff(ends_a[some] // TURN_WORDS)) + 1):
         lo, hi = ends_a[group[0]] - sizes[group[0]], ends_a[group[-1]]
         found = _search(lat, own[group], nodes[lo:hi], sizes[group], k)
@@ -393,10 +431,9 @@ def decoded(ids: pa.ListArray, model: str = MODEL) -> pa.Array:
     """
     v = vocabulary(model)
     each = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    sizes = v.sizes[flat]
-    place = np.r_[0, np.cumsum(sizes)]
-    data = v.table[np.repeat(v.begin[flat] - place[:-1], sizes) + np.arange(place[-1])]
+    taken = v.plain.take(ids.flatten())
+    place = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    data = np.frombuffer(taken.buffers()[2] or b"", np.uint8, place[-1])
     edges = place[np.r_[0, np.cumsum(each)]]
     some = np.flatnonzero(np.diff(edges))
     plain = not len(some) or bool((data[edges[some]] == 32).all())

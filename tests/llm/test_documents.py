@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -469,3 +470,22 @@ def test_segmentations_of_many_texts_are_drawn_together(monkeypatch):
     monkeypatch.setattr(pieces, "TURN_WORDS", 7)
     alone = pieces.sample_texts(texts, list(range(len(texts))), k=2)
     assert [[(s[0].tolist(), *s[1:]) for s in t] for t in together] == [[(s[0].tolist(), *s[1:]) for s in t] for t in alone]
+
+
+def test_words_with_equal_ends_share_lattice_nodes(monkeypatch):
+    heads = ["".join(p) for p in itertools.product("abcdefgh", repeat=3)]
+    texts = [" ".join(f"{h}nationalisation" for h in heads[i::4]) for i in range(4)]
+    steps, step = [], pieces.Vocabulary.step
+    monkeypatch.setattr(pieces.Vocabulary, "step", lambda self, states, chars: steps.append(len(states)) or step(self, states, chars))
+    together = pieces.sample_texts(texts, list(range(4)), k=3)
+    assert sum(steps) < 4 * 4 * len(heads)  # what the heads add; 15 equal characters behind each would be ten times that
+    alone = [pieces.sample_texts([t], [i], k=3)[0] for i, t in enumerate(texts)]
+    assert [[(s[0].tolist(), *s[1:]) for s in t] for t in together] == [[(s[0].tolist(), *s[1:]) for s in t] for t in alone]
+
+
+def test_words_are_cut_at_marks_and_line_ends():
+    texts = ["", None, "a  b\n\n c", "▁▁x▁", " ", "\n", "é中😀 \ud800\t\x00", "x▂ y", "▖▁\n▁", "a" * 99 + "\r\n b"]
+    words, ends = pieces._words(texts)
+    got = [w.decode("utf-8", "surrogatepass") for w in words.to_pylist()]
+    want = [re.findall("\n|▁+[^▁\n]*|[^▁\n]+", "▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    assert [got[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)] == want
