@@ -160,7 +160,7 @@ class Lattices:
         width = 1 + (heads[raw] > 0x7F).astype(np.int64) + (heads[raw] > 0x7FF) + (heads[raw] > 0xFFFF)
         for nodes, ids, ends in [*found[::-1], (raw, None, shorter[raw])]:
             to = fill[nodes]
-            self.ids_a[to] = -heads[nodes] if ids is None else ids
+            self.ids_a[to] = ~heads[nodes] if ids is None else ids
             self.end_a[to] = ends
             score[to] = width * vocabulary.weight[-1] if ids is None else vocabulary.weight[ids]
             fill[nodes] = to + 1
@@ -184,13 +184,13 @@ class Lattices:
     def pieces(self, paths: list[np.ndarray]) -> list[np.ndarray]:
         """Piece ids of the edges of each path; an edge of bytes gives one id per byte."""
         ids = self.ids_a[np.concatenate(paths)]
-        single = np.flatnonzero((ids < 0) & (ids > -128))
-        ids[single] = self.bytes_a[-ids[single]]
+        single = np.flatnonzero((ids < 0) & (ids >= -128))
+        ids[single] = self.bytes_a[~ids[single]]
         ends = np.cumsum([len(p) for p in paths])
         out = np.split(ids, ends[:-1])
         odd = np.flatnonzero(ids < 0)
         for i in np.unique(np.searchsorted(ends, odd, "right")):
-            out[i] = np.concatenate([[n] if n >= 0 else [self.byte[b] for b in chr(-n).encode("utf-8", "surrogatepass")] for n in out[i].tolist()]).astype(np.int32)
+            out[i] = np.concatenate([[n] if n >= 0 else [self.byte[b] for b in chr(~n).encode("utf-8", "surrogatepass")] for n in out[i].tolist()]).astype(np.int32)
         return out
 
 

@@ -489,3 +489,9 @@ def test_words_are_cut_at_marks_and_line_ends():
     got = [w.decode("utf-8", "surrogatepass") for w in words.to_pylist()]
     want = [re.findall("\n|▁+[^▁\n]*|[^▁\n]+", "▁" + t.replace(" ", "▁")) if t else [] for t in texts]
     assert [got[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)] == want
+
+
+def test_pieces_keep_null_characters(spark):
+    texts = ["a\x00b", "\x00", "\x00\x00 é\x00\n\x7f\x80", "plain"]
+    rows = pieces.encode(frame(spark, texts), decode_too=True).collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2, 3} and all(r.text == texts[r.doc_id] for r in rows)
