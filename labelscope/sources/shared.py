@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,27 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A writer of tables that one computation needs; they are deleted at its end, and each write's shuffle files with that write.
+
+    What is written under a name twice is appended. What the computation returns has to be written elsewhere.
+    """
+    folder, option = f"{shared_dir(spark)}/tables/passing-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "true")
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("append").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    try:
+        yield write
+    finally:
+        spark.conf.set(option, before)
+        remove_path(spark, folder)
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete all intermediate tables in the shared folder. For the owner of the session, once results are written: tables that were not yet read are gone."""
     remove_path(spark, f"{shared_dir(spark)}/tables")
